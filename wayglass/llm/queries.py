@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, token_shards
+from . import line_dedup, simhash, token_shards
 from .shared import scratch
 
 
@@ -29,5 +29,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_token_shards": op1_token_shards, "op2_simhash": op2_simhash}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_token_shards": op1_token_shards,
+    "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
+}
 ORACLES: dict[str, str] = {}
