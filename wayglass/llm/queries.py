@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash, token_shards
+from . import line_dedup, simhash, token_shards, toxicity, word_bpe
 from .shared import scratch
 
 
@@ -35,9 +35,26 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out rows are not looked at."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    found = toxicity.score(documents, toxicity.train(documents, labels))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    found = word_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_word_bpe": op6_word_bpe,
 }
 ORACLES: dict[str, str] = {}
