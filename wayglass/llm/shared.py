@@ -76,21 +76,50 @@ class _Codes(dict):
         return code
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype) -> None:
+        self._held, self.size = np.empty(1 << 12, dtype), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        need = self.size + len(more)
+        if need > len(self._held):
+            wider = np.empty(max(need, 2 * len(self._held)), self._held.dtype)
+            wider[: self.size] = self._held[: self.size]
+            self._held = wider
+        self._held[self.size : need] = more
+        self.size = need
+
+    @property
+    def all(self) -> np.ndarray:
+        return self._held[: self.size]
+
+
 class WordTable:
-    """Distinct words of a task, each worked on once: codes by word, and arrays of results by code.
+    """Distinct words of a Python worker, each worked on once: codes by word, and arrays of results by code.
 
-    fill(words) returns one array per result, a row for each new word. The table starts
-    anew once it holds cap words, which bounds its memory and changes no result.
+    fill(words) gives one array of results (of the dtypes) for each, a row for each new word; clear()
+    is called when the table starts anew, once it holds cap words: that bounds its memory and
+    changes no result.
     """
 
-    def __init__(self, fill, cap: int = 300_000) -> None:
-        self.fill, self.cap = fill, cap
-        self._codes, self.arrays = _Codes(), None
+    def __init__(self, fill, dtypes: list, clear=lambda: None, cap: int = 1_000_000) -> None:
+        self.fill, self.dtypes, self.clear, self.cap = fill, dtypes, clear, cap
+        self._restart()
+
+    def _restart(self) -> None:
+        self._codes, self._results = _Codes(), [Growing(t) for t in self.dtypes]
+        self.clear()
+
+    @property
+    def arrays(self) -> list[np.ndarray]:
+        return [r.all for r in self._results]
 
     def lookup(self, documents: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all words of the documents, and each document's end in them; arrays then covers these codes."""
         if len(self._codes) > self.cap:
-            self._codes, self.arrays = _Codes(), None
+            self._restart()
         get = self._codes.__getitem__
         ends = np.cumsum([len(words) for words in documents], dtype=np.int64)
         codes = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
@@ -98,10 +127,10 @@ class WordTable:
         for words in documents:
             codes[at : at + len(words)] = np.fromiter(map(get, words), np.int32, len(words))
             at += len(words)
-        if self._codes.fresh or self.arrays is None:
-            new = self.fill(self._codes.fresh)
-            self.arrays = new if self.arrays is None else [np.concatenate(pair) for pair in zip(self.arrays, new, strict=True)]
-            self._codes.fresh = []
+        if self._codes.fresh:
+            fresh, self._codes.fresh = self._codes.fresh, []
+            for result, new in zip(self._results, self.fill(fresh), strict=True):
+                result.extend(new)
         return codes, ends
 
 

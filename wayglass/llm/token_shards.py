@@ -13,6 +13,7 @@ Documents lie in ascending order of key (then of text) over all shards.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WordTable, expand, partitions, run_sums, saved, slices, texts_of
+from .shared import Growing, WordTable, expand, partitions, run_sums, saved, slices, texts_of
 
 #: Keys in one part of the index, on average: a part is built and read in one task.
 KEYS_PER_PART = 1 << 16
@@ -143,23 +144,29 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.flat = np.zeros(0, np.uint32)
-        self.table = WordTable(self._fill)
+        self.table = WordTable(self._fill, [np.int64, np.int64], self._clear)
+
+    def _clear(self) -> None:
+        self.flat = Growing(np.uint32)
 
     def _fill(self, words: list[bytes]) -> list[np.ndarray]:
-        if self.table.arrays is None:
-            self.flat = np.zeros(0, np.uint32)
         found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in found for i in x), np.uint32)))
+        starts = self.flat.size + np.cumsum(lengths) - lengths
+        self.flat.extend(np.fromiter((i for x in found for i in x), np.uint32))
         return [starts, lengths]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each."""
         codes, ends = self.table.lookup([t.split() for t in texts])
         starts, lengths = (x[codes] for x in self.table.arrays)
-        return self.flat[expand(starts, lengths)], run_sums(lengths, ends)
+        return self.flat.all[expand(starts, lengths)], run_sums(lengths, ends)
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker: its words stay known."""
+    return WordEncoder(path)
 
 
 def _pack(ids: np.ndarray, counts: np.ndarray, end_id: int, width: str) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +198,7 @@ def write(spark: SparkSession, documents: DataFrame, folder: str, tokenizer: str
     ordered = keyed.repartitionByRange(partitions(spark), "key", tie).sortWithinPartitions("key", tie, "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, number = _encoder(tokenizer), TaskContext.get().partitionId()
         payload, offsets, ordinal, total = [], [np.zeros(1, "<u8")], 0, 0
         for batch in slices(batches):
             stored, counts = _pack(*encoder.encode(texts_of(batch["text"])), end_id, width)

@@ -10,11 +10,13 @@ document has a witness word, chosen by odds at first and by the machine afterwar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +29,15 @@ MAX_TOXIC, MAX_CLEAN = 3000, 6000
 MAX_WORDS, LANDMARKS = 12_000, 200
 #: Candidate witnesses of a document.
 WITNESSES = 3
+#: Log odds of a word (lower bound at 95 %) from which on it is a witness without the machine's word.
+CLEAR_ODDS = 1.5
 #: A gap of one letter within a subsequence counts this much; a subsequence spans SPAN letters at most.
 DECAY, SPAN = 0.5, 6
 #: Ridge of the machine.
 RIDGE = 1e-3
 #: Score of a word of under two letters, or of no word.
 FLOOR = -2.0
+_SENTENCE = re.compile(rb"[.!?\n]+")
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 _CODES = 1 << 6
 
@@ -114,11 +119,13 @@ class _Scorer:
     """Worst words of documents; a task's distinct words are scored once."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.table, self.units = model, WordTable(self._fill), []
+        self.model = model
+        self.table = WordTable(self._fill, [np.float64, bool], self._clear)
+
+    def _clear(self) -> None:
+        self.units: list[str] = []
 
     def _fill(self, words: list[bytes]) -> list[np.ndarray]:
-        if self.table.arrays is None:
-            self.units = []
         units = [letters(w.decode()) for w in words]
         self.units += [u if len(u) == 1 else "" for u in units]
         return [self.model.words(units), np.array([len(u) == 1 for u in units], bool)]
@@ -135,6 +142,16 @@ class _Scorer:
         return out
 
 
+_scorers: list[_Scorer] = []
+
+
+def _scorer(model: Model) -> _Scorer:
+    """One for all tasks of a Python worker with this model: its words stay known."""
+    if not _scorers or _scorers[0].model is not model:
+        _scorers[:] = [_Scorer(model)]
+    return _scorers[0]
+
+
 def worst_words(documents: DataFrame, model: Model, name: str) -> DataFrame:
     """documents with the score of each one's worst word as a column of that name."""
     names = [c for c in documents.columns if c != name]
@@ -142,7 +159,7 @@ def worst_words(documents: DataFrame, model: Model, name: str) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(held.value)
+        scorer = _scorer(held.value)
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(scorer.worst(texts_of(batch["text"])))], [*names, name])
 
@@ -197,32 +214,33 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            docs, toxic, words = [], [], []
+            rows = []
             for doc, mark, text in zip(batch["doc_id"].to_pylist(), batch["toxic"].to_pylist(), texts_of(batch["text"]), strict=True):
-                own = {u for w in set(text.split()) if 2 <= len(u := letters(w.decode())) <= 64}
-                docs += [doc] * len(own)
-                toxic += [mark] * len(own)
-                words += own
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(toxic, pa.int32()), pa.array(words, pa.string())], ["doc_id", "toxic", "word"])
+                for sentence in set(_SENTENCE.split(text.lower())):
+                    number = xxhash.xxh3_64_intdigest(sentence) >> 1
+                    rows += [(doc, mark, number, u) for u in {letters(w.decode()) for w in sentence.split()} if 2 <= len(u) <= 64]
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["doc_id", "toxic", "sentence", "word"])
 
     size = dict(sample.groupBy("toxic").count().collect())
     if not size.get(1) or not size.get(0):
         return never
-    bags = saved(sample.mapInArrow(units, "doc_id long, toxic int, word string"), "toxicity-words")
-    counts = saved(bags.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxicity-counts")
-    odds = F.log((F.col("t") + 0.5) / (size[1] + 1.0)) - F.log((F.col("c") + 0.5) / (size[0] + 1.0))
+    bags = saved(sample.mapInArrow(units, "doc_id long, toxic int, sentence long, word string"), "toxicity-words")
+    # Copies of a document say the same sentences, which count once.
+    once = bags.groupBy("word", "sentence").agg(F.min("toxic").alias("toxic"))
+    counts = saved(once.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxicity-counts")
+    odds = F.log((F.col("t") + 0.5) / (size[1] + 1.0)) - F.log((F.col("c") + 0.5) / (size[0] + 1.0)) - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     order = F.struct(F.col("odds"), F.col("t"), F.col("word"))
-    best = bags.where("toxic = 1").join(counts.withColumn("odds", odds), "word").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, WITNESSES).alias("w"))
+    best = bags.where("toxic = 1").select("doc_id", "word").distinct().join(counts.withColumn("odds", odds), "word").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, WITNESSES).alias("w"))
     witnesses = [[(x.odds, x.t, x.word) for x in r.w] for r in best.orderBy("doc_id").collect()]
     clean = counts.where("c > 0").orderBy(F.desc("c") if size[0] < 50 else F.when(F.col("c") > size[0] // 50, 0).otherwise(1), F.xxhash64("word"), "word").limit(MAX_WORDS)
     negative = sorted(r.word for r in clean.select("word").collect())
     if not negative or not witnesses:
         return never
 
-    # Witnesses: the word of best odds; where that is not clear, the word that the machine of the last round prefers.
-    strong = [w[0] for w in witnesses]
-    clear = np.quantile([s[0] for s in strong], 0.25) if len(strong) > 8 else min(s[0] for s in strong)
-    picked = [s[2] if s[0] >= clear else None for s in strong]
+    # A document without a clear witness (its label may be wrong) has none, unless the machine finds one later.
+    clear = min(CLEAR_ODDS, max(w[0][0] for w in witnesses))
+    picked = [w[0][2] if w[0][0] >= clear else None for w in witnesses]
     model = never
     for turn in range(3):
         found: dict[str, int] = {}
@@ -247,10 +265,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         if turn < 2:
             for i, own in enumerate(witnesses):
                 scores = model.words([x[2] for x in own])
-                if scores.max() > 0:
-                    picked[i] = own[int(scores.argmax())][2]
-                elif turn == 0 and own[0][0] < clear:
-                    picked[i] = None
+                picked[i] = own[int(scores.argmax())][2] if scores.max() > 0 else None
+            if not any(picked):
+                break
     scored = worst_words(sample, model, "worst").select("worst", "toxic").collect()
     model.slope, model.shift = _logistic(np.array([r.worst for r in scored]), np.array([r.toxic == 1 for r in scored]))
     return model

@@ -1,7 +1,8 @@
-"""Byte-level BPE by distinct words: split, encode each distinct word once a task, join ids by position, decode by id."""
+"""Byte-level BPE by distinct words: split, encode each distinct word once, join ids by position, decode by id."""
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordTable, expand, run_sums, slices
+from .shared import Growing, WordTable, expand, run_sums, slices
 
 # Unicode's White_Space characters, which the tokenizer's pattern calls \s.
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -46,8 +47,7 @@ class WordBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.flat = np.zeros(0, np.int32)
-        self.table = WordTable(self._fill)
+        self.table = WordTable(self._fill, [np.int64, np.int64], self._clear)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         pieces = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -56,13 +56,14 @@ class WordBpe:
         self.piece_starts = np.cumsum(self.piece_lengths) - self.piece_lengths
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
+    def _clear(self) -> None:
+        self.flat = Growing(np.int32)
+
     def _fill(self, words: list[str]) -> list[np.ndarray]:
-        if self.table.arrays is None:
-            self.flat = np.zeros(0, np.int32)
         found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in found for i in x), np.int32)))
+        starts = self.flat.size + np.cumsum(lengths) - lengths
+        self.flat.extend(np.fromiter((i for x in found for i in x), np.int32))
         return [starts, lengths]
 
     def words(self, text: str) -> list[str]:
@@ -73,7 +74,7 @@ class WordBpe:
         """Ids of all texts, one after the other, and the number of each."""
         codes, ends = self.table.lookup([self.words(t) for t in texts])
         starts, lengths = (x[codes] for x in self.table.arrays)
-        return self.flat[expand(starts, lengths)], run_sums(lengths, ends)
+        return self.flat.all[expand(starts, lengths)], run_sums(lengths, ends)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts again: each id's piece, joined by id, in order."""
@@ -83,18 +84,24 @@ class WordBpe:
         return [raw[a:b].decode(errors="replace") for a, b in zip([0, *ends], ends, strict=False)]
 
 
+@functools.lru_cache(maxsize=1)
+def _bpe(path: str) -> WordBpe:
+    """One for all tasks of a Python worker: its words stay known."""
+    return WordBpe(path)
+
+
 def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
     """documents with ids (array of int) and decoded (text made from these ids) in place of any such columns.
 
     A null text is empty: no ids, and an empty decoded text. Other columns, repeated rows and rows
-    without doc_id pass through; an empty table stays empty. Nothing shuffles: the table of distinct
-    words is a task's own, and bounded.
+    without doc_id pass through; an empty table stays empty. Nothing shuffles: each Python worker has its
+    own table of distinct words, which is bounded.
     """
     names = [c for c in documents.columns if c not in ("ids", "decoded")]
     schema = T.StructType([f for f in documents.schema if f.name in names]).add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(tokenizer)
+        bpe = _bpe(tokenizer)
         for batch in slices(batches):
             ids, counts = bpe.encode([t or "" for t in batch["text"].to_pylist()])
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.array(ids, pa.int32()))
