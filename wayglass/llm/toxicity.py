@@ -2,7 +2,7 @@
 
 A sentence is toxic if one of its words is, so a document is a bag of words (insults spelled
 with blanks between their letters are put together first), and its score follows its worst
-word: kernels of whole sentences would drown a short insult. The kernel of two words counts
+words: kernels of whole sentences would drown a short insult. The kernel of two words counts
 common subsequences of three letters, each weighed down by its gaps, so that inserted or
 missing letters cost something but not everything. Training is multi-instance: every toxic
 document has a witness word, chosen by odds at first and by the machine afterwards.
@@ -28,13 +28,15 @@ MAX_TOXIC, MAX_CLEAN = 3000, 6000
 #: Words of clean documents to learn from, at most, and landmarks.
 MAX_WORDS, LANDMARKS = 12_000, 200
 #: Candidate witnesses of a document.
-WITNESSES = 3
+WITNESSES = 5
 #: Log odds of a word (lower bound at 95 %) from which on it is a witness without the machine's word.
 CLEAR_ODDS = 1.5
 #: A gap of one letter within a subsequence counts this much; a subsequence spans SPAN letters at most.
 DECAY, SPAN = 0.5, 6
 #: Ridge of the machine.
 RIDGE = 1e-3
+#: Worst words that a document's score follows (the number of its words counts, too).
+WORST = 3
 #: Score of a word of under two letters, or of no word.
 FLOOR = -2.0
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -88,10 +90,11 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Weights of all subsequences (what the landmarks' coefficients come to), bias, and the scale of document scores."""
+    """Weights of all subsequences (what the landmarks' coefficients come to), their bias, and a document's coefficients."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0) -> None:
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    def __init__(self, weights: np.ndarray, bias: float, document: np.ndarray | None = None) -> None:
+        self.weights, self.bias = weights, bias
+        self.document = np.array([0.0] * (WORST + 1) + [-10.0]) if document is None else document
 
     def words(self, words: list[str]) -> np.ndarray:
         """Scores of words (letters only)."""
@@ -102,9 +105,6 @@ class Model:
             out[some] = np.bincount(owner, weight * self.weights[found], minlength=len(some)) + self.bias
         return out
 
-    def probability(self, score: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * score + self.shift, -60, 60)))
-
 
 def _spelled(codes: np.ndarray, single: np.ndarray) -> Iterator[np.ndarray]:
     """Runs of three or more words of one letter each."""
@@ -131,14 +131,17 @@ class _Scorer:
         return [self.model.words(units), np.array([len(u) == 1 for u in units], bool)]
 
     def worst(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the scores of its WORST worst words, in order, and the log of its words."""
         codes, ends = self.table.lookup([t.split() for t in texts])
         scores, single = self.table.arrays
-        out = np.full(len(texts), FLOOR)
+        out = np.full((len(texts), WORST + 1), FLOOR)
         for i, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
-            if b > a:
-                own = codes[a:b]
-                spelled = ["".join(self.units[c] for c in run) for run in _spelled(own, single)]
-                out[i] = max(scores[own].max(), self.model.words(spelled).max(initial=FLOOR))
+            own = codes[a:b]
+            spelled = list({"".join(self.units[c] for c in run) for run in _spelled(own, single)})
+            found = np.concatenate((scores[np.unique(own)], self.model.words(spelled)))
+            top = np.sort(np.partition(found, len(found) - WORST)[-WORST:] if len(found) > WORST else found)[::-1]
+            out[i, : len(top)] = top
+            out[i, -1] = np.log1p(b - a)
         return out
 
 
@@ -153,15 +156,17 @@ def _scorer(model: Model) -> _Scorer:
 
 
 def worst_words(documents: DataFrame, model: Model, name: str) -> DataFrame:
-    """documents with the score of each one's worst word as a column of that name."""
+    """documents with what _Scorer.worst says of each one as a column of that name (array of double)."""
     names = [c for c in documents.columns if c != name]
-    schema = T.StructType([f for f in documents.schema if f.name in names]).add(name, "double")
+    schema = T.StructType([f for f in documents.schema if f.name in names]).add(name, T.ArrayType(T.DoubleType()))
     held = documents.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(held.value)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(scorer.worst(texts_of(batch["text"])))], [*names, name])
+            found = scorer.worst(texts_of(batch["text"]))
+            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, WORST + 1, dtype=np.int32), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), lists], [*names, name])
 
     return documents.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
@@ -186,17 +191,17 @@ def _machine(rows: np.ndarray, sign: np.ndarray, weight: np.ndarray) -> np.ndarr
     return w
 
 
-def _logistic(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, both labels weighing the same, with a small ridge."""
-    weight = np.where(label, 0.5 / max(1, label.sum()), 0.5 / max(1, (~label).sum()))
-    x, w = np.stack([score, np.ones(len(score))], axis=1), np.array([1.0, 0.0])
-    for _ in range(50):
+def _logistic(rows: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients (the last is the shift) of a logistic regression with a small ridge, by damped Newton steps."""
+    x = np.hstack([rows, np.ones((len(rows), 1))])
+    w, weight = np.zeros(x.shape[1]), weight / weight.sum()
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2), x.T @ (weight * (p - label)) + 1e-4 * w)
-        w = w - np.clip(step, -5, 5)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w)), x.T @ (weight * (p - label)) + 1e-4 * w)
+        w = w - step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Model:
@@ -210,7 +215,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     drawn = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = drawn[0].unionByName(drawn[1])  # MAX_TOXIC + MAX_CLEAN rows at most: small enough to send to all tasks
     sample = saved(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
-    never = Model(np.zeros(_CODES**3), FLOOR, 1.0, -10.0)
+    never = Model(np.zeros(_CODES**3), FLOOR)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -240,13 +245,12 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     # A document without a clear witness (its label may be wrong) has none, unless the machine finds one later.
     clear = min(CLEAR_ODDS, max(w[0][0] for w in witnesses))
-    picked = [w[0][2] if w[0][0] >= clear else None for w in witnesses]
+    picked = [x[2] for w in witnesses for x in w if x[0] >= clear]
     model = never
     for turn in range(3):
         found: dict[str, int] = {}
         for w in picked:
-            if w is not None:
-                found[w] = found.get(w, 0) + 1
+            found[w] = found.get(w, 0) + 1
         positive = sorted(found, key=lambda w: (-found[w], w))
         half = LANDMARKS // 2
         marks = [*positive[:half], *negative[:: max(1, len(negative) // half)][:half]]
@@ -263,13 +267,15 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         np.add.at(weights, subsequence, share * (whiten @ w[:-1])[owner])
         model = Model(weights, float(w[-1]))
         if turn < 2:
-            for i, own in enumerate(witnesses):
-                scores = model.words([x[2] for x in own])
-                picked[i] = own[int(scores.argmax())][2] if scores.max() > 0 else None
-            if not any(picked):
+            candidates = [x[2] for own in witnesses for x in own]
+            picked = [w for w, f in zip(candidates, model.words(candidates), strict=True) if f > 0]
+            if not picked:
                 break
     scored = worst_words(sample, model, "worst").select("worst", "toxic").collect()
-    model.slope, model.shift = _logistic(np.array([r.worst for r in scored]), np.array([r.toxic == 1 for r in scored]))
+    toxic = np.array([r.toxic == 1 for r in scored])
+    share = dict(marked.groupBy("toxic").count().collect())  # of all labelled rows: the sample has more toxic ones
+    weight = np.where(toxic, share[1] / toxic.sum(), share[0] / (~toxic).sum())
+    model.document = _logistic(np.array([r.worst for r in scored]), toxic, weight)
     return model
 
 
@@ -281,8 +287,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """
     kept = documents.drop("score", "predicted")
     raw = worst_words(kept, model, "score")
-    scaled = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(model.slope) * F.col("score") + F.lit(model.shift)))
-    return raw.withColumn("score", 1 / (1 + F.exp(-scaled))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    *rates, shift = (float(c) for c in model.document)
+    logit = sum((F.lit(c) * F.col("score")[i] for i, c in enumerate(rates)), F.lit(shift))
+    odds = F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), logit)))
+    return raw.withColumn("score", 1 / (1 + odds)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
