@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash, token_shards, toxicity, word_bpe
+from . import decontaminate, line_dedup, quality, simhash, token_shards, toxicity, word_bpe
+from . import oracles
 from .shared import scratch
 
 
@@ -50,11 +51,24 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a test item that it contains."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document and the verdict on it."""
+    found = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_word_bpe": op6_word_bpe,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_quality": op9_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Documents handled at once inside a task; bounds the memory of a Python worker.
 SLICE = 400
@@ -46,6 +47,25 @@ def drop_saved(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows of a side that is sent to all tasks, at most; beyond that, both sides are dealt out by key and salt.
+BROADCAST_ROWS = 20_000
+SALT = 32
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts, which has one row a key at most; rows without any keep nulls.
+
+    A key may hold any share of rows: facts are broadcast while they are few (counted first), else
+    each is copied SALT times and rows of a key are dealt out over these copies.
+    """
+    facts = saved(facts, "facts")
+    if facts.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(facts), key, "left")
+    many = facts.withColumn("salt of facts", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    dealt = rows.withColumn("salt of facts", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALT)).cast("int"))
+    return dealt.join(many, [key, "salt of facts"], "left").drop("salt of facts")
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
