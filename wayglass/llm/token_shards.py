@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,6 +135,10 @@ class Mph:
 # --- encoding ---
 
 
+#: Letters whose lower case is one letter in any library, then marks that never join them.
+_STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.;:!?#*$%&]*)")
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, so that words between ASCII white space stand alone."""
 
@@ -144,17 +149,59 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.table = WordTable(self._fill, [np.int64, np.int64], self._clear)
 
     def _clear(self) -> None:
         self.flat = Growing(np.uint32)
+        self.stems: dict[str, tuple[int, int]] = {}
 
-    def _fill(self, words: list[bytes]) -> list[np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _spans(self, units: list[str]) -> list[tuple[int, int]]:
+        """Starts and lengths in flat of the ids of units, each encoded by itself."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
         starts = self.flat.size + np.cumsum(lengths) - lengths
         self.flat.extend(np.fromiter((i for x in found for i in x), np.uint32))
-        return [starts, lengths]
+        return list(zip(starts.tolist(), lengths.tolist(), strict=True))
+
+    def _stem_spans(self, stems: list[str]) -> list[tuple[int, int]]:
+        """The same for words of plain letters, many in one call: each has one piece that ends a word, its last."""
+        out = []
+        for at in range(0, len(stems), 2000):
+            some = stems[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(some):
+                out += self._spans(some)
+                continue
+            lengths = np.diff(ends, prepend=0)
+            out += zip((self.flat.size + ends - lengths).tolist(), lengths.tolist(), strict=True)
+            self.flat.extend(ids)
+        return out
+
+    def _fill(self, words: list[bytes]) -> list[np.ndarray]:
+        """Words of plain letters with marks behind are put together from stem and marks, as the tokenizer splits there."""
+        split = [m.groups() if (m := _STEM.fullmatch(w)) else (None, w) for w in map(bytes.decode, words)]
+        split = [(stem.lower() if stem else None, rest) for stem, rest in split]
+        fresh = list({s for s, _ in split if s and s not in self.stems})
+        self.stems.update(zip(fresh, self._stem_spans(fresh), strict=True))
+        whole = list({rest for _, rest in split if rest and ("", rest) not in self.stems})
+        self.stems.update(zip((("", w) for w in whole), self._spans(whole), strict=True))
+        spans, pieces, size = [], [], self.flat.size
+        for stem, rest in split:
+            if not stem or not rest:
+                spans.append(self.stems[stem or ("", rest)])
+                continue
+            (a, n), (b, m) = self.stems[stem], self.stems["", rest]
+            pieces += [(a, n), (b, m)]
+            spans.append((size, n + m))
+            size += n + m
+        if pieces:
+            places = np.array(pieces, np.int64)
+            self.flat.extend(self.flat.all[expand(places[:, 0], places[:, 1])])
+        return list(np.array(spans, np.int64).reshape(-1, 2).T)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each."""
