@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .licenses import TEMPLATES
+
 _OP3 = r"""
 WITH lines AS (
   SELECT doc_id, pos, list_extract(l, pos) AS line
@@ -68,7 +70,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged LEFT JOIN verdicts USING (source)
 """
 
+_QUOTED = ", ".join("({}, '{}', '{}')".format(i, licence, text.replace("'", "''")) for i, (licence, text) in enumerate(TEMPLATES))
+_OP4 = (
+    "WITH given(template, licence, text) AS (VALUES " + _QUOTED + "), "
+    + r"""units AS (
+  SELECT 'd' AS side, doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
+  UNION ALL SELECT 'd', doc_id, text FROM documents WHERE contains(text, chr(10))
+  UNION ALL SELECT 'd', doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n(?:[ \t]*\n)+')) AS unit FROM documents WHERE contains(text, chr(10) || chr(10))) WHERE contains(unit, chr(10))
+  UNION ALL SELECT 't', template, text FROM given
+), words AS (
+  SELECT side, id, row_number() OVER () AS u, list_filter(string_split(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM units
+), pairs AS (
+  SELECT DISTINCT side, id, u, w[pos] || ' ' || w[pos + 1] AS b FROM (SELECT side, id, u, w, unnest(range(1, len(w))) AS pos FROM words)
+), sizes AS (SELECT side, id, u, count(*) AS n FROM pairs GROUP BY ALL
+), common AS (
+  SELECT d.id AS doc_id, d.u, t.id AS template, count(*) AS c FROM pairs d JOIN pairs t USING (b) WHERE d.side = 'd' AND t.side = 't' GROUP BY ALL
+), scored AS (
+  SELECT doc_id, common.u, template, 2.0 * c / (sd.n + st.n) AS dice FROM common JOIN sizes sd ON sd.side = 'd' AND sd.u = common.u JOIN sizes st ON st.side = 't' AND st.id = template
+), best AS (
+  SELECT doc_id, template, dice FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY dice DESC, template) AS r FROM scored WHERE dice >= 0.8 - 1e-9) WHERE r = 1
+)
+SELECT documents.doc_id, count(template) AS n_matches, coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence), '') AS licences, round(coalesce(max(dice), 0)::DOUBLE, 6) AS dice
+FROM documents LEFT JOIN (best JOIN given USING (template)) f USING (doc_id) GROUP BY documents.doc_id
+"""
+)
+
+_OP7 = r"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), turns AS (
+  SELECT *, role IS DISTINCT FROM lag(role) OVER o AS opens, role IS DISTINCT FROM lead(role) OVER o AS closes, row_number() OVER o AS pos,
+    length(text) + len(regexp_extract_all(text, '<(\\*)(/?s>|\+>|<SYS>>|</SYS>>)')) + len(regexp_extract_all(text, '\[(\\*)(/?INST\])')) AS escaped
+  FROM given WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(escaped + CASE WHEN NOT opens THEN 5 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 1 ELSE 9 + length(url_encode(role)) END
+    + CASE WHEN NOT closes THEN 0 WHEN role = 'user' THEN 8 WHEN role = 'assistant' THEN 5 ELSE 9 END))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 ORACLES = {
+    "op4_licenses": _OP4,
+    "op7_chat": _OP7,
     "op3_line_dedup": _OP3,
     "op8_decontaminate": _OP8,
     "op9_quality": _OP9,

@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, simhash, token_shards, toxicity, word_bpe
+from . import chat, decontaminate, licenses, line_dedup, quality, simhash, token_shards, toxicity, word_bpe
 from . import oracles
-from .shared import scratch
+from .shared import saved, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every document."""
+    found = licenses.by_document(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_matches", "licences", F.round("dice", 6).alias("dice"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of held-out rows are not looked at."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,6 +57,23 @@ def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from every formatted conversation, and of one that is full of control strings."""
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text")) for i, role in enumerate(("user", "assistant"))]
+    formatted = saved(chat.format_turns(given.unionByName(spark.range(1).select(F.inline(F.array(*hard))))), "chat")
+    found = chat.read_turns(formatted)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a test item that it contains."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -66,8 +89,10 @@ QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op6_word_bpe": op6_word_bpe,
+    "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
 }
