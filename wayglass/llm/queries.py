@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, line_dedup, quality, simhash, token_shards, toxicity, word_bpe
+from . import chat, decontaminate, licenses, line_dedup, personal, quality, simhash, token_shards, toxicity, word_bpe
 from . import oracles
 from .shared import saved, scratch
 
@@ -85,6 +85,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed")
 
 
+def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the known formats, and all spans."""
+    found = personal.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"]), i)) for i in range(len(personal.KINDS))]
+    counts = [(F.size("base") - n).cast("long").alias(f"n_{k}") for n, k in zip(counts, personal.KINDS, strict=True)]
+    return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_simhash": op2_simhash,
@@ -95,5 +103,6 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
+    "op10_personal": op10_personal,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
