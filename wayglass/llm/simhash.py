@@ -8,7 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import drop_saved, partitions, saved, slices, texts_of
@@ -20,6 +20,8 @@ SEED = 42
 BLOCKS = (13, 13, 13, 13, 12)
 #: Fingerprints that share two blocks are compared in parts of this size, so that no task gets a whole hot group.
 PART = 4096
+#: Stands for a null doc_id where rows are matched.
+_NO_ID = -(1 << 63)
 #: Rows compared in one go, at least; whole parts are kept together.
 ROWS = 60_000
 
@@ -39,15 +41,20 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def text_hash() -> Column:
+    """Tells the texts of rows with one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (long, the 64 bits) of every row; a null text has no words."""
+    """doc_id, text_hash and fingerprint (long, the 64 bits) of every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t) for t in texts_of(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found)], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(found)], ["doc_id", "text_hash", "fingerprint"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
 
 
 # --- links ---
@@ -221,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (long) and component_id (smallest doc_id reachable over links) of every row.
+    """doc_id, text_hash, fingerprint (long) and component_id (smallest doc_id reachable over links) of every row.
 
     documents: doc_id, text; other columns are ignored. Documents link where their fingerprints
     differ in RADIUS bits at most; equal fingerprints are one class, so copies cost nothing more.
@@ -233,4 +240,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes")
     joined = components(links(classes))
     names = classes.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(names, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return prints.join(names, "fingerprint", "left").select("doc_id", "text_hash", "fingerprint", "component_id")
+
+
+def first_of_each(documents: DataFrame) -> DataFrame:
+    """One document of each component of near_duplicates(), with all its columns: that of the smallest doc_id.
+
+    Of rows that repeat this doc_id, one with the smallest hash of its text stays. Rows without doc_id stay only
+    where no row of their fingerprint has one: then one row for each fingerprint does. An empty table stays empty.
+    """
+    found = near_duplicates(documents)
+    lone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    able = found.where("component_id IS NULL OR doc_id = component_id").groupBy("component_id", lone.alias("lone"))
+    id_mark, text_mark = marks = ("key of a first document", "text of a first document")
+    first = able.agg(F.min("text_hash").alias(text_mark)).select(F.coalesce("component_id", F.lit(_NO_ID)).alias(id_mark), text_mark).distinct()
+    kept = documents.withColumn(id_mark, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(text_mark, text_hash()).join(first, list(marks), "left_semi")
+    if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(list(marks))
+    return kept.drop(*marks)
