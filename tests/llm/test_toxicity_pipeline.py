@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayglass.llm import toxicity
 
-D = "/root/testdata/sf0.01"
+D, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 INSULTS = ["worthless", "dimwit", "scumbag"]
 
 
@@ -83,13 +83,13 @@ def test_kernel_is_the_cosine_of_weighted_subsequences():
 def test_held_out_accuracy(spark):
     import __spark_entry__ as e
 
-    found = {r.doc_id: r for r in e.queries()["op5_toxicity"](spark, D).collect()}
+    found = {r.doc_id: r for r in e.queries()["op5_toxicity"](spark, LARGER).collect()}  # 825 held-out labels; the smaller table has 70, 6 of them toxic
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items())
-    labels = [(found[r.doc_id].predicted, r.toxic, found[r.doc_id].score) for r in spark.read.parquet(f"{D}/labels.parquet").collect() if found[r.doc_id].held_out]
+    labels = [(found[r.doc_id].predicted, r.toxic, found[r.doc_id].score) for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect() if found[r.doc_id].held_out]
     right = sum(p == t for p, t, _ in labels) / len(labels)
     toxic, clean = [s for _, t, s in labels if t], [s for _, t, s in labels if not t]
     order = np.mean([(a > b) + 0.5 * (a == b) for a in toxic for b in clean])
-    assert right >= 0.9 and order >= 0.85, (right, order)
+    assert right >= 0.95 and order >= 0.9, (right, order)
 
 
 def test_labels_of_held_out_rows_are_never_read(spark):
