@@ -73,7 +73,7 @@ TEMPLATES = (
 def words(text: Column) -> Column:
     """Normalised text as words: a-z and 0-9 after lower-casing A-Z, all else between words. No text, no words."""
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(F.regexp_replace(lowered, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    return F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), 0)
 
 
 def bigrams(found: Column) -> Column:
@@ -97,16 +97,23 @@ def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD
 
 
 def units(documents: DataFrame) -> DataFrame:
-    """doc_id, line (from 0; -1: a whole text of several lines; -2: a paragraph of several lines) and unit (its text).
+    """doc_id, line and words of all units: lines (from 0), whole texts of several lines (-1), their paragraphs of several lines (-2).
 
-    Lines are what licence notices stand on; longer licence texts are paragraphs or whole documents.
+    Lines are what licence notices stand on; longer licence texts are paragraphs or whole documents. Each text is read once;
+    the words of a whole text are those of its lines.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    whole = rows.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lit(-1).alias("line"), F.col("text").alias("unit"))
-    blocks = rows.where(F.contains("text", F.lit("\n\n"))).select("doc_id", F.lit(-2).alias("line"), F.explode(F.split("text", "\n(?:[ \t]*\n)+")).alias("unit"))
-    return lines.unionByName(whole).unionByName(blocks.where(F.contains("unit", F.lit("\n"))))
+    several, parted = F.contains("text", F.lit("\n")), F.col("text").rlike("\n[ \t]*\n")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("lines", F.transform(F.split("text", "\n"), words))
+    none = F.array().cast("array<struct<line:int,words:array<string>>>")
+    unit = lambda line, found: F.struct(line.cast("int").alias("line"), found.alias("words"))
+    blocks = F.filter(F.split("text", "\n(?:[ \t]*\n)+"), lambda b: F.contains(b, F.lit("\n")))
+    every = F.concat(
+        F.transform("lines", lambda w, i: unit(i, w)),
+        F.when(several, F.array(unit(F.lit(-1), F.flatten("lines")))).otherwise(none),
+        F.when(several & parted, F.transform(blocks, lambda b: unit(F.lit(-2), words(b)))).otherwise(none),
+    )
+    return rows.select("doc_id", F.inline(every))
 
 
 def scan(documents: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -119,7 +126,7 @@ def scan(documents: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) ->
     known = templates(documents.sparkSession, given, threshold)
     most = known.agg(F.max("size")).first()[0] or 0
     # A text with d different words has d - 1 different bigrams at least: most whole texts end here.
-    found = units(documents).withColumn("words", words(F.col("unit"))).where((F.size("words") >= 2) & (F.size(F.array_distinct("words")) <= most + 1))
+    found = units(documents).where((F.size("words") >= 2) & ((F.size("words") <= most + 1) | (F.size(F.array_distinct("words")) <= most + 1)))
     found = found.select("doc_id", "line", bigrams(F.col("words")).alias("bigrams")).withColumn("size", F.size("bigrams"))
     compared = found.join(F.broadcast(known), "size").select(
         "doc_id",

@@ -76,7 +76,7 @@ _OP4 = (
     + r"""units AS (
   SELECT 'd' AS side, doc_id AS id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit FROM documents
   UNION ALL SELECT 'd', doc_id, text FROM documents WHERE contains(text, chr(10))
-  UNION ALL SELECT 'd', doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n(?:[ \t]*\n)+')) AS unit FROM documents WHERE contains(text, chr(10) || chr(10))) WHERE contains(unit, chr(10))
+  UNION ALL SELECT 'd', doc_id, unit FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n(?:[ \t]*\n)+')) AS unit FROM documents WHERE regexp_matches(text, '\n[ \t]*\n')) WHERE contains(unit, chr(10))
   UNION ALL SELECT 't', template, text FROM given
 ), words AS (
   SELECT side, id, row_number() OVER () AS u, list_filter(string_split(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM units
