@@ -135,8 +135,11 @@ class Mph:
 # --- encoding ---
 
 
-#: Letters whose lower case is one letter in any library, then marks that never join them.
-_STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([,.;:!?#*$%&]*)")
+#: Letters whose lower case is one letter in any library; marks at a word's end that never join them.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = b",.;:!?#*$%&|"
+#: Words that a worker keeps, at most, and stems.
+MAX_WORDS, MAX_STEMS = 600_000, 1_000_000
 
 
 class WordEncoder:
@@ -152,56 +155,75 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.table = WordTable(self._fill, [np.int64, np.int64], self._clear)
+        self.stems: dict[bytes, int] = {}
+        self.table = WordTable(self._fill, [np.int64, np.int64], self._clear, MAX_WORDS)
 
     def _clear(self) -> None:
+        """Words go, their stems stay while there is room."""
+        if not self.stems or len(self.stems) > MAX_STEMS:
+            self.stems = {b"": 0}
+            self.units, self.unit_starts, self.unit_lengths = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+            self._learn([], np.zeros(1, np.int64))
         self.flat = Growing(np.uint32)
-        self.stems: dict[str, tuple[int, int]] = {}
 
-    def _spans(self, units: list[str]) -> list[tuple[int, int]]:
-        """Starts and lengths in flat of the ids of units, each encoded by itself."""
+    def _learn(self, ids, lengths: np.ndarray) -> None:
+        """Ids of units, one after the other, and the number of each."""
+        self.unit_starts.extend(self.units.size + np.cumsum(lengths) - lengths)
+        self.unit_lengths.extend(lengths)
+        self.units.extend(np.asarray(ids, np.uint32))
+
+    def _encode_units(self, units: list[str]) -> None:
+        """Units that are each encoded by itself."""
         found = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        starts = self.flat.size + np.cumsum(lengths) - lengths
-        self.flat.extend(np.fromiter((i for x in found for i in x), np.uint32))
-        return list(zip(starts.tolist(), lengths.tolist(), strict=True))
-
-    def _stem_spans(self, stems: list[str]) -> list[tuple[int, int]]:
-        """The same for words of plain letters, many in one call: each has one piece that ends a word, its last."""
-        out = []
-        for at in range(0, len(stems), 2000):
-            some = stems[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+        self._learn([i for x in found for i in x], np.array([len(x) for x in found], np.int64))
+
+    def _encode_stems(self, stems: list[str]) -> None:
+        """Words of plain letters, many in one text: each has one piece that ends a word, its last."""
+        parts = [stems[at : at + 200] for at in range(0, len(stems), 200)]
+        found = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, encoded in zip(parts, found, strict=True):
+            ids = np.array(encoded.ids, np.uint32)
             ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(some):
-                out += self._spans(some)
-                continue
-            lengths = np.diff(ends, prepend=0)
-            out += zip((self.flat.size + ends - lengths).tolist(), lengths.tolist(), strict=True)
-            self.flat.extend(ids)
-        return out
+            if len(ends) == len(part):
+                self._learn(ids, np.diff(ends, prepend=0))
+            else:
+                self._encode_units(part)
 
     def _fill(self, words: list[bytes]) -> list[np.ndarray]:
-        """Words of plain letters with marks behind are put together from stem and marks, as the tokenizer splits there."""
-        split = [m.groups() if (m := _STEM.fullmatch(w)) else (None, w) for w in map(bytes.decode, words)]
-        split = [(stem.lower() if stem else None, rest) for stem, rest in split]
-        fresh = list({s for s, _ in split if s and s not in self.stems})
-        self.stems.update(zip(fresh, self._stem_spans(fresh), strict=True))
-        whole = list({rest for _, rest in split if rest and ("", rest) not in self.stems})
-        self.stems.update(zip((("", w) for w in whole), self._spans(whole), strict=True))
-        spans, pieces, size = [], [], self.flat.size
-        for stem, rest in split:
-            if not stem or not rest:
-                spans.append(self.stems[stem or ("", rest)])
-                continue
-            (a, n), (b, m) = self.stems[stem], self.stems["", rest]
-            pieces += [(a, n), (b, m)]
-            spans.append((size, n + m))
-            size += n + m
-        if pieces:
-            places = np.array(pieces, np.int64)
-            self.flat.extend(self.flat.all[expand(places[:, 0], places[:, 1])])
-        return list(np.array(spans, np.int64).reshape(-1, 2).T)
+        """Each word as a stem of plain letters and the marks behind it, as the tokenizer splits it; other words are units as they are.
+
+        Stems are known in lower case; units have a blank behind them, which tells them apart.
+        """
+        known, plain, odd, pairs = self.stems, [], [], []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            rest, core = w[len(core) :], core.lower()
+            if core and (core in known or core.isalpha() or _LETTERS.fullmatch(core.decode())):
+                if core not in known:
+                    known[core] = -1
+                    plain.append(core)
+            else:
+                core, rest = w + b" ", b""
+                if core not in known:
+                    known[core] = -1
+                    odd.append(w)
+            if rest:
+                rest += b" "
+                if rest not in known:
+                    known[rest] = -1
+                    odd.append(rest[:-1])
+            pairs += (core, rest)
+        for some, keys, encode in ((plain, plain, self._encode_stems), (odd, [w + b" " for w in odd], self._encode_units)):
+            first = self.unit_starts.size
+            encode([w.decode() for w in some])
+            known.update(zip(keys, range(first, first + len(some)), strict=True))
+        unit = np.fromiter(map(known.__getitem__, pairs), np.int64, len(pairs))
+        lengths = self.unit_lengths.all[unit]
+        ids = self.units.all[expand(self.unit_starts.all[unit], lengths)]
+        each = lengths.reshape(-1, 2).sum(axis=1)
+        starts = self.flat.size + np.cumsum(each) - each
+        self.flat.extend(ids)
+        return [starts, each]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of each."""
