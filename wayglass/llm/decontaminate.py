@@ -10,7 +10,6 @@ exact shingle containment, so nothing is missed and nothing wrong remains.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordTable, expand, slices, texts_of
+from .shared import WordTable, expand, kept, slices, texts_of
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -58,10 +57,9 @@ class _Words:
         return codes[full], hashes[full], np.concatenate(([0], np.cumsum(full)))[ends]
 
 
-@functools.lru_cache(maxsize=1)
 def _words() -> _Words:
     """One for all tasks of a Python worker."""
-    return _Words()
+    return kept("decontaminate", _Words)
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordTable, join_facts, run_sums, saved, slices, texts_of
+from .shared import WordTable, join_facts, kept, run_sums, saved, slices, texts_of
 
 MIN_WORDS = 10
 #: Most words in a hundred that may lie in repeated windows.
@@ -39,10 +38,9 @@ class _Words:
         return [chars, symbols]
 
 
-@functools.lru_cache(maxsize=1)
 def _words() -> _Words:
     """One for all tasks of a Python worker."""
-    return _Words()
+    return kept("quality", _Words)
 
 
 def repeated_words(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -124,7 +124,7 @@ class WordTable:
     changes no result.
     """
 
-    def __init__(self, fill, dtypes: list, clear=lambda: None, cap: int = 1_000_000) -> None:
+    def __init__(self, fill, dtypes: list, clear=lambda: None, cap: int = 600_000) -> None:
         self.fill, self.dtypes, self.clear, self.cap = fill, dtypes, clear, cap
         self._restart()
 
@@ -154,6 +154,20 @@ class WordTable:
         return codes, ends
 
 
+_kept: list = []
+
+
+def kept(key, make):
+    """make(), once for a Python worker as long as it is asked for by this key: its words stay known from task to task.
+
+    A worker keeps one thing at a time, so that operators that follow each other do not add up in memory.
+    """
+    if not _kept or _kept[0] != key:
+        _kept[:] = []
+        _kept[:] = [key, make()]
+    return _kept[1]
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every run, one run after the other."""
     ends = np.cumsum(lengths, dtype=np.int64)

@@ -13,7 +13,6 @@ Documents lie in ascending order of key (then of text) over all shards.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Growing, WordTable, expand, partitions, run_sums, saved, slices, texts_of
+from .shared import Growing, WordTable, expand, kept, partitions, run_sums, saved, slices, texts_of
 
 #: Keys in one part of the index, on average: a part is built and read in one task.
 KEYS_PER_PART = 1 << 16
@@ -232,10 +231,9 @@ class WordEncoder:
         return self.flat.all[expand(starts, lengths)], run_sums(lengths, ends)
 
 
-@functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
-    """One for all tasks of a Python worker: its words stay known."""
-    return WordEncoder(path)
+    """One for all tasks of a Python worker."""
+    return kept(("token_shards", path), lambda: WordEncoder(path))
 
 
 def _pack(ids: np.ndarray, counts: np.ndarray, end_id: int, width: str) -> tuple[np.ndarray, np.ndarray]:

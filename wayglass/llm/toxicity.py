@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordTable, saved, slices, texts_of
+from .shared import WordTable, kept, saved, slices, texts_of
 
 #: Labelled documents to learn from, at most, of each label (drawn by a hash of doc_id).
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
@@ -145,14 +145,9 @@ class _Scorer:
         return out
 
 
-_scorers: list[_Scorer] = []
-
-
 def _scorer(model: Model) -> _Scorer:
-    """One for all tasks of a Python worker with this model: its words stay known."""
-    if not _scorers or _scorers[0].model is not model:
-        _scorers[:] = [_Scorer(model)]
-    return _scorers[0]
+    """One for all tasks of a Python worker with this model."""
+    return kept(("toxicity", model), lambda: _Scorer(model))
 
 
 def worst_words(documents: DataFrame, model: Model, name: str) -> DataFrame:

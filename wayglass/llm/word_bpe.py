@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Growing, WordTable, expand, run_sums, slices
+from .shared import Growing, WordTable, expand, kept, run_sums, slices
 
 # Unicode's White_Space characters, which the tokenizer's pattern calls \s.
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -84,10 +83,9 @@ class WordBpe:
         return [raw[a:b].decode(errors="replace") for a, b in zip([0, *ends], ends, strict=False)]
 
 
-@functools.lru_cache(maxsize=1)
 def _bpe(path: str) -> WordBpe:
-    """One for all tasks of a Python worker: its words stay known."""
-    return WordBpe(path)
+    """One for all tasks of a Python worker."""
+    return kept(("word_bpe", path), lambda: WordBpe(path))
 
 
 def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
