@@ -1,5 +1,8 @@
 import datetime
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -41,3 +44,25 @@ def test_flagship(spark):
 
 def test_every_core_query_has_an_oracle():
     assert set(registry.QUERIES) == set(registry.ORACLES)
+
+
+def test_the_rest_works_without_the_corpus_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copy(entry.__file__, tmp_path)
+    shutil.copytree(f"{root}/wayglass", tmp_path / "wayglass", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'op2_simhash' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"
+    for leftover in (False, True):
+        if leftover:  # a folder without modules
+            (tmp_path / "wayglass/llm/__pycache__").mkdir(parents=True)
+        said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+        assert said.stdout.split() == [str(len(registry.QUERIES)), "False", "True"], said.stderr
+
+
+def test_nothing_else_imports_the_corpus_operators():
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    for folder, _, names in os.walk(f"{root}/wayglass"):
+        if os.path.basename(folder) not in ("llm", "__pycache__"):
+            for name in names:
+                if name.endswith(".py"):
+                    with open(f"{folder}/{name}") as f:
+                        assert "llm" not in f.read(), name
