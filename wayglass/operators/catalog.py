@@ -105,3 +105,10 @@ def with_entries(bosses: DataFrame, entries: DataFrame) -> DataFrame:
     """bosses (name, ...) with entry_target and entry_category of the first entry (name, target, category, seq) of its key."""
     first = first_per_key(entries.select(canonical(F.col("name")).alias("k"), F.col("target").alias("entry_target"), F.col("category").alias("entry_category"), "seq"), ["k"], [F.asc("seq")]).drop("seq")
     return bosses.withColumn("k", entry_key(F.col("name"))).join(first, "k", "left").drop("k")
+
+
+def with_first_prediction(bosses: DataFrame, predicted: DataFrame) -> DataFrame:
+    """bosses (name, ...) with prediction, the first row (by seq) of predicted (boss_name, seq, ...) for the name, as a struct."""
+    rest = [c for c in predicted.columns if c not in ("boss_name", "seq")]
+    first = predicted.groupBy(F.col("boss_name").alias("name")).agg(F.min_by(F.struct(*rest), F.col("seq")).alias("prediction"))
+    return bosses.join(first, "name", "left")

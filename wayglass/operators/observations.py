@@ -12,6 +12,7 @@ from .keyed import first_per_key, not_stored
 
 # Limits, short names, headings and the phrases that stand around a name.
 MAX_TEXT, MAX_ROWS, MAX_MESSAGE, MAX_BATCH, MAX_CHECKS = 40_000, 200, 6_000, 100, 50_000
+MAX_DATA_URL, MAX_IMAGE = 300_000, 220_000
 FIRST_DAY = "2020-01-01"
 ALIASES = {"pantera": "Midnight Panther", "panther": "Midnight Panther", "murius": "General Murius", "cavebear": "Undead Cavebear", "crustacea": "Crustacea Gigantica"}
 TAIL = r"(?i)\s*(?:;|=|:|\s)\s*(?:n[aã]o (?:estavam?|encontrad[oa]s?|achei|encontrei)|vazio|ausente|presente|encontrado|estavam?)\s*$"
@@ -207,3 +208,38 @@ def cut_diagnostics(rows: DataFrame) -> DataFrame:
     return rows.select(F.substring(F.coalesce("detected", F.lit("")), 1, 150).alias("detected"), *map(held, ("visible", "relevant", "without_date")))
 
 
+
+
+def rounds(stored: DataFrame, n: int = 20) -> DataFrame:
+    """The first n batches by the place of their first row: batch_id, world, rows and bosses in order."""
+    row = F.struct("seq", "boss", "result")
+    each = stored.groupBy("batch_id").agg(F.min("seq").alias("first"), F.min("world").alias("world"), F.count("*").alias("rows"), F.array_sort(F.collect_list(row)).alias("all"))
+    return each.orderBy("first", "batch_id").limit(n).select("batch_id", "world", "rows", F.transform("all", lambda r: r["boss"]).alias("bosses"))
+
+
+def image_rows(images: DataFrame, recognised: DataFrame, pending: DataFrame) -> DataFrame:
+    """images (id, message_id) with bosses and at of their message: as recognised (id, bosses, at), else as pending (id, bosses, date, time), else none and 0."""
+    told = recognised.select(F.col("id").alias("message_id"), F.col("bosses").alias("told"), F.col("at").alias("told_at"))
+    waiting = pending.select(F.col("id").alias("message_id"), F.col("bosses").alias("waits"), at_local(F.col("date"), F.col("time")).alias("waits_at"))
+    joined = images.join(told, "message_id", "left").join(waiting, "message_id", "left")
+    bosses = F.coalesce("told", "waits", F.array().cast("array<string>"))
+    at = F.coalesce(F.when(F.col("told_at") != 0, F.col("told_at")), "waits_at", F.lit(0))
+    return joined.select(*images.columns, bosses.alias("bosses"), at.alias("at"))
+
+
+def image_type(data_url: Column) -> Column:
+    """Type of an image given as a data URL, if its first bytes are those of that type; else null."""
+    form = r"^data:image/(jpeg|png|webp);base64,([A-Za-z0-9+/]+=*)$"
+    kind, head = F.regexp_extract(data_url, form, 1), F.hex(F.try_to_binary(F.substring(F.regexp_extract(data_url, form, 2), 1, 16), F.lit("base64")))
+    png, jpeg, webp = head.startswith("89504E470D0A1A0A"), head.startswith("FFD8FF"), head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250")
+    body = F.regexp_extract(data_url, form, 2)
+    size = F.floor(F.length(F.rtrim(F.translate(body, "=", " "))) * 3 / 4)
+    sized = (F.length(data_url) <= MAX_DATA_URL) & size.between(12, MAX_IMAGE)
+    return F.when(sized & (((kind == "png") & png) | ((kind == "jpeg") & jpeg) | ((kind == "webp") & webp)), kind)
+
+
+def require_room(stored: DataFrame, new: DataFrame, limit: int = MAX_CHECKS) -> DataFrame:
+    """new, or an error where it would not fit with what is stored: nothing is cut off silently."""
+    if stored.count() + new.count() > limit:
+        raise ValueError(f"more than {limit} rows: export and review first")
+    return new
