@@ -19,30 +19,38 @@ HOURS = 24 // BUCKETS
 MIN_TOTAL, MIN_DAYS, MIN_FOUND = 10, 5, 3
 
 
+ANSWERS = ("no", "unknown", "yes")
+
+
 def blocks(checks: DataFrame) -> DataFrame:
     """One row for each boss, day and bucket (null: a bucket of its own): found, and rep, which speaks for the day.
 
-    The report that speaks for a day is its last sighting, else its first report.
+    The report that speaks for a day is its last sighting, else its first report. rep is one number, its place in that
+    order with its answer and result behind it, so that the aggregate stays a hash aggregate.
     """
     order = F.when(F.col("found"), F.col("seq")).otherwise(-F.col("seq") - 1)
-    rep = F.max(F.struct(order.alias("order"), "favorable", "found"))
-    return checks.groupBy(*KEYS, "day", "bucket").agg(F.max("found").alias("found"), rep.alias("rep"))
+    answer = F.when(F.col("favorable") == "yes", 2).when(F.col("favorable") == "no", 0).otherwise(1)
+    rep = order * 6 + answer * 2 + F.col("found").cast("int")
+    return checks.groupBy(*KEYS, "day", "bucket").agg(F.max("found").alias("found"), F.max(rep).alias("rep"))
 
 
 def days(checks: DataFrame) -> DataFrame:
-    """One row for each boss and day: n and hits (blocks and sightings), the same by bucket (t0.., f0..), and rep."""
+    """One row for each boss and day: n and hits (blocks and sightings), the same by bucket (t0.., f0..), and favorable and sighted of the report that speaks for it."""
     hit = lambda b, more: F.sum(((F.col("bucket") == b) & more).cast("long"))
     by_bucket = [x for b in range(BUCKETS) for x in (F.coalesce(hit(b, F.lit(True)), F.lit(0)).alias(f"t{b}"), F.coalesce(hit(b, F.col("found")), F.lit(0)).alias(f"f{b}"))]
-    return blocks(checks).groupBy(*KEYS, "day").agg(F.count("*").alias("n"), F.sum(F.col("found").cast("long")).alias("hits"), F.max("rep").alias("rep"), *by_bucket)
+    grouped = blocks(checks).groupBy(*KEYS, "day").agg(F.count("*").alias("n"), F.sum(F.col("found").cast("long")).alias("hits"), F.max("rep").alias("rep"), *by_bucket)
+    said = F.pmod(F.col("rep"), F.lit(6)).cast("int")
+    answers = F.array(*map(F.lit, ANSWERS))
+    return grouped.withColumn("favorable", F.get(answers, F.floor(said / 2).cast("int"))).withColumn("sighted", said % 2 == 1).drop("rep")
 
 
 def totals(checks: DataFrame) -> DataFrame:
     """One row for each boss: total, found, days, favourable and other days, and hours (array of all buckets)."""
 
     def split(answer: str) -> list[Column]:
-        own = F.col("rep.favorable") == answer
+        own = F.col("favorable") == answer
         name = {"yes": "favorable", "no": "unfavorable"}[answer]
-        return [F.count_if(own).alias(f"{name}_total"), F.count_if(own & F.col("rep.found")).alias(f"{name}_found")]
+        return [F.count_if(own).alias(f"{name}_total"), F.count_if(own & F.col("sighted")).alias(f"{name}_found")]
 
     summed = [x for b in range(BUCKETS) for x in (F.sum(f"t{b}").alias(f"t{b}"), F.sum(f"f{b}").alias(f"f{b}"), F.count_if(F.col(f"t{b}") > 0).alias(f"d{b}"))]
     grouped = days(checks).groupBy(*KEYS).agg(F.sum("n").alias("total"), F.sum("hits").alias("found"), F.count("*").alias("days"), *split("yes"), *split("no"), *summed)

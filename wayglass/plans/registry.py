@@ -32,7 +32,7 @@ def q_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_day_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.days(views.checks(spark, sf_dir)).select("world", "boss", "day", "n", "hits", "rep.favorable")
+    return patterns.days(views.checks(spark, sf_dir)).select("world", "boss", "day", "n", "hits", "favorable")
 
 
 def q_official_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
