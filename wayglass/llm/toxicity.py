@@ -35,8 +35,10 @@ CLEAR_ODDS = 1.5
 DECAY, SPAN = 0.5, 6
 #: Ridge of the machine.
 RIDGE = 1e-3
-#: Worst words that a document's score follows (the number of its words counts, too).
+#: Worst words that a document's score follows. The numbers of its words, and of those that score over BAD, count, too.
 WORST = 3
+BAD = 0.5
+FEATURES = WORST + 2
 #: Score of a word of under two letters, or of no word.
 FLOOR = -2.0
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -94,7 +96,7 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float, document: np.ndarray | None = None) -> None:
         self.weights, self.bias = weights, bias
-        self.document = np.array([0.0] * (WORST + 1) + [-10.0]) if document is None else document
+        self.document = np.array([0.0] * FEATURES + [-10.0]) if document is None else document
 
     def words(self, words: list[str]) -> np.ndarray:
         """Scores of words (letters only)."""
@@ -131,17 +133,18 @@ class _Scorer:
         return [self.model.words(units), np.array([len(u) == 1 for u in units], bool)]
 
     def worst(self, texts: list[bytes]) -> np.ndarray:
-        """For each text the scores of its WORST worst words, in order, and the log of its words."""
+        """For each text the scores of its WORST worst words, in order, and the logs of its bad words and of its words."""
         codes, ends = self.table.lookup([t.split() for t in texts])
         scores, single = self.table.arrays
-        out = np.full((len(texts), WORST + 1), FLOOR)
+        out = np.full((len(texts), FEATURES), FLOOR)
         for i, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)):
             own = codes[a:b]
             spelled = list({"".join(self.units[c] for c in run) for run in _spelled(own, single)})
-            found = np.concatenate((scores[np.unique(own)], self.model.words(spelled)))
+            put_together = self.model.words(spelled)
+            found = np.concatenate((scores[np.unique(own)], put_together))
             top = np.sort(np.partition(found, len(found) - WORST)[-WORST:] if len(found) > WORST else found)[::-1]
             out[i, : len(top)] = top
-            out[i, -1] = np.log1p(b - a)
+            out[i, -2:] = np.log1p([(scores[own] > BAD).sum() + (put_together > BAD).sum(), b - a])
         return out
 
 
@@ -160,7 +163,7 @@ def worst_words(documents: DataFrame, model: Model, name: str) -> DataFrame:
         scorer = _scorer(held.value)
         for batch in slices(batches):
             found = scorer.worst(texts_of(batch["text"]))
-            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, WORST + 1, dtype=np.int32), pa.array(found.ravel()))
+            lists = pa.ListArray.from_arrays(np.arange(0, found.size + 1, FEATURES, dtype=np.int32), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), lists], [*names, name])
 
     return documents.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
