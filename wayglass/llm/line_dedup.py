@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import partitions, saved, slices, texts_of
+from .shared import join_facts, partitions, saved, slices, texts_of
 
 #: Keys shorter than this (in code points) are never dropped.
 MIN_CHARS = 10
@@ -22,6 +22,8 @@ BITS_PER_LINE = 16
 MAX_FILTER_BITS = 1 << 28
 #: Bits of a filter that are merged together, in one row.
 SEGMENT = 1 << 20
+#: Suspected lines of one key from which on it is matched apart.
+HOT_LINE = 1000
 #: Keys that a task gathers before it sends on their bits.
 FLUSH = 400_000
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -132,8 +134,12 @@ def repeats(documents: DataFrame) -> DataFrame:
 
     keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text")
     rows = saved(keyed.mapInArrow(suspects, "doc long, digest binary"), "suspects")
-    firsts = rows.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select("digest", "first")
-    return rows.join(firsts, "digest").where("doc != first").select("doc", "digest").distinct()
+    firsts = saved(rows.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first != last").drop("last"), "firsts")
+    # A very common line would be one task's work in a join by digest: such lines are matched apart.
+    marked = join_facts(rows, firsts.where(F.col("n") > HOT_LINE).select("digest", F.col("first").alias("hot")), "digest")
+    hot = marked.where("doc != hot").select("doc", "digest")
+    rest = marked.where("hot IS NULL").join(firsts.where(F.col("n") <= HOT_LINE), "digest").where("doc != first").select("doc", "digest")
+    return hot.unionByName(rest).distinct()
 
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:
