@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,12 @@ HOT_LINE = 1000
 #: Keys that a task gathers before it sends on their bits.
 FLUSH = 400_000
 _SPACE = b" \t\n\r\x0b\x0c"
-_NO_ID = (1 << 63) - 1
+_NO_ID = 1 << 62
+
+
+def _doc() -> Column:
+    """Number of a row's document: its id, or one from 2^62 on, made of its text, where it has none."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)) + F.lit(_NO_ID))
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -112,7 +117,7 @@ def twice_seen(documents: DataFrame, bits: int) -> np.ndarray:
 
 
 def repeats(documents: DataFrame) -> DataFrame:
-    """doc and digest of every line key that a document loses, doc being its id (or _NO_ID)."""
+    """doc (see _doc) and digest of every line key that a document loses."""
     spark = documents.sparkSession
     lines = documents.agg(F.sum(F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(1)))).first()[0] or 1
     bits = min(MAX_FILTER_BITS, max(SEGMENT, 1 << (BITS_PER_LINE * lines - 1).bit_length()))
@@ -132,7 +137,7 @@ def repeats(documents: DataFrame) -> DataFrame:
                     found += own
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.binary())], ["doc", "digest"])
 
-    keyed = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text")
+    keyed = documents.select(_doc().alias("doc"), "text")
     rows = saved(keyed.mapInArrow(suspects, "doc long, digest binary"), "suspects")
     firsts = saved(rows.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first != last").drop("last"), "firsts")
     # A very common line would be one task's work in a join by digest: such lines are matched apart.
@@ -147,14 +152,14 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
 
     A key (see line_key) found in two documents or more loses its lines in all but the smallest
     doc_id that holds it, where all of them stay. Rows with the same doc_id are one document here;
-    rows without doc_id are one document that comes last. A null text is one empty line and becomes
+    rows without doc_id come after all others (ids are below 2^62), and those of one text are one document. A null text is one empty line and becomes
     the empty text. Other columns pass through; an empty table stays empty.
     """
     lost = repeats(documents).groupBy("doc").agg(F.collect_list("digest").alias("digests"))
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, True) for f in documents.schema if f.name in names])
     schema = schema.add("n_lines", "long").add("n_dropped", "long")
-    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"))
+    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _doc().alias("doc"))
     joined = row.join(lost, "doc", "left").select("row.*", F.col("digests").alias(mark := "digests of lost lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
