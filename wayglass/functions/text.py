@@ -51,6 +51,7 @@ def needs_review(text: Column) -> Column:
     return fold(text).rlike(REVIEW)
 
 
+# Fixed value: a stamp and sender before a line.
 _STAMP = r"^\[?(\d{1,2}):(\d{2})(?:,?\s+(\d{1,2})/(\d{1,2})/(\d{2,4}))?\]?\s*(?:[^:]{1,60}:\s*)?"
 
 

@@ -14,6 +14,8 @@ from .catalog import with_entries
 # Stages of each category.
 STAGES = {"Bane": (25, 100, 300), "Archfoe": (5, 20, 60), "Nemesis": (1, 3, 5), "Bestiary": (2, 3, 5)}
 MAX_KILLS = 100_000
+# Fixed value: a line of totals.
+TOTALS_LINE = r"^(.+?)\s*[;=\t]\s*(\d+)\s*$"
 DEFAULT_TARGET = 100
 
 
@@ -67,9 +69,8 @@ def parse_totals(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     Separators are ; = and tab. Errors: format, unknown, repeated, too-large; a text with any error is to be rejected as a whole.
     """
-    form = r"^(.+?)\s*[;=\t]\s*(\d+)\s*$"
     lines = texts.select("id", F.posexplode(F.split(F.trim("text"), r"\r?\n")).alias("at", "raw")).withColumn("raw", F.trim("raw"))
-    fields = lines.select("id", (F.col("at") + 1).alias("line"), F.regexp_extract("raw", form, 1).alias("said"), F.regexp_extract("raw", form, 2).alias("digits"))
+    fields = lines.select("id", (F.col("at") + 1).alias("line"), F.regexp_extract("raw", TOTALS_LINE, 1).alias("said"), F.regexp_extract("raw", TOTALS_LINE, 2).alias("digits"))
     known = names.select(canonical(F.col("name")).alias("k"), "name").groupBy("k").agg(F.min("name").alias("name"))
     joined = fields.withColumn("k", canonical(F.col("said"))).join(known, "k", "left").drop("k")
     place = F.row_number().over(Window.partitionBy("id", "name").orderBy("line"))

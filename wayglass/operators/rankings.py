@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 MAX_LOCATIONS = 20
 MAX_X = MAX_Y = 65_535
 MAX_Z = 15
+# Fixed value: how a page marks a place on the map.
+MAP_PLACE = r'class="map_frame_coord"[^>]*>\s*(\d+,\d+,\d+):\d+'
 
 
 def look_up(lists: DataFrame, players: DataFrame, names: list[str]) -> DataFrame:
@@ -46,7 +48,7 @@ def first_distinct(pages: DataFrame, key: str, found: Column, cap: int = MAX_LOC
 
 def locations(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Map places of pages: key, name ('Local n') and x, y, z, the first MAX_LOCATIONS different ones within bounds."""
-    each = F.regexp_extract_all(F.col(html), F.lit(r'class="map_frame_coord"[^>]*>\s*(\d+,\d+,\d+):\d+'), 1)
+    each = F.regexp_extract_all(F.col(html), F.lit(MAP_PLACE), 1)
     place = F.transform(F.transform(each, lambda c: F.split(c, ",")), lambda p: F.struct(*[p[i].try_cast("int").alias(n) for i, n in enumerate("xyz")]))
     inside = F.filter(place, lambda p: (p["x"] <= MAX_X) & (p["y"] <= MAX_Y) & (p["z"] <= MAX_Z))
     found = first_distinct(pages, key, inside)
