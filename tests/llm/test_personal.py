@@ -91,6 +91,23 @@ def test_mixed_contexts_are_not_trusted(spark):
     assert [s for d, _, s in run(spark, rows) if d == 900] == [[]]
 
 
+@pytest.mark.parametrize("unknown", [20, 100, 200])
+@pytest.mark.parametrize("contexts", [["so we met at {} again"], ["so we met at {} again", "then it was on {} there"]])
+def test_few_seeds_do_not_turn_a_common_context(spark, unknown, contexts):
+    seen = [f"a{i}@b.co" for i in range(4)] + [f"20{i // 12:02d}-{i % 12 + 1:02d}-11" for i in range(unknown)]
+    rows = list(enumerate(c.format(x) for c in contexts for x in seen))
+    assert [(d, s) for d, base, s in run(spark, rows) if s != base] == []
+
+
+def test_instances_vouched_for_elsewhere_carry_a_context(spark):
+    local = [f"(555) 0199-22{i}" for i in range(6)]
+    first = [f"+1 (555) 555-01{i:02d}" for i in range(20)]
+    texts = [f"please call me at {x} today" for x in first + local] + [f"or by fax {x} if so" for x in first[:4] + local + ["(555) 0177-333"]]
+    rows = list(enumerate(texts))
+    missed = [texts[d] for d, _, s in run(spark, rows) if len(s) != 1 or personal.KINDS[s[0][1]] != "phone"]
+    assert missed == []
+
+
 def test_nulls_repeats_empty_table_and_clashing_names(spark):
     assert run(spark, []) == []
     rows = [(None, "a@b.co", "x", 1), (None, "a@b.co", "x", 1), (3, None, None, None), (3, "1.1.1.1 z", "y", 2), (3, "1.1.1.1 z", "y", 2)]

@@ -3,15 +3,14 @@
 Known formats (e-mail, IP address, card and phone numbers) are the seeds. Their contexts induce lexical
 patterns: the word before, the two words before, and the words on both sides, within a
 line. Patterns and instances (identifier strings) form a graph, over which confidence is passed for a few rounds: a
-pattern is worth what its instances are worth, an instance what its best patterns are. Instances that
-no format knows, but patterns of high confidence do, are identifiers too. All in Spark expressions.
+pattern is worth what its instances are worth, an instance what its best trusted pattern is. What an instance is worth
+to a pattern never comes from that pattern, nor from one with the same word before: these are of the same occurrences. Instances that
+no format knows, but trusted patterns do, are identifiers too. All in Spark expressions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import join_facts, saved
@@ -19,6 +18,8 @@ from .shared import join_facts, saved
 #: Distinct instances of known format that a pattern needs, the confidence it needs, and an instance then needs.
 MIN_SEEDS = 4
 CONFIDENCE = 0.75
+#: Of a pattern's distinct instances, the least share that must be of known format and of its kind.
+MIN_SHARE = 0.25
 ROUNDS = 3
 #: What an instance that nothing vouches for counts, when a pattern is judged by its instances.
 UNKNOWN = 0.25
@@ -133,19 +134,36 @@ def bootstrap(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = [F.count(F.when(F.col("kind") == i, 1)) for i in range(len(KINDS))]
     able = edges.groupBy("pattern").agg(F.greatest(*each).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern")
     graph = saved(edges.join(able, "pattern", "left_semi"), "personal-graph")
-    unknown = graph.where("kind IS NULL")
-    names = [f"k{i}" for i in range(len(KINDS))]
-    sure = graph.where("kind IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == i, 1)).cast("double").alias(f"s{i}") for i in range(len(KINDS))])
-    scores = unknown.select("instance", *[F.lit(0.0).alias(k) for k in names]).distinct()
+    unknown = graph.where("kind IS NULL").select("pattern", "instance", _word_before(F.col("pattern")).alias("word"))
+    kinds = range(len(KINDS))
+    sure = graph.where("kind IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == i, 1)).cast("double").alias(f"s{i}") for i in kinds])
+    votes = None
     for _ in range(ROUNDS):
-        passed = unknown.join(scores, "instance").groupBy("pattern").agg(F.sum(F.greatest(F.lit(UNKNOWN), *names)).alias("more"), *[F.sum(k).alias(k) for k in names])
-        total = F.col("n") + F.coalesce("more", F.lit(0.0)) + 1
-        confidence = saved(sure.join(passed, "pattern", "left").select("pattern", *[F.when(F.col(f"s{i}") >= MIN_SEEDS, (F.col(f"s{i}") + F.coalesce(k, F.lit(0.0))) / total).otherwise(0.0).alias(k) for i, k in enumerate(names)]), "personal-patterns")
-        scores = saved(unknown.select("pattern", "instance").join(confidence, "pattern").groupBy("instance").agg(*[F.max(k).alias(k) for k in names]), "personal-scores")
-    best = F.greatest(*names)
-    kind = reduce(lambda rest, i: F.when(F.col(names[i]) == best, F.lit(i)).otherwise(rest), reversed(range(len(KINDS))), F.lit(None).cast("int"))
-    accepted = lambda df, key, name: df.where(best >= CONFIDENCE).select(key, kind.alias("kind"), best.alias(name))
-    return accepted(confidence, "pattern", "confidence"), accepted(scores, "instance", "score")
+        told = [F.lit(0.0) if votes is None else F.coalesce(F.when(F.col(f"w{i}") == F.col("word"), F.col(f"b{i}")).otherwise(F.col(f"a{i}")), F.lit(0.0)) for i in kinds]
+        heard = unknown if votes is None else unknown.join(votes, "instance", "left")
+        passed = heard.groupBy("pattern").agg(F.count("*").alias("u"), F.sum(F.greatest(F.lit(UNKNOWN), *told)).alias("more"), *[F.sum(k).alias(f"k{i}") for i, k in enumerate(told)])
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        enough = lambda i: (F.col(f"s{i}") >= MIN_SEEDS) & (F.col(f"s{i}") >= MIN_SHARE * (F.col("n") + zero("u")))
+        each = [F.struct(F.when(enough(i), (F.col(f"s{i}") + zero(f"k{i}")) / (F.col("n") + zero("more") + 1)).otherwise(0.0).alias("confidence"), F.lit(-i).alias("order")) for i in kinds]
+        best = sure.join(passed, "pattern", "left").select("pattern", F.greatest(*each).alias("best")).where(F.col("best.confidence") >= CONFIDENCE)
+        trusted = saved(best.select("pattern", (-F.col("best.order")).alias("kind"), "best.confidence"), "personal-patterns")
+        votes = _votes(unknown.join(trusted, "pattern"))
+    scores = unknown.join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("best"))
+    return trusted, scores.select("instance", (-F.col("best.order")).alias("kind"), F.col("best.confidence").alias("score"))
+
+
+def _word_before(pattern: Column) -> Column:
+    """The word before an instance, which all patterns of one occurrence share."""
+    return F.get(F.split(pattern, " "), F.when(pattern.startswith("2 "), 2).otherwise(1))
+
+
+def _votes(told: DataFrame) -> DataFrame:
+    """instance and, for each kind i, its best score a{i}, the word w{i} before it there, and its best score b{i} after any other word."""
+    each = told.groupBy("instance", "kind", "word").agg(F.max("confidence").alias("score"))
+    place = F.row_number().over(Window.partitionBy("instance", "kind").orderBy(F.desc("score"), "word"))
+    two = each.withColumn("place", place).where("place <= 2")
+    at = lambda i, place, c: F.max(F.when((F.col("kind") == i) & (F.col("place") == place), F.col(c)))
+    return saved(two.groupBy("instance").agg(*[at(i, p, c).alias(f"{n}{i}") for i in range(len(KINDS)) for n, p, c in (("a", 1, "score"), ("w", 1, "word"), ("b", 2, "score"))]), "personal-votes")
 
 
 def find(documents: DataFrame) -> DataFrame:
