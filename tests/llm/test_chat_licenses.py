@@ -94,6 +94,23 @@ def test_whole_texts_paragraphs_nulls_and_repeats(spark):
     assert licenses.by_document(df.limit(0)).count() == 0
 
 
+def test_notices_within_lines_and_across_paragraphs(spark):
+    mit, gpl = licenses.TEMPLATES[3][1], licenses.TEMPLATES[8][1]
+    parts = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE").replace(", ", ",\n")
+    notice = "Licensed under the MIT License."
+    rows = [
+        (1, PROSE + "\n\n" + parts + "\n\n" + PROSE),
+        (2, PROSE + "\n\n" + gpl.replace("License, or", "License,\n\nor").replace("This program is dist", "\n\nThis program is dist") + "\n\n" + PROSE),
+        (3, "Copyright (c) 2021 Foo. " + notice),
+        (4, PROSE + " " + notice + " " + PROSE + " This work is licensed under the GNU General Public License, version 2. " + PROSE),
+        (4, PROSE + " " + notice + " " + PROSE + " This work is licensed under the GNU General Public License, version 2. " + PROSE),
+        (5, PROSE + " under the license of the MIT " + PROSE),
+        (6, PROSE + "\n" + notice + "\n" + PROSE + " " + notice + " Licensed\nunder the MIT\nLicense. " + PROSE),
+    ]
+    found = {r.doc_id: (r.n_matches, r.licences, r.dice) for r in licenses.by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (1, "MIT", 1.0), 2: (1, "GPL-3.0", 1.0), 3: (1, "MIT", 1.0), 4: (4, "GPL-2.0,MIT", 1.0), 5: (0, "", 0.0), 6: (3, "MIT", 1.0)}
+
+
 def test_unescape_takes_one_escape_away(spark):
     df = spark.createDataFrame([(t,) for t in HARD], "t string")
     rows = df.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(chat.escape(F.col("t")))).alias("two")).collect()

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 THRESHOLD = 0.8
 #: Most templates that are written into a job as literals.
 MAX_TEMPLATES = 1000
@@ -96,48 +102,113 @@ def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD
     return sized.groupBy("size").agg(F.sort_array(F.collect_list("t")).alias("candidates"))
 
 
-def units(documents: DataFrame) -> DataFrame:
-    """doc_id, line and words of all units: lines (from 0), whole texts of several lines (-1), their paragraphs of several lines (-2).
+def anchors(given=TEMPLATES, threshold: float = THRESHOLD) -> tuple[dict[str, list[tuple[int, int]]], list[str]]:
+    """Bigrams to look for in running text: for each, the places (words before it, words of the template) it has in templates; and the rarer words of all.
 
-    Lines are what licence notices stand on; longer licence texts are paragraphs or whole documents. Each text is read once;
-    the words of a whole text are those of its lines.
+    A text that reaches the threshold t has t b / (2 - t) of a template's b bigrams at least, so of any set of one bigram more than
+    may be missing it has one for certain. Taken are those whose rarer word is in the fewest templates, the longest first.
+    """
+    said = [re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) for _, text in given]
+    common = Counter(w for found in said for w in set(found))
+    rare = lambda p: min((common[x], -len(x), x) for x in p.split())
+    found: dict[str, list[tuple[int, int]]] = {}
+    for w in said:
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        different = sorted(set(pairs), key=lambda p: (rare(p), p))
+        missing = len(different) - math.ceil(threshold * len(different) / (2 - threshold) - 1e-9)
+        for pair in different[: missing + 1]:
+            found.setdefault(pair, []).extend((i, len(w)) for i, p in enumerate(pairs) if p == pair)
+    return {pair: sorted(set(places)) for pair, places in found.items()}, sorted({rare(p)[2] for p in found})
+
+
+def windows(found: Column, given=TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """Runs of words (from, to and words) as long as a template, laid so that an anchor in the text lies on its place in the template."""
+    known, rare = anchors(given, threshold)
+    none = F.array().cast("array<struct<from:int,to:int,words:array<string>>>")
+    if not known:
+        return none
+    pair = lambda i: F.concat_ws(" ", F.get(found, i), F.get(found, i + 1))
+    places = F.create_map(*[x for p, at in known.items() for x in (F.lit(p), F.array(*[F.struct(F.lit(q).alias("q"), F.lit(m).alias("m")) for q, m in at]))])
+    hits = F.filter(F.sequence(F.lit(0), F.size(found) - 2), lambda i: pair(i).isin(*known))
+    laid = F.flatten(F.transform(hits, lambda i: F.transform(F.try_element_at(places, pair(i)), lambda t: F.struct(F.greatest(i - t.q, F.lit(0)).alias("from"), F.least(i - t.q + t.m, F.size(found)).alias("to")))))
+    runs = F.transform(F.array_distinct(laid), lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), F.slice(found, r["from"] + 1, r["to"] - r["from"]).alias("words")))
+    # Most texts have no word of any anchor, and end here.
+    return F.when((F.size(found) >= 2) & F.arrays_overlap(found, F.array(*map(F.lit, rare))), runs).otherwise(none)
+
+
+def units(documents: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, line and words of all units: lines (from 0), whole texts of several lines (-1), their paragraphs of several
+    lines (-2, numbered in part), and windows (-3, with at: the places from and to in the text's words, and the first and last line and paragraph).
+
+    Lines are what licence notices stand on; longer licence texts are paragraphs or whole documents. Windows find what shares its
+    lines with other words, or runs over several paragraphs of a longer text. The words of a whole text are those of its lines.
     """
     text = F.coalesce("text", F.lit(""))
     several, parted = F.contains("text", F.lit("\n")), F.col("text").rlike("\n[ \t]*\n")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("lines", F.transform(F.split("text", "\n"), words))
-    none = F.array().cast("array<struct<line:int,words:array<string>>>")
-    unit = lambda line, found: F.struct(line.cast("int").alias("line"), found.alias("words"))
-    blocks = F.filter(F.split("text", "\n(?:[ \t]*\n)+"), lambda b: F.contains(b, F.lit("\n")))
+    blocks = F.split("text", "\n(?:[ \t]*\n)+")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).withColumn("lines", F.transform(F.split("text", "\n"), words)).withColumn("all", F.flatten("lines"))
+    rows = rows.withColumn("windows", windows(F.col("all"), given, threshold))
+    numbers = lambda found: F.flatten(F.transform(found, lambda w, i: F.array_repeat(i, F.size(w))))
+    some = F.size("windows") > 0
+    rows = rows.withColumn("line of", F.when(some, numbers(F.col("lines")))).withColumn("part of", F.when(some, numbers(F.transform(blocks, words))))
+    span = "struct<from:int,to:int,line:int,last_line:int,part:int,last_part:int>"
+    none = F.array().cast(f"array<struct<line:int,part:int,at:{span},words:array<string>>>")
+    unit = lambda line, part, found, at=F.lit(None).cast(span): F.struct(line.cast("int").alias("line"), part.cast("int").alias("part"), at.alias("at"), found.alias("words"))
+    ends = lambda c, r, a, b: (F.get(F.col(c), r["from"]).alias(a), F.get(F.col(c), r["to"] - 1).alias(b))
+    at = lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), *ends("line of", r, "line", "last_line"), *ends("part of", r, "part", "last_part"))
     every = F.concat(
-        F.transform("lines", lambda w, i: unit(i, w)),
-        F.when(several, F.array(unit(F.lit(-1), F.flatten("lines")))).otherwise(none),
-        F.when(several & parted, F.transform(blocks, lambda b: unit(F.lit(-2), words(b)))).otherwise(none),
+        F.transform("lines", lambda w, i: unit(i, i, w)),
+        F.when(several, F.array(unit(F.lit(-1), F.lit(0), F.col("all")))).otherwise(none),
+        F.when(several & parted, F.filter(F.transform(blocks, lambda b, i: F.when(F.contains(b, F.lit("\n")), unit(F.lit(-2), i, words(b)))), lambda u: u.isNotNull())).otherwise(none),
+        F.transform("windows", lambda r: unit(F.lit(-3), F.lit(0), r["words"], at(r))),
     )
-    return rows.select("doc_id", F.inline(every))
+    return rows.select("doc_id", "text_hash", F.inline(every))
 
 
 def scan(documents: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line, licence, dice of every unit (see units) that matches a template: its best one, the first at a tie.
 
-    Nothing shuffles: templates are bounded (MAX_TEMPLATES) and go to all tasks, found by a unit's
-    number of bigrams. Null and empty texts match nothing, nor do units of one word. Rows that
+    Only matches shuffle: templates are bounded (MAX_TEMPLATES) and go to all tasks, found by a unit's
+    number of bigrams. A window counts where no other unit that matches holds it, or meets it and is as good, and of windows
+    that meet the best one. Null and empty texts match nothing, nor do units of one word. Rows that
     repeat, or lack, a doc_id have rows of their own. Other columns are ignored; an empty table gives none.
     """
     known = templates(documents.sparkSession, given, threshold)
     most = known.agg(F.max("size")).first()[0] or 0
     # A text with d different words has d - 1 different bigrams at least: most whole texts end here.
-    found = units(documents).where((F.size("words") >= 2) & ((F.size("words") <= most + 1) | (F.size(F.array_distinct("words")) <= most + 1)))
-    found = found.select("doc_id", "line", bigrams(F.col("words")).alias("bigrams")).withColumn("size", F.size("bigrams"))
+    found = units(documents, given, threshold).where((F.size("words") >= 2) & ((F.size("words") <= most + 1) | (F.size(F.array_distinct("words")) <= most + 1)))
+    unit = ["doc_id", "text_hash", "line", "part", "at"]
+    found = found.select(*unit, bigrams(F.col("words")).alias("bigrams")).withColumn("size", F.size("bigrams"))
     compared = found.join(F.broadcast(known), "size").select(
-        "doc_id",
-        "line",
+        *unit,
         F.transform(
             "candidates",
             lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("bigrams"), t.bigrams)) / (F.col("size") + F.size(t.bigrams))).alias("dice"), (-t.template).alias("order"), t.licence.alias("licence")),
         ).alias("scores"),
     )
-    best = compared.select("doc_id", "line", F.array_max("scores").alias("best"))
-    return best.where(F.col("best.dice") >= threshold - 1e-9).select("doc_id", "line", "best.licence", "best.dice")
+    best = compared.select(*unit, F.array_max("scores").alias("best"))
+    matched = saved(best.where(F.col("best.dice") >= threshold - 1e-9).select(*unit, "best.licence", "best.dice"), "licences")
+    out = ["doc_id", "line", "licence", "dice"]
+    return matched.where("line <> -3").select(*out).unionByName(_apart(matched).select(*out))
+
+
+def _apart(matched: DataFrame) -> DataFrame:
+    """The windows of matched that count (see scan). Rows of one doc_id and one text have the same ones."""
+    is_window = F.col("line") == -3
+    each = matched.groupBy("doc_id", "text_hash", "line", "part", "at", "licence", "dice").agg(F.count("*").alias("copies"))
+    best_first = F.struct((-F.col("dice")).alias("order"), "at", "licence", "dice", "copies")
+    texts = each.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.when(is_window, best_first))).alias("windows"), F.collect_list(F.when(~is_window, F.struct("line", "part", "dice"))).alias("others"))
+
+    def held(w: Column, o: Column) -> Column:
+        first, last = (F.when(o["line"] == -2, w["at"][p]).otherwise(w["at"][n]) for p, n in (("part", "line"), ("last_part", "last_line")))
+        inside, meets = (first == o["part"]) & (last == o["part"]), (first <= o["part"]) & (o["part"] <= last)
+        return (o["line"] == -1) | inside | (meets & (o["dice"] >= w["dice"]))
+
+    free = F.filter("windows", lambda w: ~F.exists("others", lambda o: held(w, o)))
+    meets = lambda a, b: (a["at"]["from"] < b["at"]["to"]) & (b["at"]["from"] < a["at"]["to"])
+    alone = lambda free: F.aggregate(free, F.filter(free, lambda w: F.lit(False)), lambda acc, w: F.when(F.exists(acc, lambda a: meets(a, w)), acc).otherwise(F.concat(acc, F.array(w))))
+    kept = texts.where(F.size("windows") > 0).select("doc_id", free.alias("free")).select("doc_id", F.inline(alone(F.col("free"))))
+    return kept.select("doc_id", F.lit(-3).alias("line"), "licence", "dice", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
 def by_document(documents: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
