@@ -123,3 +123,14 @@ def test_groups_diagnostics_pages_and_names(spark):
     assert one(spark, T.html_text(F.lit("<p>a<script>x<y</script> b</p>\n<b>c</b>"))) == "a b c"
     assert one(spark, T.labelled_number(F.lit("Experience: −1.234.567 x"), "Experience")) == -1234567
     assert one(spark, T.labelled_number(F.lit("none"), "Experience")) is None
+
+
+def test_every_distinct_link_of_a_page_is_returned(spark, tmp_path):
+    from wayglass.plans import registry
+
+    html = "".join(f'<a href="/p{i % 30}">x</a>' for i in range(60))
+    spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = registry.QUERIES["html_extract_distinct"](spark, str(tmp_path)).collect()
+    assert sorted((r.place, r.value) for r in found) == [(i + 1, f"/p{i}") for i in range(30)]
+    places = "".join(f'<i class="map_frame_coord">{i},1,1:1</i>' for i in range(30))
+    assert rankings.locations(spark.createDataFrame([(1, places)], "page_id long, html string")).count() == rankings.MAX_LOCATIONS

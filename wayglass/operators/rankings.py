@@ -40,10 +40,10 @@ def valid_name(name: Column) -> Column:
     return F.coalesce(F.length(trimmed).between(2, 60) & ~trimmed.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
 
 
-def first_distinct(pages: DataFrame, key: str, found: Column, cap: int = MAX_LOCATIONS) -> DataFrame:
-    """key, place (from 1) and value of the first cap different values of an array column, in order of first sight."""
+def first_distinct(pages: DataFrame, key: str, found: Column, cap: int | None = MAX_LOCATIONS) -> DataFrame:
+    """key, place (from 1) and value of the first cap different values of an array column (None: of all), in order of first sight."""
     rows = pages.select(key, F.posexplode(F.array_distinct(found)).alias("at", "value"))
-    return rows.where(F.col("at") < cap).select(key, (F.col("at") + 1).alias("place"), "value")
+    return (rows if cap is None else rows.where(F.col("at") < cap)).select(key, (F.col("at") + 1).alias("place"), "value")
 
 
 def locations(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

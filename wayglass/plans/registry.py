@@ -132,7 +132,7 @@ def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_html_extract_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rankings.first_distinct(table(spark, sf_dir, "pages"), "page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))
+    found = rankings.first_distinct(table(spark, sf_dir, "pages"), "page_id", F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1), None)
     return found.select("page_id", F.col("place").cast("long").alias("place"), "value")
 
 
