@@ -141,20 +141,34 @@ def test_rankings_and_lists(spark):
     assert [r.name for r in progress.radar(df, "A", "soon").collect()] == ["a"]
 
 
-def test_thinning_matches_a_plain_walk(spark):
+def walked(times, spacing):
+    out = []
+    for g in {x for x, _ in times}:
+        last = None
+        for t in sorted(t for x, t in times if x == g and t is not None):
+            if last is None or t - last >= spacing:
+                out.append((g, t))
+                last = t
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("leaf,fan", [(128, 128), (1, 2), (3, 2)])
+def test_thinning_matches_a_plain_walk(spark, monkeypatch, leaf, fan):
     import random
 
+    monkeypatch.setattr(snapshots, "LEAF", leaf)
+    monkeypatch.setattr(snapshots, "FAN", fan)
     rng = random.Random(3)
-    times = [("g", rng.randrange(5000)) for _ in range(900)] + [("h", 10 * i) for i in range(300)] + [("h", 10 * i) for i in range(300)] + [("i", None)]
-    found = sorted((r.world, r.at) for r in snapshots.thinned(spark.createDataFrame(times, "world string, at long"), spacing=37).collect())
-    want = []
-    for g in "gh":
-        last = None
-        for t in sorted(t for x, t in times if x == g):
-            if last is None or t - last >= 37:
-                want.append((g, t))
-                last = t
-    assert found == want
+    times = [("g", rng.randrange(-2000, 3000)) for _ in range(900)] + [("h", 10 * i) for i in range(300)] * 2 + [("i", None), (None, 7), (None, 50)]
+    found = [(r.world, r.at) for r in snapshots.thinned(spark.createDataFrame(times, "world string, at long"), spacing=37).collect()]
+    assert sorted(found, key=str) == walked(times, 37)
+    assert snapshots.thinned(spark.createDataFrame([], "world string, at long")).count() == 0
+
+
+def test_a_group_without_pauses_is_thinned_in_pieces(spark):
+    times = spark.range(1_000_000).select(F.lit("w").alias("world"), (F.col("id") * 60_000).alias("at"))
+    kept = snapshots.thinned(times)
+    assert kept.count() == 250_000 and kept.where(F.col("at") % 240_000 != 0).count() == 0
 
 
 def test_dates(spark):

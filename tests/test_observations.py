@@ -105,6 +105,22 @@ def test_names_in_messages(spark, names):
     assert sorted(r.id for r in O.relevant(df, names, 3).collect()) == [1, 2, 4]
 
 
+def test_dictionaries_of_any_size_find_the_same(spark, monkeypatch):
+    said = ["São Paulo é longe", "sao", "nada", None, "", "Midnight Panthers", "xx midnight pantherx", "longa história " * 50]
+    texts = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    given = spark.createDataFrame([("Sao",), ("são p",), ("Midnight Panther",), ("historia longa h",), ("é",), ("",), (None,), ("Sao",)], "name string")
+    small = {r.id: r.mentioned for r in O.mentions(texts, given).collect()}
+    assert small[0] == ["", "Sao", "são p", "é"] and small[3] == [] and small[4] == [""] and "historia longa h" in small[7] and small[6] == ["", "Midnight Panther", "é"]
+    monkeypatch.setattr(O, "MAX_NAMES", 1)
+    assert {r.id: r.mentioned for r in O.mentions(texts, given).collect()} == small
+    assert O.mentions(texts, given.where("name = 'none'")).where("size(mentioned) > 0").count() == 0
+
+
+def test_a_text_is_folded_once_for_all_names(spark, names):
+    plan = O.mentions(spark.createDataFrame([(1, "x")], "id int, text string"), names)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1 and "lambda" not in plan
+
+
 def test_totals(spark, names):
     df = spark.createDataFrame([("ok", "Dharalion; 3\nHirintror = 5"), ("bad", "Dharalion; 1\nDharalion; 2\nNobody\t4\nHirintror -1\nMidnight Panther; 100001")], "id string, text string")
     rows = progress.parse_totals(df, names).orderBy("id", "line").collect()

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from wayglass.operators import snapshots
 from wayglass.sources import store
 from wayglass.streaming import ingest
 
@@ -28,11 +29,33 @@ def test_ingest_stores_each_key_once_across_restarts(spark, tmp_path):
     assert rows == sorted([("x", 1), ("y", 2), ("z", 4), (None, 5)], key=str)
 
 
+def test_a_new_checkpoint_goes_on_from_what_is_stored(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    write(spark, source, "a", [("x", 1), ("y", 1), (None, 1)], SCHEMA)
+    run = lambda marks: ingest.ingest_stream(stream(spark, source, SCHEMA), out, str(tmp_path / marks), SCHEMA, ["k"], "v", within="k").awaitTermination()
+    run("m1")
+    write(spark, source, "b", [("x", 2), ("z", 2), (None, 3)], SCHEMA)
+    run("m2")  # reads all of the source again, as epoch 0
+    assert sorted(map(tuple, ingest.stored(spark, out, SCHEMA).collect()), key=str) == sorted([("x", 1), ("y", 1), ("z", 2), (None, 1)], key=str)
+
+
+def test_increases_as_a_stream_are_those_of_all_at_once(spark, tmp_path):
+    source, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    schema = "world string, at long, boss string, day long, week long"
+    rows = [("W", 1000, "A", 0, 1), ("W", 1000, "B", 5, 5), ("W", 2000, "A", 1, 2), ("V", 9, "A", 1, 1), ("W", 3000, "A", 1, 2), ("W", 3000, "B", 6, 6), ("W", 9_000_000, "A", 7, 9), ("V", 10, "A", 1, 2)]
+    for part, some in (("a", rows[:4]), ("b", rows[4:6]), ("c", rows[6:])):
+        write(spark, source, part, some, schema)
+        ingest.increase_stream(stream(spark, source, schema), out, marks).awaitTermination()
+    found = ingest.stored(spark, out, schema + ", increase boolean, since long")
+    want = snapshots.increases(spark.createDataFrame(rows, schema)).select(*found.columns)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and found.where("increase").count() == 2
+
+
 def test_an_epoch_that_runs_again_writes_the_same(spark, tmp_path):
     out = str(tmp_path / "out")
-    spark.createDataFrame([("x", 1)], SCHEMA).write.parquet(f"{out}/epoch=0")
-    spark.createDataFrame([("y", 1)], SCHEMA).write.parquet(f"{out}/epoch=1")
-    assert [r.k for r in ingest.stored(spark, out, SCHEMA, before=1).collect()] == ["x"]
+    for stream, epoch, k in (("s", 0, "x"), ("s", 1, "y"), ("old", 5, "z")):
+        spark.createDataFrame([(k, 1)], SCHEMA).write.parquet(f"{out}/stream={stream}/epoch={epoch}")
+    assert sorted(r.k for r in ingest.stored(spark, out, SCHEMA, before=("s", 1)).collect()) == ["x", "z"]
     assert ingest.stored(spark, str(tmp_path / "none"), SCHEMA).count() == 0
 
 

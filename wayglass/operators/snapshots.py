@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayglass.sources.scratch import saved
+
 from .keyed import first_per_key
 
 MAX_GAP = 3_600_000
 MIN_SPACING = 240_000
+#: Spacings in a leaf of thinned(), which is what one task reads at once, and parts of a node.
+LEAF, FAN = 128, 128
 
 
 def increases(counts: DataFrame, group: str = "world", name: str = "boss", max_gap: int = MAX_GAP) -> DataFrame:
@@ -26,20 +34,99 @@ def increases(counts: DataFrame, group: str = "world", name: str = "boss", max_g
 
 
 def thinned(times: DataFrame, group: str = "world", spacing: int = MIN_SPACING) -> DataFrame:
-    """Distinct group and at (ms) such that each is spacing or more after the one kept before it.
+    """Distinct group and at (ms) such that each is spacing or more after the one kept before it, from the first on.
 
-    What is kept depends on what was kept before, but not across a pause of spacing or more. Times
-    are put into blocks of that width; blocks between two pauses are one chain, and each chain is
-    folded by itself, so a group with many rows is not one task's work.
+    What is kept depends on what was kept before, so a group is a chain. Time is cut into leaves of LEAF x spacing, and FAN
+    leaves into a node, FAN of these into the next. For each piece a table says, for every time that may be the first one kept there,
+    which is then the last: only times of its first spacing, and the first one after, may be. Going up, a node's
+    table comes from those of its parts; going down, a node's first kept time gives those of its parts; leaves then walk. A task holds
+    the times of one leaf, or the tables of FAN parts, however many rows a group has. Null times go.
     """
-    distinct = times.select(group, F.col("at").cast("long").alias("at")).where("at IS NOT NULL").distinct()
-    blocks = distinct.groupBy(group, F.floor(F.col("at") / spacing).alias("block")).agg(F.array_sort(F.collect_list("at")).alias("own"))
-    order = Window.partitionBy(group).orderBy("block")
-    pause = F.array_min("own") - F.lag(F.array_max("own")).over(order) >= spacing
-    chained = blocks.withColumn("chain", F.sum(F.coalesce(pause, F.lit(True)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = chained.groupBy(group, "chain").agg(F.flatten(F.array_sort(F.collect_list("own"))).alias("all"))
-    step = lambda acc, x: F.when((F.size(acc) == 0) | (x - F.get(acc, F.size(acc) - 1) >= spacing), F.concat(acc, F.array(x))).otherwise(acc)
-    return chains.select(group, F.explode(F.aggregate("all", F.array().cast("array<bigint>"), step)).alias("at"))
+    held = saved(times.select(F.col(f"`{group}`").alias("g"), F.col("at").cast("long").alias("at")).where("at IS NOT NULL").distinct(), "times")
+    low, high = held.agg(F.min("at"), F.max("at")).first()
+    if low is None:
+        return held.select(F.col("g").alias(group), "at")
+    kind = held.schema["g"].dataType.simpleString()
+    within = lambda at, width: F.expr(f"({at} - {low}L) DIV {width}L")
+
+    def first_ones(at: np.ndarray, start: int) -> np.ndarray:
+        """Of sorted times those that may be the first kept one of what begins at start."""
+        return at[: np.searchsorted(at, start + spacing) + 1]
+
+    def leaf_table(table: pa.Table) -> pa.Table:
+        at = np.sort(table["at"].to_numpy())
+        entry = first_ones(at, low + table["node"][0].as_py() * spacing * LEAF)
+        last = entry.copy()
+        live = np.arange(len(entry))
+        while len(live):
+            following = np.searchsorted(at, last[live] + spacing)
+            live, following = live[following < len(at)], following[following < len(at)]
+            last[live] = at[following]
+        return _rows(table, "node", entry, {"entry": entry, "last": last})
+
+    def parts_of(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Number, entries and last ones of a node's parts, in order."""
+        node, entry, last = (table[c].to_numpy() for c in ("node", "entry", "last"))
+        order = np.lexsort((entry, node))
+        node, entry, last = node[order], entry[order], last[order]
+        cuts = np.flatnonzero(np.diff(node)) + 1
+        for n, e, x in zip(np.split(node, cuts), np.split(entry, cuts), np.split(last, cuts), strict=True):
+            yield int(n[0]), e, x
+
+    def node_table(width: int) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            parts = list(parts_of(table))
+            entry = first_ones(np.unique(table["entry"].to_numpy()), low + table["parent"][0].as_py() * width)
+            last = entry - spacing
+            for _, e, x in parts:
+                following = np.searchsorted(e, last + spacing)
+                met = following < len(e)
+                last[met] = x[following[met]]
+            return _rows(table, "parent", entry, {"entry": entry, "last": last}, "node")
+
+        return run
+
+    def begin_parts(table: pa.Table) -> pa.Table:
+        last, begun = table["begin"][0].as_py() - spacing, []
+        for n, e, x in parts_of(table):
+            at = int(np.searchsorted(e, last + spacing))
+            if at < len(e):
+                begun.append((n, int(e[at])))
+                last = int(x[at])
+        nodes, entries = (np.array(c, np.int64) for c in zip(*begun, strict=True))
+        return _rows(table, "node", entries, {"begin": entries}, nodes=nodes)
+
+    def walk(table: pa.Table) -> pa.Table:
+        at = np.sort(table["at"].to_numpy())
+        i, kept = int(np.searchsorted(at, table["begin"][0].as_py())), []
+        while i < len(at):
+            kept.append(int(at[i]))
+            i = int(np.searchsorted(at, kept[-1] + spacing))
+        return pa.table({"g": pa.array([table["g"][0].as_py()] * len(kept), table.schema.field("g").type), "at": pa.array(kept, pa.int64())})
+
+    ends = f"g {kind}, node long, entry long, last long"
+    leaves = held.withColumn("node", within("at", spacing * LEAF))
+    levels, width = [saved(leaves.groupBy("g", "node").applyInArrow(leaf_table, ends), "leaves")], spacing * LEAF
+    while (high - low) // width > 0:
+        width *= FAN
+        levels.append(saved(levels[-1].withColumn("parent", F.expr(f"node DIV {FAN}L")).groupBy("g", "parent").applyInArrow(node_table(width), ends), "nodes"))
+    begun = levels.pop().groupBy("g", "node").agg(F.min("entry").alias("begin"))
+    same = lambda a, b: a["g"].eqNullSafe(b["of"]) & (a["parent"] == b["above"])
+    while levels:
+        parts = levels.pop().withColumn("parent", F.expr(f"node DIV {FAN}L"))
+        above = begun.select(F.col("g").alias("of"), F.col("node").alias("above"), "begin")
+        joined = parts.join(above, same(parts, above)).drop("of", "above")
+        begun = joined.groupBy("g", "parent").applyInArrow(begin_parts, f"g {kind}, node long, begin long")
+    entered = begun.select(F.col("g").alias("of"), F.col("node").alias("above"), "begin")
+    last = leaves.join(entered, leaves["g"].eqNullSafe(entered["of"]) & (leaves["node"] == entered["above"])).drop("of", "above")
+    return last.groupBy("g", "node").applyInArrow(walk, f"g {kind}, at long").withColumnRenamed("g", group)
+
+
+def _rows(table: pa.Table, node: str, like: np.ndarray, columns: dict[str, np.ndarray], name: str | None = None, nodes: np.ndarray | None = None) -> pa.Table:
+    """Rows of one group: its g, its node (or nodes) and columns of numbers."""
+    n = len(like)
+    numbers = np.full(n, table[node][0].as_py(), np.int64) if nodes is None else nodes
+    return pa.table({"g": pa.array([table["g"][0].as_py()] * n, table.schema.field("g").type), name or node: numbers, **columns})
 
 
 def newest(rows: DataFrame, group: list[str], n: int, *order: str) -> DataFrame:

@@ -95,21 +95,22 @@ SELECT alert_key, endpoint FROM keys CROSS JOIN (VALUES ('e0'), ('e1')) v(endpoi
     "dictionary_mentions": """WITH names AS (SELECT DISTINCT lower(array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')) AS name FROM benchmark),
 folded AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents)
 SELECT doc_id, name FROM folded JOIN names ON contains(t, strip_accents(name))""",
-    "canonical_names": """SELECT regexp_replace(lower(strip_accents(string_split(text, ' ')[1])), '[^a-z0-9]', '', 'g') AS name_key, count(*) AS n, min(regexp_replace(lower(string_split(text, ' ')[1]), '[^a-z0-9]', '', 'g')) AS plain
-FROM documents GROUP BY 1""",
+    "canonical_names": r"""WITH words AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL)
+SELECT regexp_replace(lower(strip_accents(word)), '[^a-z0-9]', '', 'g') AS name_key, CAST(sum(n) AS BIGINT) AS n, min(regexp_replace(lower(word), '[^a-z0-9]', '', 'g')) AS plain FROM words GROUP BY 1""",
     "message_lines": """WITH lines AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations)
 SELECT conv_id, turn, line::BIGINT AS line, last_value(CASE WHEN line = 0 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, line) AS heading, length(said) AS chars FROM lines""",
-    "idempotent_ingest": """WITH rows AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, 'b' || (event_id % 3) AS batch_id FROM events),
-old AS (SELECT DISTINCT user_id, event_type, day FROM rows WHERE event_id % 10 < 6 AND batch_id <> 'b2'),
-batch AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) AS r FROM rows WHERE event_id % 10 >= 4)
-SELECT batch_id, count(*) FILTER (WHERE r = 1 AND old.user_id IS NULL) AS added, count(*) FILTER (WHERE NOT (r = 1 AND old.user_id IS NULL)) AS duplicates
-FROM batch LEFT JOIN old USING (user_id, event_type, day) GROUP BY batch_id""",
+    "idempotent_ingest": """WITH rows AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, 'w' || (day(ts) // 7) AS batch_id FROM events),
+old AS (SELECT DISTINCT user_id, event_type, day FROM rows WHERE day(day) <= 18),
+batch AS (SELECT *, row_number() OVER (PARTITION BY batch_id = 'w1', user_id, event_type, day ORDER BY event_id) AS r FROM rows WHERE day(day) >= 12),
+new AS (SELECT b.event_id, b.user_id, b.event_type, b.day, b.batch_id FROM batch b LEFT JOIN old USING (user_id, event_type, day) WHERE r = 1 AND batch_id <> 'w1' AND old.user_id IS NULL),
+counts AS (SELECT batch_id, (SELECT count(*) FROM new n WHERE n.batch_id = batch.batch_id) AS added, count(*) AS rows FROM batch GROUP BY batch_id)
+SELECT batch_id, added, rows - added AS duplicates, event_id, user_id, event_type, day FROM counts LEFT JOIN new USING (batch_id)""",
     "html_text": r"""WITH t AS (
   SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages
 ) SELECT page_id, length(text) AS chars, sha256(text) AS sha256 FROM t""",
     "html_extract_distinct": """WITH each AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS pos FROM pages),
 firsts AS (SELECT page_id, value, min(pos) AS pos FROM each GROUP BY ALL), placed AS (SELECT page_id, value, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM firsts)
-SELECT page_id, place, value FROM placed WHERE place <= 20""",
+SELECT page_id, place, value FROM placed""",
     "ledger_totals": """WITH steps AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS step FROM events WHERE event_type IN ('purchase', 'error')),
 running AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM steps),
 summed AS (SELECT user_id, sum(step) AS total, least(0, min(s)) AS low, count(*) FILTER (WHERE step = 1) AS kills_made, count(*) FILTER (WHERE step = -1) AS undos FROM running GROUP BY ALL)

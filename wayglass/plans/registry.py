@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +11,7 @@ from wayglass.plans import views
 from wayglass.plans.oracles import ORACLES as _SQL
 from wayglass.plans.views import table
 from wayglass.sources import store
+from wayglass.sources.scratch import scratch
 from wayglass.streaming import ingest
 
 
@@ -108,8 +106,9 @@ def q_dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring_index("text", " ", 1)
-    return table(spark, sf_dir, "documents").select(T.canonical(first).alias("name_key"), T.plain_key(first).alias("plain")).groupBy("name_key").agg(F.count("*").alias("n"), F.min("plain").alias("plain"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    folded = words.select(T.canonical(F.col("word")).alias("name_key"), T.plain_key(F.col("word")).alias("plain"), "n")
+    return folded.groupBy("name_key").agg(F.sum("n").alias("n"), F.min("plain").alias("plain"))
 
 
 def q_message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +120,13 @@ def q_message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_idempotent_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["user_id", "event_type", "day"]
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"), F.concat(F.lit("b"), (F.col("event_id") % 3).cast("string")).alias("batch_id"))
-    stored = keyed.first_per_key(rows.where("event_id % 10 < 6 AND batch_id <> 'b2'"), key, [F.asc("event_id")])
-    return observations.ingest(rows.where("event_id % 10 >= 4"), stored.withColumn("batch_id", F.concat(F.lit("a-"), "batch_id")), key, "event_id")[1]
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    rows = rows.withColumn("batch_id", F.concat(F.lit("w"), F.floor(F.day("day") / 7).cast("string")))
+    # Both sides together hold all events: one up to the 18th, one from the 12th on. Batch w1 is stored under its own name, so it is skipped.
+    stored = keyed.first_per_key(rows.where(F.day("day") <= 18), key, [F.asc("event_id")])
+    stored = stored.withColumn("batch_id", F.when(F.col("batch_id") == "w1", "w1").otherwise(F.concat(F.lit("a-"), "batch_id")))
+    new, counts = observations.ingest(rows.where(F.day("day") >= 12), stored, key, "event_id")
+    return counts.join(new, "batch_id", "left")
 
 
 def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +166,7 @@ def q_blob_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='wayglass-')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    return scratch(spark, "stream")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +179,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     rows = _events(spark, sf_dir).select("event_id", "user_id", "event_type", F.to_date("ts").cast("string").alias("day"))
     schema = "event_id long, user_id long, event_type string, day string"
-    ingest.ingest_stream(rows, f"{folder}/rows", f"{folder}/marks", schema, ["user_id", "event_type", "day"], "event_id").awaitTermination()
+    ingest.ingest_stream(rows, f"{folder}/rows", f"{folder}/marks", schema, ["user_id", "event_type", "day"], "event_id", within="day").awaitTermination()
     return ingest.stored(spark, f"{folder}/rows", schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HISTORY = """updated string, worlds map<string, struct<
@@ -14,9 +14,12 @@ RANKING = "category string, players array<struct<name: string, rank: bigint, val
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue rows (one JSON array, or one object a line) that have a name, with seq."""
-    rows = spark.read.schema(CATALOGUE).json(path, multiLine=True)
-    return rows.where("name IS NOT NULL").withColumn("seq", F.monotonically_increasing_id())
+    """Catalogue rows (JSON arrays) that have a name, with seq: by path of their file, then as they stand in it."""
+    rows = spark.read.schema(CATALOGUE).json(path, multiLine=True).withColumn("of", F.col("_metadata.file_path"))
+    # A file is not split, so its rows' numbers within a partition are in its order.
+    numbered = rows.withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    files = rows.select("of").distinct().orderBy("of").withColumn("file", F.row_number().over(Window.orderBy("of")) - 1)  # a few files
+    return numbered.join(F.broadcast(files), "of").where("name IS NOT NULL").withColumn("seq", F.shiftleft(F.col("file").cast("long"), 33) + F.col("place")).drop("of", "file", "place")
 
 
 def read_history(spark: SparkSession, path: str, world: str) -> DataFrame:
@@ -40,6 +43,24 @@ def read_rankings(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
     return lists, players
 
 
+# The fields of a player that may be kept.
+PLAYER = (
+    "name", "level", "vocation", "world", "sex", "residence", "lastlogin", "created", "comment",
+    "account_created", "loyalty_points", "isHidden", "recentlyTraded", "guild", "house", "partner",
+    "formerNames", "title", "auction", "looktype", "lookhead", "lookbody", "looklegs", "lookfeet",
+    "lookaddons", "vip_time", "achievementPoints",
+)
+LISTS = ("deaths", "otherCharacters", "accountBadges", "displayedAchievements", "banHistory")
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Profiles (one JSON object a file or line), as JSON text where a field is not plain: player (only the fields that may be kept), its lists ([] where absent) and banInfo."""
+    player = ", ".join(f"{c}: string" for c in PLAYER)
+    raw = spark.read.schema(f"asked string, player struct<{player}>, {', '.join(f'{c} string' for c in LISTS)}, banInfo string").json(path)
+    lists = [F.when(F.col(c).startswith("["), F.col(c)).otherwise("[]").alias(c) for c in LISTS]
+    return raw.select("asked", "player", *lists, "banInfo")
+
+
 def save(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Keep an entity; readers of an earlier version of the same path must have ended."""
     rows.write.mode(mode).parquet(path)
@@ -83,3 +104,14 @@ def join_parts(parts: DataFrame, key: str) -> DataFrame:
     """key, parts (their number) and content put together again, in order of part."""
     sorted_parts = F.array_sort(F.collect_list(F.struct("part", "content")))
     return parts.groupBy(key).agg(F.count("*").alias("parts"), F.array_join(F.transform(sorted_parts, lambda p: p["content"]), "").alias("content"))
+
+
+def put_parts(stored: DataFrame, new: DataFrame, key: str, content: str, size: int = 60_000) -> DataFrame:
+    """stored parts with those of new rows (key, content) in place of any of the same key."""
+    kept = stored.join(new.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(split_parts(new, key, content, size).select(*stored.columns))
+
+
+def rename_parts(stored: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """stored parts after one key took another's place: what had that name before goes."""
+    return stored.where(F.col(key) != new).withColumn(key, F.when(F.col(key) == old, F.lit(new)).otherwise(F.col(key)))

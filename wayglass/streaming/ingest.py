@@ -1,54 +1,74 @@
 """Streaming variants of the operators with state: each micro-batch against a table of what earlier ones stored.
 
 State is a table in shared storage, not driver memory. A micro-batch writes its own folder,
-epoch=N, as a whole, and reads only epochs before N; so one that is run again after a failure
-writes the same rows again, and nothing is stored twice.
+stream=ID/epoch=N, as a whole, and reads all that other streams stored and its own epochs before N; so one that is run
+again after a failure writes the same rows again, and nothing is stored twice. ID is that of the stream's checkpoint: a stream
+that starts anew with another checkpoint goes on from what is stored. One stream writes to a table at a time.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wayglass.operators.alerts import unsent
 from wayglass.operators.observations import fresh_rows
-from wayglass.operators.snapshots import MIN_SPACING, thinned
+from wayglass.operators.snapshots import MAX_GAP, MIN_SPACING, increases, thinned
 
+Epoch = tuple[str, int]
+#: Values of a pruning column that are looked up one by one, at most.
+MAX_VALUES = 1000
 
-def stored(spark, path: str, schema: str, before: int | None = None) -> DataFrame:
-    """Rows of all epochs (before one); empty where there are none yet."""
+
+def stored(spark, path: str, schema: str, before: Epoch | None = None) -> DataFrame:
+    """Rows of all epochs (but for those of a stream from an epoch on); empty where there are none yet."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, epoch long").parquet(path)
-    return (rows if before is None else rows.where(F.col("epoch") < before)).drop("epoch")
+    rows = spark.read.schema(f"{schema}, stream string, epoch long").parquet(path)
+    return (rows if before is None else rows.where((F.col("stream") != before[0]) | (F.col("epoch") < before[1]))).select(*T.StructType.fromDDL(schema).names)
 
 
-def _start(source: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], DataFrame], path: str, every: str | None) -> StreamingQuery:
-    def run(batch: DataFrame, epoch: int) -> None:
-        step(batch, epoch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+def _start(source: DataFrame, checkpoint: str, step: Callable[[DataFrame, Epoch], DataFrame], path: str, every: str | None, within: str | None = None) -> StreamingQuery:
+    def run(batch: DataFrame, number: int) -> None:
+        about = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]  # one line of JSON, written when a stream begins
+        stream = json.loads(about)["id"]
+        out = step(batch, (stream, number)).write.mode("overwrite")
+        (out.partitionBy(within) if within else out).parquet(f"{path}/stream={stream}/epoch={number}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def ingest_stream(source: DataFrame, path: str, checkpoint: str, schema: str, key: list[str], order: str, every: str | None = None) -> StreamingQuery:
-    """Store each key once, whatever arrives again; the first by order within a micro-batch. Without every, what is there is processed and the stream ends."""
+def ingest_stream(source: DataFrame, path: str, checkpoint: str, schema: str, key: list[str], order: str, every: str | None = None, within: str | None = None) -> StreamingQuery:
+    """Store each key once, whatever arrives again; the first by order within a micro-batch. Without every, what is there is processed and the stream ends.
+
+    within: a column of the key, such as its day, by which the table is stored in folders. A micro-batch
+    then reads those of its own values only (as long as they are MAX_VALUES at most).
+    """
+    assert within is None or within in key, "rows of one key must lie in one folder"
 
-    def step(batch: DataFrame, epoch: int) -> DataFrame:
+    def step(batch: DataFrame, epoch: Epoch) -> DataFrame:
         names = stored(batch.sparkSession, path, schema, epoch)
+        if within:
+            values = [r[0] for r in batch.select(within).distinct().limit(MAX_VALUES + 1).collect()]
+            if len(values) <= MAX_VALUES:
+                own = F.col(within).isin([v for v in values if v is not None])
+                names = names.where(own | F.col(within).isNull() if None in values else own)
         return fresh_rows(batch, names, key, order).select(*names.columns)
 
-    return _start(source, checkpoint, step, path, every)
+    return _start(source, checkpoint, step, path, every, within)
 
 
 def thin_stream(source: DataFrame, path: str, checkpoint: str, group: str = "world", spacing: int = MIN_SPACING, every: str | None = None) -> StreamingQuery:
     """Keep times (group string, at) that are spacing after the last one kept; times before that one come too late and go."""
 
-    def step(batch: DataFrame, epoch: int) -> DataFrame:
+    def step(batch: DataFrame, epoch: Epoch) -> DataFrame:
         kept = stored(batch.sparkSession, path, f"{group} string, at long", epoch).groupBy(group).agg(F.max("at").alias("last"))
         later = batch.select(group, "at").join(kept, group, "left").where(F.col("last").isNull() | (F.col("at") > F.col("last")))
         seeded = later.select(group, "at").unionByName(kept.select(group, F.col("last").alias("at")))
@@ -57,10 +77,26 @@ def thin_stream(source: DataFrame, path: str, checkpoint: str, group: str = "wor
     return _start(source, checkpoint, step, path, every)
 
 
+def increase_stream(source: DataFrame, path: str, checkpoint: str, max_gap: int = MAX_GAP, every: str | None = None) -> StreamingQuery:
+    """Store snapshots (world string, at long, boss string, day long, week long) with increase and since, as snapshots.increases() does of all at once.
+
+    A micro-batch is compared with the last stored snapshot of its worlds; snapshots of a world have to arrive in order, each as a whole.
+    """
+    given = "world string, at long, boss string, day long, week long"
+
+    def step(batch: DataFrame, epoch: Epoch) -> DataFrame:
+        old = stored(batch.sparkSession, path, f"{given}, increase boolean, since long", epoch).drop("increase", "since")
+        last = old.join(old.groupBy("world").agg(F.max("at").alias("at")), ["world", "at"], "left_semi").join(batch.select("world").distinct(), "world", "left_semi")
+        marked = batch.withColumn("new", F.lit(True)).unionByName(last.withColumn("new", F.lit(False)).select(*batch.columns, "new"))
+        return increases(marked, max_gap=max_gap).where("new").drop("new")
+
+    return _start(source, checkpoint, step, path, every)
+
+
 def alert_stream(source: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Store each due alert (alert_key array) once for each endpoint; the stored table is what is to be sent."""
 
-    def step(batch: DataFrame, epoch: int) -> DataFrame:
+    def step(batch: DataFrame, epoch: Epoch) -> DataFrame:
         return unsent(batch, subscriptions, stored(batch.sparkSession, path, "alert_key array<string>, endpoint string", epoch))
 
     return _start(source, checkpoint, step, path, every)
