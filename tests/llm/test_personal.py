@@ -118,3 +118,23 @@ def test_nulls_repeats_empty_table_and_clashing_names(spark):
 @pytest.mark.parametrize("digits,passes", [("79927398713", True), ("79927398710", False), ("4111111111111111", True)])
 def test_luhn(spark, digits, passes):
     assert spark.range(1).select(personal.luhn(F.lit(digits))).first()[0] is passes
+
+
+def test_a_text_of_many_identifiers_takes_time_in_line_with_its_length(spark):
+    import time
+
+    text = " ".join(f"mail user{i}@example.com and id {i}x{i} at" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, "user1@example.com"), (3, None)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = {r.doc_id: (len(r.base), len(r.spans)) for r in personal.find(df).collect()}
+    assert found[1][0] == 20_000 and found[2] == (1, 1) and found[3] == (0, 0)
+    assert time.perf_counter() - began < 90
+
+
+def test_candidates_that_touch_a_known_span_go(spark):
+    text = "a12345 and user@x.org,b99999 then +1 (234) 567-8901 9 or c55555 at 10.0.0.1:80801 in end77777"
+    row = personal.read(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [(s.start, s.end) for s in row.known]
+    assert spans and all(text[m.start : m.end] == m.match for m in row.others)
+    assert {m.match for m in row.others} == {"a12345", "c55555", "end77777"}
+    assert all(e <= m.start or m.end <= s for m in row.others for s, e in spans)

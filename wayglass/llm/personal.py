@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_facts, saved
+from .shared import bound, join_counted, join_facts, running, saved
 
 #: Distinct instances of known format that a pattern needs, the confidence it needs, and an instance then needs.
 MIN_SEEDS = 4
@@ -46,18 +46,22 @@ _FOUND = "array<struct<start:bigint,end:bigint,match:string,left:string,right:st
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """Matches of pattern as _FOUND, in code points, with the text around each up to the next match."""
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    """Matches of pattern as _FOUND, in code points, with the text around each up to the next match. The text is read twice, however many matches it has."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["a"])
-        end = start + F.length(x["match"])
-        row = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.right(x["a"], F.lit(CONTEXT)).alias("left"), F.left(x["b"], F.lit(CONTEXT)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(row)).alias("found"))
+    def laid(pieces: Column) -> Column:
+        """pieces: match and the text before (a) and after it (b)."""
+        ends = running(F.transform(pieces, lambda p: (F.length(p["a"]) + F.length(p["match"])).cast("long")))
+        row = lambda p, end: F.struct((end - F.length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("match"), F.right(p["a"], F.lit(CONTEXT)).alias("left"), F.left(p["b"], F.lit(CONTEXT)).alias("right"))
+        return F.zip_with(pieces, ends, row)
 
-    zipped = F.transform(matches, lambda m, i: F.struct(m.alias("match"), F.get(between, i).alias("a"), F.get(between, i + 1).alias("b")))
-    empty = F.array().cast(_FOUND)
-    return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    def pieces(both: Column) -> Column:
+        matches, between = both["matches"], both["between"]
+        around = F.zip_with(F.slice(between, 1, F.size(matches)), F.slice(between, 2, F.size(matches)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.zip_with(matches, around, lambda m, x: F.struct(m.alias("match"), x["a"].alias("a"), x["b"].alias("b")))
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("matches"), F.split(text, pattern, -1).alias("between"))
+    found = bound(both, lambda x: F.when(F.size(x["matches"]) > 0, bound(pieces(x), laid)))
+    return F.coalesce(found, F.array().cast(_FOUND))
 
 
 def _digits(match: Column) -> Column:
@@ -93,7 +97,7 @@ def known(text: Column) -> Column:
 
 
 def candidates(text: Column, spans: Column) -> Column:
-    """What may be an identifier and touches no known one; kind is null. Marks at its ends do not count."""
+    """What may be an identifier and touches no known one (spans, by start); kind is null. Marks at its ends do not count."""
     found = F.when(text.rlike("[0-9@]"), occurrences(text, CANDIDATE)).otherwise(F.array().cast(_FOUND))
     head, tail = r"^[^\p{L}\p{N}+(@]+", r"[^\p{L}\p{N})@]+$"
 
@@ -105,7 +109,24 @@ def candidates(text: Column, spans: Column) -> Column:
         return F.struct(start.alias("start"), F.lit(None).cast("int").alias("kind"), (start + F.length(core)).alias("end"), core.alias("match"), marks.alias("left"), m["right"].alias("right"))
 
     shaped = F.filter(F.transform(found, trimmed), lambda m: F.length(F.regexp_replace(m["match"], r"[^\p{L}\p{N}]", "")) >= 5)
-    return F.filter(shaped, lambda m: ~F.exists(spans, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"])))
+    return bound(F.struct(shaped.alias("shaped"), spans.alias("spans")), lambda x: F.when((F.size(x["spans"]) == 0) | (F.size(x["shaped"]) == 0), x["shaped"]).otherwise(_apart(x["shaped"], x["spans"])))
+
+
+def _apart(found: Column, spans: Column) -> Column:
+    """Elements of found, which do not touch each other, that touch none of spans.
+
+    One does if, of the spans that begin before it ends, one ends after it begins: both are put in one order, over which the greatest end runs.
+    """
+    none = F.lit(None).cast("struct<start:bigint,kind:int,end:bigint,match:string,left:string,right:string>")
+    own = F.transform(found, lambda m: F.struct(m["end"].alias("at"), F.lit(0).alias("order"), F.lit(0).cast("long").alias("reach"), m.alias("m")))
+    others = F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("order"), s["end"].alias("reach"), none.alias("m")))
+
+    def kept(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), lambda a, b: F.greatest(a, b))
+        free = F.zip_with(events, reach, lambda e, r: F.when(e["m"].isNotNull() & (r <= e["m"]["start"]), e["m"]))
+        return F.filter(free, lambda m: m.isNotNull())
+
+    return bound(F.array_sort(F.concat(own, others)), kept)
 
 
 def patterns(left: Column, right: Column) -> Column:
@@ -132,23 +153,24 @@ def bootstrap(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = saved(seen.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")), "personal-edges")
     # Only patterns of enough known instances can ever be accepted: others leave the graph, and with them what only they touch.
     each = [F.count(F.when(F.col("kind") == i, 1)) for i in range(len(KINDS))]
-    able = edges.groupBy("pattern").agg(F.greatest(*each).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern")
-    graph = saved(edges.join(able, "pattern", "left_semi"), "personal-graph")
+    able = edges.groupBy("pattern").agg(F.greatest(*each).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
+    graph = saved(join_facts(edges, able, "pattern").where("seeds IS NOT NULL").drop("seeds"), "personal-graph")
     unknown = graph.where("kind IS NULL").select("pattern", "instance", _word_before(F.col("pattern")).alias("word"))
     kinds = range(len(KINDS))
     sure = graph.where("kind IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("kind") == i, 1)).cast("double").alias(f"s{i}") for i in kinds])
     votes = None
     for _ in range(ROUNDS):
         told = [F.lit(0.0) if votes is None else F.coalesce(F.when(F.col(f"w{i}") == F.col("word"), F.col(f"b{i}")).otherwise(F.col(f"a{i}")), F.lit(0.0)) for i in kinds]
-        heard = unknown if votes is None else unknown.join(votes, "instance", "left")
+        heard = unknown if votes is None else join_counted(unknown, votes, "instance", votes.count())
         passed = heard.groupBy("pattern").agg(F.count("*").alias("u"), F.sum(F.greatest(F.lit(UNKNOWN), *told)).alias("more"), *[F.sum(k).alias(f"k{i}") for i, k in enumerate(told)])
         zero = lambda c: F.coalesce(c, F.lit(0.0))
         enough = lambda i: (F.col(f"s{i}") >= MIN_SEEDS) & (F.col(f"s{i}") >= MIN_SHARE * (F.col("n") + zero("u")))
         each = [F.struct(F.when(enough(i), (F.col(f"s{i}") + zero(f"k{i}")) / (F.col("n") + zero("more") + 1)).otherwise(0.0).alias("confidence"), F.lit(-i).alias("order")) for i in kinds]
         best = sure.join(passed, "pattern", "left").select("pattern", F.greatest(*each).alias("best")).where(F.col("best.confidence") >= CONFIDENCE)
         trusted = saved(best.select("pattern", (-F.col("best.order")).alias("kind"), "best.confidence"), "personal-patterns")
-        votes = _votes(unknown.join(trusted, "pattern"))
-    scores = unknown.join(trusted, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("best"))
+        told_of = join_counted(unknown, trusted, "pattern", trusted.count()).where("confidence IS NOT NULL")
+        votes = _votes(told_of)
+    scores = told_of.groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("order"))).alias("best"))
     return trusted, scores.select("instance", (-F.col("best.order")).alias("kind"), F.col("best.confidence").alias("score"))
 
 
@@ -171,7 +193,7 @@ def find(documents: DataFrame) -> DataFrame:
 
     base are the identifiers of known format, spans these and the discovered ones. A null or empty text
     has none. Rows that repeat stay; those of one doc_id and one text have the same spans. A very long text is
-    read once for each format; an empty table gives none, other columns are ignored.
+    read twice for each format, and n matches take some n log n steps; an empty table gives none, other columns are ignored.
     """
     found = saved(read(documents), "personal")
     accepted = bootstrap(found)[1].select("instance", F.col("kind").alias("accepted"))

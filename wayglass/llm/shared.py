@@ -2,51 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayglass.sources.scratch import drop_saved, saved, scratch, shared_root  # noqa: F401
+
 #: Documents handled at once inside a task; bounds the memory of a Python worker.
 SLICE = 400
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='wayglass-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/wayglass/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def drop_saved(df: DataFrame) -> None:
-    """Delete what saved() wrote, when nothing reads it any more."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 #: Rows of a side that is sent to all tasks, at most; beyond that, both sides are dealt out by key and salt.
 BROADCAST_ROWS = 20_000
 SALT = 32
@@ -59,13 +27,33 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     each is copied SALT times and rows of a key are dealt out over these copies.
     """
     facts = saved(facts, "facts")
-    if facts.count() <= BROADCAST_ROWS:
+    return join_counted(rows, facts, key, facts.count())
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, most: int) -> DataFrame:
+    """join_facts() of facts that have most rows at most."""
+    if most <= BROADCAST_ROWS:
         return rows.join(F.broadcast(facts), key, "left")
     many = facts.withColumn("salt of facts", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     dealt = rows.withColumn("salt of facts", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALT)).cast("int"))
     return dealt.join(many, [key, "salt of facts"], "left").drop("salt of facts")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: inside lambdas it would else be put in as an expression and worked out for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """For each element of an array of numbers (0 and up) the sum of it and all before it, or what combine (F.greatest) makes of them.
+
+    By doubling: after the step of d each element holds what the last 2 d come to, so n of them take log2(n) passes.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in range(31)])
+    shifted = lambda held, d: F.concat(F.array_repeat(F.lit(0).cast("long"), d), F.slice(held, 1, F.size(held) - d))
+    return bound(values, lambda v: F.aggregate(F.filter(steps, lambda d: d < F.size(v)), v, lambda held, d: F.zip_with(held, shifted(held, d), combine)))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
