@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import running
+
 JOINER = " <+> "
 _ANGLE, _SQUARE = r"(/?s>|\+>|<SYS>>|</SYS>>)", r"(/?INST\])"
 _BLOCK = r"(?s)(\[INST\] .*? \[/INST\]|<<SYS>>.*? <</SYS>>| .*? </s>)"
@@ -58,15 +60,10 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         )
 
     pieces = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.transform("turns", piece).alias("pieces"))
-    sized = F.transform("pieces", lambda p: F.struct(F.length(p["before"]).cast("long").alias("before"), F.length(p["body"]).cast("long").alias("body"), F.length(p["after"]).cast("long").alias("after"), p["loss"].alias("loss")))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["before"]
-        span = F.struct(start.alias("start"), (start + p["body"]).alias("end"))
-        return F.struct((start + p["body"] + p["after"]).alias("at"), F.when(p["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    loss = F.aggregate(sized, F.struct(F.lit(3).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    size = lambda p: (F.length(p["before"]) + F.length(p["body"]) + F.length(p["after"])).cast("long")
+    span = lambda p, end: F.struct((3 + end - F.length(p["after"]) - F.length(p["body"])).alias("start"), (3 + end - F.length(p["after"])).alias("end"), p["loss"].alias("loss"))
+    spans = F.zip_with("pieces", running(F.transform("pieces", size)), span)
+    loss = F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"], s["end"]))
     joined = F.concat(F.lit("<s>"), F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["body"], p["after"])), ""))
     return pieces.select("conv_id", "n_turns", joined.alias("formatted"), loss.alias("loss"))
 
