@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import bound, saved
 
 THRESHOLD = 0.8
 #: Most templates that are written into a job as literals.
@@ -84,8 +84,8 @@ def words(text: Column) -> Column:
 
 def bigrams(found: Column) -> Column:
     """Distinct pairs of neighbouring words; none where there are fewer than two words."""
-    pairs = F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(found, i + 1)))
-    return F.array_distinct(pairs)
+    pairs = lambda said: F.transform(F.slice(said, 1, F.greatest(F.size(said) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(said, i + 1)))
+    return F.array_distinct(bound(found, pairs))
 
 
 def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,6 +123,10 @@ def anchors(given=TEMPLATES, threshold: float = THRESHOLD) -> tuple[dict[str, li
 
 def windows(found: Column, given=TEMPLATES, threshold: float = THRESHOLD) -> Column:
     """Runs of words (from, to and words) as long as a template, laid so that an anchor in the text lies on its place in the template."""
+    return bound(found, lambda said: _windows(said, given, threshold))
+
+
+def _windows(found: Column, given, threshold: float) -> Column:
     known, rare = anchors(given, threshold)
     none = F.array().cast("array<struct<from:int,to:int,words:array<string>>>")
     if not known:
