@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayglass.llm import decontaminate, quality
 
@@ -58,9 +59,9 @@ def items_in(docs, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [32 << 20, 40])
-def test_containment_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (block,))
+@pytest.mark.parametrize("item_bytes", [decontaminate.ITEM_BYTES, 1])
+def test_containment_matches_brute_force(spark, monkeypatch, item_bytes):
+    monkeypatch.setattr(decontaminate.contained, "__defaults__", ("contained", decontaminate.THRESHOLD, item_bytes))
     item = [f"w{i}" for i in range(40)]
     items = [(1, " ".join(item)), (2, "two words"), (3, "One!"), (4, None), (5, "..."), (6, " ".join(item[:7])), (7, "a b c d e f g h i j"), (7, "k l m n o p q r s t")]
     filler = " ".join(f"f{i % 50}" for i in range(3000))
@@ -82,6 +83,19 @@ def test_nothing_in_nothing(spark):
     assert decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
+def test_a_benchmark_too_large_to_send_is_joined(spark, monkeypatch):
+    """Items of some three times what is sent to all tasks (here a sixteenth of the usual), of which every tenth lies in a document, one in many."""
+    monkeypatch.setattr(decontaminate.contained, "__defaults__", ("contained", decontaminate.THRESHOLD, decontaminate.ITEM_BYTES // 16))
+    n = 3 * decontaminate.ITEM_BYTES // 16 // 400
+    words = F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(10_000_000)).cast("string")))
+    items = spark.range(0, n, 1, 8).select(F.col("id").alias("item_id"), F.concat_ws(" ", words).alias("text"))
+    held = items.where("item_id % 10 = 0")
+    docs = held.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before it "), "text", F.lit(" and after it")).alias("text")).unionByName(spark.range(500).select((-F.col("id") - 1).alias("doc_id"), F.lit("copies of " ).alias("text")).crossJoin(held.where("item_id = 0").select(F.col("text").alias("t"))).select("doc_id", F.concat("text", "t").alias("text")))
+    found = decontaminate.leaks(docs, items)
+    assert found.count() == held.count() + 500
+    assert found.where("n_found = n_shingles AND (item_id = doc_id OR (doc_id < 0 AND item_id = 0))").count() == held.count() + 500
+
+
 def test_sketches_have_what_a_containing_text_cannot_miss():
     for n in range(1, 200):
         missing = n - decontaminate.needed(n, 0.8)
