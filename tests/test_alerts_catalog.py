@@ -123,9 +123,18 @@ def test_completion(spark):
 
 
 def test_ledger(spark):
-    rows = [("a", i, x) for i, x in enumerate(["undo", "kill", "kill", "undo", "undo", "undo", "kill"])] + [("b", 1, "other")]
-    (row,) = progress.ledger(spark.createDataFrame(rows, "boss string, seq int, action string")).collect()
-    assert tuple(row) == ("a", 1, 3, 2, 2)
+    steps = [("check", "c1", "A", True), ("check", "c1", "A", True), ("check", "c2", "A", True), ("undo", "c1"), ("undo", "c2"), ("undo", "c1"), ("undo", "c1"), ("undo", "none"), ("check", "c1", "A", True), ("check", "n1", "A", False), ("undo", "n1"), ("set", None, "B", None, 7), ("check", "c3", "B", True), ("set", None, "B", None, 3), ("undo", "c3")]
+    rows = [("u", i, *s, *[None] * (5 - len(s))) for i, s in enumerate(steps)] + [(None, 0, "check", "c1", "A", True, None), ("v", 0, "undo", "c1", None, None, None)]
+    df = spark.createDataFrame(rows, "user string, seq int, action string, id string, boss string, counts boolean, kills int")
+    found = {(r.user, r.boss): tuple(r)[2:] for r in progress.ledger(df).collect()}
+    assert found == {("u", "A"): (1, True, 3, 2, 1, 1), ("u", "B"): (3, True, 1, 0, 1, 0), (None, "A"): (1, True, 1, 0, 0, 0)}
+    assert progress.ledger(df.limit(0)).count() == 0
+
+
+def test_lists_after_a_refusal(spark):
+    lists = spark.createDataFrame([(f"c{i}", i, "HTTP 429" if i == 1 else None) for i in range(7)], "category string, place int, error string")
+    assert {r.category: r.error for r in rankings.after_refusal(lists).collect()} == {"c0": None, "c1": "HTTP 429", "c2": None, **{f"c{i}": "not fetched" for i in range(3, 7)}}
+    assert rankings.after_refusal(lists.where("place <> 1")).where("error IS NOT NULL").count() == 0
 
 
 def test_rankings_and_lists(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayglass.functions.text import canonical, plain_key
@@ -37,10 +37,20 @@ def coverage(merged: DataFrame) -> DataFrame:
     return merged.agg(F.count_if("covered").alias("coverage"), F.count_if("additional").alias("additional_coverage"))
 
 
+def fresh_stamp(updated: Column, now: int) -> Column:
+    """Whether a provider's stamp (dd/mm/yyyy ...) is of these days, by the local calendar; one that is no date is not."""
+    age = F.datediff(local_date(F.lit(now)), day_month_year(updated))
+    return F.coalesce(age.between(-AHEAD, BEHIND), F.lit(False))
+
+
+def require_fresh(raw: DataFrame, now: int, updated: str = "updated") -> DataFrame:
+    """raw, but an error at the first row whose stamp is not of these days."""
+    return raw.where(F.when(fresh_stamp(F.col(updated), now), True).otherwise(F.raise_error(F.lit("stale data")).cast("boolean")))
+
+
 def fresh(updated: str | None, now: int, spark) -> bool:
-    """Whether a provider's stamp (dd/mm/yyyy ...) is of these days, by the local calendar."""
-    age = F.datediff(local_date(F.lit(now)), day_month_year(F.lit(updated)))
-    return bool(spark.range(1).select(F.coalesce(age.between(-AHEAD, BEHIND), F.lit(False))).first()[0])
+    """fresh_stamp() of one stamp."""
+    return spark.range(1).select(fresh_stamp(F.lit(updated).cast("string"), now)).first()[0]
 
 
 def name_records(records: DataFrame, catalogue: DataFrame) -> DataFrame:

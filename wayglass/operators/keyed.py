@@ -12,13 +12,12 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[Column], n: int =
     return rows.withColumn("rank in key", rank).where(F.col("rank in key") <= n).drop("rank in key")
 
 
-def last_value_per_key(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The last row of each key by a column, as an aggregate that combines before it shuffles."""
-    rest = [c for c in rows.columns if c not in key]
-    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("row")).select(*key, "row.*")
-
-
 def not_stored(rows: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not stored yet; null keys count as equal."""
     same = [rows[c].eqNullSafe(stored[c]) for c in key]
     return rows.join(stored, on=same, how="left_anti")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows but for those of the keys in gone (a column of that name)."""
+    return rows.join(gone.select(key).distinct(), key, "left_anti")

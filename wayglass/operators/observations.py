@@ -18,7 +18,7 @@ from .keyed import first_per_key, not_stored
 
 # Limits, short names, headings and the phrases that stand around a name.
 MAX_TEXT, MAX_ROWS, MAX_MESSAGE, MAX_BATCH, MAX_CHECKS = 40_000, 200, 6_000, 100, 50_000
-MAX_DATA_URL, MAX_IMAGE = 300_000, 220_000
+MAX_DATA_URL, MAX_IMAGE, MAX_BOSSES = 300_000, 220_000, 20
 FIRST_DAY = "2020-01-01"
 ALIASES = {"pantera": "Midnight Panther", "panther": "Midnight Panther", "murius": "General Murius", "cavebear": "Undead Cavebear", "crustacea": "Crustacea Gigantica"}
 TAIL = r"(?i)\s*(?:;|=|:|\s)\s*(?:n[aã]o (?:estavam?|encontrad[oa]s?|achei|encontrei)|vazio|ausente|presente|encontrado|estavam?)\s*$"
@@ -55,8 +55,10 @@ def parse_reports(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     texts: id, text, date, time and default_result (the result before any heading; null where none is
     assumed). A heading sets the result of the lines below it and reports nothing itself; a line's own wording goes first.
+    A text of over MAX_TEXT characters is an error.
     """
-    lines = texts.select("id", F.col("date").alias("own_date"), F.col("time").alias("own_time"), "default_result", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
+    short = F.when(F.length("text") > MAX_TEXT, F.raise_error(F.lit(f"a text of over {MAX_TEXT} characters"))).otherwise(F.col("text"))
+    lines = texts.withColumn("text", short).select("id", F.col("date").alias("own_date"), F.col("time").alias("own_time"), "default_result", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
     stamped = lines.withColumn("raw", F.trim("raw")).where("raw <> ''").withColumn("stamp", line_stamp(F.col("raw")))
     body = stamped.withColumn("body", F.regexp_replace("stamp.rest", r"^[•*\-]\s*", "")).withColumn("own", result_of(F.col("body")))
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("body", "❌|❎|✅", ""), TAIL, ""), HEAD, ""))
@@ -152,7 +154,33 @@ def read_messages(messages: DataFrame, names: DataFrame) -> tuple[DataFrame, Dat
     state = parsed.groupBy("id").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
     each = seen.join(state, "id", "left")
     pending = F.col("review") | (F.coalesce("bad", F.lit(0)) > 0) | ((F.coalesce("good", F.lit(0)) == 0) & (F.size("mentioned") > 0))
-    return parsed.where(good), each.select("id", pending.alias("pending"), "mentioned")
+    return parsed.where(good).drop("text"), each.select("id", pending.alias("pending"), "mentioned")
+
+
+def recognised(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """id and bosses (mentioned ones, then those reported, each once) of messages that name any, from read_messages()."""
+    told = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", "boss"))), lambda r: r["boss"]).alias("told"))
+    both = F.array_union("mentioned", F.coalesce("told", F.array().cast("array<string>")))
+    return state.join(told, "id", "left").select("id", both.alias("bosses")).where(F.size("bosses") > 0)
+
+
+def reviews(messages: DataFrame, state: DataFrame) -> DataFrame:
+    """id, bosses (MAX_BOSSES at most), date, time and reason (photo or unclear) of pending messages (id, date, time, media)."""
+    waiting = state.where("pending").join(messages.select("id", "date", "time", "media"), "id")
+    photo = F.coalesce("media", F.lit(False)) & (F.size("mentioned") == 0)
+    part = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c)
+    return waiting.select("id", F.slice("mentioned", 1, MAX_BOSSES).alias("bosses"), part("date", 10), part("time", 5), F.when(photo, "photo").otherwise("unclear").alias("reason"))
+
+
+def checked_batches(messages: DataFrame) -> DataFrame:
+    """messages (batch_id, id, text, ...) with error (id, text or size) and batch_ok: a batch of over MAX_BATCH messages, or with a bad one, is rejected as a whole."""
+    batch = Window.partitionBy("batch_id")
+    error = (
+        F.when(~F.coalesce(F.col("id").rlike("^[a-f0-9]{64}$"), F.lit(False)), "id")
+        .when(F.col("text").isNull() | (F.length("text") > MAX_MESSAGE), "text")
+        .when(F.count("*").over(batch) > MAX_BATCH, "size")
+    )
+    return messages.withColumn("error", error).withColumn("batch_ok", F.every(F.col("error").isNull()).over(batch))
 
 
 def check_key() -> list[Column]:
@@ -231,6 +259,11 @@ def identified(checks: DataFrame, recognised: DataFrame, pending: DataFrame) ->
     return told.unionByName(named).groupBy("boss").agg(*sums, F.greatest(F.lit(0), F.max("at")).alias("last_at"))
 
 
+def identified_table(rows: DataFrame, query: str = "") -> DataFrame:
+    """identified() in order of name, those whose name contains the query without regard to case."""
+    return rows.where(F.contains(F.lower("boss"), F.lit(query.strip().lower()))).orderBy(F.collate("boss", "UNICODE"), "boss")
+
+
 def upserted(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """stored with new rows in place of those with the same key."""
     return stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
@@ -262,7 +295,6 @@ def cut_diagnostics(rows: DataFrame) -> DataFrame:
 
 
 
-
 def rounds(stored: DataFrame, n: int = 20) -> DataFrame:
     """The first n batches by the place of their first row: batch_id, world, rows and bosses in order."""
     row = F.struct("seq", "boss", "result")

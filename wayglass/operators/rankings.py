@@ -34,6 +34,24 @@ def whitelist(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.select(*[c for c in fields if c in rows.columns])
 
 
+def profiles(read: DataFrame) -> DataFrame:
+    """store.read_profiles() with error: not-found where a profile is not that of the asked name; such a player and its lists are null."""
+    own = F.coalesce(F.lower("player.name") == F.lower("asked"), F.lit(False))
+    rest = [F.when(own, F.col(c)).alias(c) for c in read.columns if c != "asked"]
+    return read.select("asked", *rest, F.when(~own, "not-found").alias("error"))
+
+
+#: Lists that are fetched at once, what says that a provider wants no more, and what lists that were then not fetched have as error.
+AT_ONCE, REFUSED, NOT_FETCHED = 3, "HTTP 429", "not fetched"
+
+
+def after_refusal(lists: DataFrame) -> DataFrame:
+    """lists (category, place from 0, error) as they stand when a provider refuses: those of later groups of AT_ONCE were not fetched."""
+    group = F.floor(F.col("place") / AT_ONCE)
+    refused = lists.where(F.col("error") == REFUSED).agg(F.min(group)).first()[0]
+    return lists if refused is None else lists.withColumn("error", F.when(group > refused, NOT_FETCHED).otherwise(F.col("error")))
+
+
 def valid_name(name: Column) -> Column:
     """Whether a character name may be looked up: 2 to 60 characters when trimmed, no control characters."""
     trimmed = F.trim(name)
@@ -55,11 +73,6 @@ def locations(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     return found.select(key, F.concat(F.lit("Local "), F.col("place").cast("string")).alias("name"), "value.x", "value.y", "value.z")
 
 
-def first_filled(rows: DataFrame, key: list[str], order: str, *columns: str) -> DataFrame:
-    """For each key the first value of each column that is not null, by order."""
-    return rows.groupBy(*key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
-
-
 def positions(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """rows numbered from 1 within each key."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -111,10 +111,22 @@ SELECT batch_id, added, rows - added AS duplicates, event_id, user_id, event_typ
     "html_extract_distinct": """WITH each AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS pos FROM pages),
 firsts AS (SELECT page_id, value, min(pos) AS pos FROM each GROUP BY ALL), placed AS (SELECT page_id, value, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM firsts)
 SELECT page_id, place, value FROM placed""",
-    "ledger_totals": """WITH steps AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 1 ELSE -1 END AS step FROM events WHERE event_type IN ('purchase', 'error')),
-running AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM steps),
-summed AS (SELECT user_id, sum(step) AS total, least(0, min(s)) AS low, count(*) FILTER (WHERE step = 1) AS kills_made, count(*) FILTER (WHERE step = -1) AS undos FROM running GROUP BY ALL)
-SELECT user_id, CAST(total - low AS BIGINT) AS kills, kills_made, CAST(undos + low AS BIGINT) AS undone, CAST(-low AS BIGINT) AS conflicts FROM summed""",
+    "ledger_totals": """WITH acts AS (
+  SELECT user_id, event_id, event_type <> 'error' AS push, CASE WHEN event_type = 'purchase' THEN event_id WHEN event_type = 'click' OR event_id % 3 <> 0 THEN last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER o
+    ELSE first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER o END AS id, event_type
+  FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), lists AS (
+  SELECT user_id, 'B' || (id % 2) AS boss, list({'s': [id], 'push': push, 'made': 0, 'undone': 0, 'conflicts': 0, 'repeated': 0} ORDER BY event_id) AS l
+  FROM acts WHERE id IS NOT NULL AND event_type IN ('purchase', 'click', 'error') GROUP BY ALL
+), done AS (
+  SELECT user_id, boss, list_reduce(list_prepend({'s': []::BIGINT[], 'push': true, 'made': 0, 'undone': 0, 'conflicts': 0, 'repeated': 0}, l), lambda a, x: CASE
+    WHEN x.push AND list_contains(a.s, x.s[1]) THEN {'s': a.s, 'push': true, 'made': a.made, 'undone': a.undone, 'conflicts': a.conflicts, 'repeated': a.repeated + 1}
+    WHEN x.push THEN {'s': list_concat(a.s, x.s), 'push': true, 'made': a.made + 1, 'undone': a.undone, 'conflicts': a.conflicts, 'repeated': a.repeated}
+    WHEN len(a.s) > 0 AND a.s[len(a.s)] = x.s[1] THEN {'s': a.s[:-2], 'push': true, 'made': a.made, 'undone': a.undone + 1, 'conflicts': a.conflicts, 'repeated': a.repeated}
+    WHEN list_contains(a.s, x.s[1]) THEN {'s': a.s, 'push': true, 'made': a.made, 'undone': a.undone, 'conflicts': a.conflicts + 1, 'repeated': a.repeated}
+    ELSE a END) AS r FROM lists
+)
+SELECT user_id, boss, len(r.s)::BIGINT AS kills, len(r.s) > 0 AS known, r.made::BIGINT AS made, r.undone::BIGINT AS undone, r.conflicts::BIGINT AS conflicts, r.repeated::BIGINT AS repeated FROM done""",
     "radar_list": f"WITH {_PREDICTIONS} SELECT 'Order ' || o_orderkey AS name, status, favorite, muted FROM classified WHERE status IN ('high', 'medium')",
     "topk_per_group": """SELECT event_type, at, event_id, user_id FROM (
   SELECT event_type, epoch_us(ts) // 1000 AS at, event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5""",

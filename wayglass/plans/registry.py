@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions import text as T
 from wayglass.operators import alerts, catalog, keyed, observations, patterns, progress, rankings, snapshots
-from wayglass.plans import views
+from wayglass.plans import domain, views
+from wayglass.plans.domain_sql import ORACLES as _DOMAIN_SQL
 from wayglass.plans.oracles import ORACLES as _SQL
 from wayglass.plans.views import table
 from wayglass.sources import store
@@ -140,8 +141,15 @@ def q_html_extract_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    action = F.when(F.col("event_type") == "purchase", "kill").when(F.col("event_type") == "error", "undo")
-    return progress.ledger(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), action.alias("action")), "user_id")
+    """Purchases are recorded checks, clicks record one again, and errors undo one: the last of the user, or the first."""
+    kind = F.col("event_type")
+    so_far = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    bought = F.when(kind == "purchase", F.col("event_id"))
+    first, last = F.first(bought, ignorenulls=True).over(so_far), F.last(bought, ignorenulls=True).over(so_far)
+    number = F.when(kind == "purchase", F.col("event_id")).when(kind == "click", last).when(kind == "error", F.when(F.col("event_id") % 3 != 0, last).otherwise(first))
+    action = F.when(kind.isin("purchase", "click"), "check").when(kind == "error", "undo")
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), action.alias("action"), number.alias("id"), F.lit(True).alias("counts"), F.lit(None).cast("long").alias("kills"))
+    return progress.ledger(rows.where("id IS NOT NULL").withColumn("boss", F.concat(F.lit("B"), (F.col("id") % 2).cast("string"))), "user_id")
 
 
 def q_radar_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,4 +199,5 @@ def q_stream_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")}
-ORACLES = dict(_SQL)
+QUERIES |= domain.QUERIES
+ORACLES = _SQL | _DOMAIN_SQL

@@ -35,9 +35,9 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.posexplode("entries").alias("seq", "e")).select("seq", "e.race_name", F.col("e.creatures_killed_24h").alias("day"), F.col("e.creatures_killed_7d").alias("week"))
 
 
-def read_rankings(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Lists (category, error) and players (category, name, rank, value, seq); a file that is not a list of players is an error of its category."""
-    raw = spark.read.schema(RANKING).json(paths, multiLine=True)
+def read_rankings(spark: SparkSession, paths: list[str], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lists (category, error) and players (category, name, rank, value, seq), from one list a file, or a line; what is not a list of players is an error of its category."""
+    raw = spark.read.schema(RANKING).json(paths, multiLine=not lines)
     lists = raw.select("category", F.coalesce("error", F.when(F.col("players").isNull(), "unknown format")).alias("error"))
     players = raw.select("category", F.posexplode("players").alias("seq", "p")).select("category", "p.name", "p.rank", "p.value", "seq")
     return lists, players
