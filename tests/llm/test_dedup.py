@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from wayglass.llm import line_dedup, simhash
+from wayglass.llm import line_dedup, shared, simhash
 
 SPACE = " \t\n\r\x0b\x0c"
 
@@ -86,6 +86,26 @@ def test_links_and_components(spark, monkeypatch, part):
     assert {i: found.get(i, i) for i in by} == classes(by)
 
 
+def test_large_groups_and_stars_are_taken_apart(spark, monkeypatch):
+    for module, name, value in ((simhash, "PART", 20), (simhash, "BROADCAST_ROWS", 0), (shared, "BROADCAST_ROWS", 2), (shared, "HOT", 3)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << b for b in rng.sample(range(5, 33), k)) for k in (0, 1, 2, 5, 8, 11) for _ in range(60)} | {rng.getrandbits(64) for _ in range(30)}
+    by = dict(enumerate(sorted(prints)))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in by.items()], "fingerprint long, node long")
+    sizes = [(r["count"], (r.mask & (1 << 64) - 1).bit_count()) for r in simhash.grouped(df).groupBy("mask", "key").count().collect()]
+    assert all(n <= 20 or bits >= 64 - simhash.FREE for n, bits in sizes) and max(bits for _, bits in sizes) > 40
+    found = {r.node: r.component for r in simhash.components(simhash.links(df)).collect()}
+    assert {i: found.get(i, i) for i in by} == classes(by)
+
+
+def test_a_tie_of_ids_and_texts_goes_by_the_other_columns(spark):
+    rows = [(1, "a b c d", x) for x in "pqrstuvw"] + [(2, "a b c d", "z")]
+    kept = {simhash.first_of_each(spark.createDataFrame(rng, "doc_id long, text string, source string").repartition(4)).first().source for rng in (rows, rows[::-1])}
+    assert len(kept) == 1 and kept < set("pqrstuvw")
+
+
 def test_query_two_over_the_whole_table(spark):
     import __spark_entry__ as e
 

@@ -39,6 +39,21 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, most: int) -> Data
     return dealt.join(many, [key, "salt of facts"], "left").drop("salt of facts")
 
 
+#: Rows of one key from which on it is matched apart.
+HOT = 10_000
+
+
+def join_split(rows: DataFrame, facts: DataFrame, key: str, n: str, how: str = "left") -> DataFrame:
+    """rows with the columns of facts, which has one row a key at most and in n how many rows have it (dropped).
+
+    Facts of keys of over HOT rows, which are few, are met as join_facts() does; all other keys are small.
+    """
+    marked = join_facts(rows, facts.where(F.col(n) > HOT).drop(n).withColumn("is hot", F.lit(True)), key)
+    hot = marked.where(F.col("is hot")).drop("is hot")
+    rest = marked.where(F.col("is hot").isNull()).select(*rows.columns).join(facts.where(F.col(n) <= HOT).drop(n), key, how)
+    return hot.unionByName(rest)
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once: inside lambdas it would else be put in as an expression and worked out for each element."""
     return F.get(F.transform(F.array(value), use), 0)

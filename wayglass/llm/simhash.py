@@ -8,18 +8,18 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_saved, partitions, saved, slices, texts_of
+from .shared import BROADCAST_ROWS, drop_saved, join_facts, join_split, partitions, saved, slices, texts_of
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
 #: Bits of the five blocks of a fingerprint. Two that differ in 3 bits or fewer agree in two blocks at least.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Fingerprints that share two blocks are compared in parts of this size, so that no task gets a whole hot group.
-PART = 4096
+#: Fingerprints that share two blocks are compared as one group up to this many; larger groups are told apart by more bits. So many can differ in FREE bits.
+PART, FREE = 4096, 12
 #: Stands for a null doc_id where rows are matched.
 _NO_ID = -(1 << 63)
 #: Rows compared in one go, at least; whole parts are kept together.
@@ -149,12 +149,12 @@ def linked(group: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of sorted rows (t, key, i, j, fingerprint, node), a bounded number of whole parts at a time."""
+def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of sorted rows (mask, key, fingerprint, node), a bounded number of whole groups at a time."""
 
     def run(table: pa.Table) -> pa.RecordBatch:
-        part = np.stack([table[c].to_numpy().astype(np.int64) for c in ("t", "key", "i", "j")])
-        group = np.concatenate(([0], np.cumsum((part[:, 1:] != part[:, :-1]).any(axis=0))))
+        keys = np.stack([table[c].to_numpy().astype(np.int64) for c in ("mask", "key")])
+        group = np.concatenate(([0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))))
         node = table["node"].to_numpy()
         a, b = linked(group, table["fingerprint"].to_numpy().astype(np.int64).view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
@@ -165,7 +165,7 @@ def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(b.num_rows for b in held) >= ROWS:
             table = pa.Table.from_batches(held).combine_chunks()
             last = np.ones(table.num_rows, bool)
-            for c in ("t", "key", "i", "j"):
+            for c in ("mask", "key"):
                 values = table[c].to_numpy()
                 last &= values == values[-1]
             cut = int(np.argmax(last))
@@ -176,27 +176,53 @@ def _link_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(pa.Table.from_batches(held))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Links u > v between nodes of distinct fingerprints (fingerprint, node): enough of them to join
-    all that lie within the radius, but not every pair.
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    Each fingerprint goes to ten tables by two of its five blocks. Groups of a table that hold one
-    fingerprint end there; large groups are split into parts, and each two parts are compared apart.
-    """
-    spark = classes.sparkSession
+
+def pair_masks() -> list[int]:
+    """The bits of each two blocks."""
     edges = np.cumsum((0, *BLOCKS))
     whole = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [whole[a] | whole[b] for a, b in combinations(range(5), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])
-    dealt = classes.select(F.explode(keys).alias("k"), "fingerprint", "node").select("k.t", "k.key", "fingerprint", "node")
-    sizes = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = dealt.join(sizes, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    own = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
-    paired = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    part = ["t", "key", "i", "j"]
-    rows = paired.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fingerprint", "node")
-    return rows.repartition(partitions(spark), *part).sortWithinPartitions(*part).mapInArrow(_link_parts, "u long, v long").distinct()
+    return [_signed(whole[a] | whole[b]) for a, b in combinations(range(5), 2)]
+
+
+def finer(mask: int) -> list[int]:
+    """mask with one of RADIUS + 1 blocks of its free bits: fingerprints within the radius that agree in mask agree in one of these, too."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [_signed((mask & ((1 << 64) - 1)) | sum(1 << int(b) for b in part)) for part in np.array_split(free, RADIUS + 1)]
+
+
+def grouped(classes: DataFrame) -> DataFrame:
+    """mask, key, fingerprint and node of all that is to be compared: any two fingerprints within the radius share a group (mask and key).
+
+    Each fingerprint goes to ten groups by two of its five blocks. Groups of one end there. In a group of over PART
+    each goes on to RADIUS + 1 groups by a block of the bits that are left, as often as it takes; so what a large
+    group costs grows with its size and not with its square.
+    """
+    keyed = lambda masks: F.transform(masks, lambda m: F.struct(m.alias("mask"), F.col("fingerprint").bitwiseAND(m).alias("key")))
+    rows = classes.select(F.explode(keyed(F.array(*[F.lit(m) for m in pair_masks()]))).alias("group"), "fingerprint", "node")
+    out = None
+    while True:
+        sizes = saved(rows.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "groups")
+        large = (F.col("n") > PART) & (F.bit_count("group.mask") < 64 - FREE)
+        hot = sizes.where(large)
+        masks = [r.mask for r in hot.select("group.mask").distinct().collect()]  # 10 x 4 ** level at most
+        marked = join_facts(rows, hot.select("group", F.lit(True).alias("large")), "group") if masks else rows
+        few = (marked.where(F.col("large").isNull()).drop("large") if masks else rows).join(sizes.where(~large), "group").select("group.mask", "group.key", "fingerprint", "node")
+        out = few if out is None else out.unionByName(few)
+        if not masks:
+            return out
+        children = F.create_map(*[x for m in masks for x in (F.lit(m), F.array(*[F.lit(c) for c in finer(m)]))])
+        deeper = marked.where("large").withColumn("masks", F.try_element_at(children, F.col("group.mask")))
+        rows = saved(deeper.select(F.explode(keyed(F.col("masks"))).alias("group"), "fingerprint", "node"), "finer")
+
+
+def links(classes: DataFrame) -> DataFrame:
+    """Links u > v between nodes of distinct fingerprints (fingerprint, node): enough of them to join all that lie within the radius, but not every pair."""
+    group = ["mask", "key"]
+    rows = grouped(classes).repartition(partitions(classes.sparkSession), *group).sortWithinPartitions(*group)
+    return rows.mapInArrow(_link_groups, "u long, v long").distinct()
 
 
 # --- components ---
@@ -213,10 +239,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(held)
     while before[0]:
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        others = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        count = F.count("*").alias("n")
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), count)
+        large = _with_least(both, low, before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), count)
+        others = _with_least(large, least, before[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         after = saved(small, "edges")
         drop_saved(held)
@@ -227,6 +254,13 @@ def components(edges: DataFrame) -> DataFrame:
     return held.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _with_least(edges: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """edges (u, v) with m of u, from u, m and the number n of its edges; the centre of a large star is matched apart."""
+    if 2 * count <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(least.drop("n")), "u")
+    return join_split(edges, least, "u", "n", "inner")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash, fingerprint (long) and component_id (smallest doc_id reachable over links) of every row.
 
@@ -237,17 +271,18 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     that repeat a doc_id all stay. An empty table gives an empty one.
     """
     prints = saved(fingerprints(documents), "fingerprints")
-    classes = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes")
-    joined = components(links(classes))
-    names = classes.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(names, "fingerprint", "left").select("doc_id", "text_hash", "fingerprint", "component_id")
+    classes = saved(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")).where("node IS NOT NULL"), "classes")
+    joined = components(links(classes.drop("n")))
+    names = classes.join(joined, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"), "n")
+    return join_split(prints, names, "fingerprint", "n").select("doc_id", "text_hash", "fingerprint", "component_id")
 
 
 def first_of_each(documents: DataFrame) -> DataFrame:
     """One document of each component of near_duplicates(), with all its columns: that of the smallest doc_id.
 
-    Of rows that repeat this doc_id, one with the smallest hash of its text stays. Rows without doc_id stay only
-    where no row of their fingerprint has one: then one row for each fingerprint does. An empty table stays empty.
+    Of rows that repeat this doc_id, one with the smallest hash of its text stays, and of those with one text that with the smallest
+    hash of all its columns. Rows without doc_id stay only where no row of their fingerprint has one: then one row for each
+    fingerprint does. An empty table stays empty.
     """
     found = near_duplicates(documents)
     lone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
@@ -256,5 +291,7 @@ def first_of_each(documents: DataFrame) -> DataFrame:
     first = able.agg(F.min("text_hash").alias(text_mark)).select(F.coalesce("component_id", F.lit(_NO_ID)).alias(id_mark), text_mark).distinct()
     kept = documents.withColumn(id_mark, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(text_mark, text_hash()).join(first, list(marks), "left_semi")
     if not found.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(list(marks))
+        order = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in documents.columns])))
+        place = F.row_number().over(Window.partitionBy(*marks).orderBy(order))
+        kept = kept.withColumn("place of a first document", place).where(F.col("place of a first document") == 1).drop("place of a first document")
     return kept.drop(*marks)
