@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,10 @@ from .shared import Growing, WordTable, expand, kept, partitions, run_sums, save
 
 #: Keys in one part of the index, on average: a part is built and read in one task.
 KEYS_PER_PART = 1 << 16
+#: UTF-8 bytes of text in a shard, on average at most, and of ids that are read back at once (a longer document goes alone).
+SHARD_BYTES, READ_BYTES = 256 << 20, 32 << 20
+#: Offsets that are read at once.
+BOUNDS = 1 << 16
 #: Stands for a null key; a document must not have it as its own.
 NULL_KEY = -(1 << 63)
 
@@ -40,15 +45,30 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+class _Draft:
+    """A file that is written piece by piece under another name, and takes its own only when it is whole: a repeated or speculative task replaces it with the same bytes."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.fs, at = _fs(folder)
+        self.fs.create_dir(at, recursive=True)
+        self.path, self.draft = f"{at}/{name}", f"{at}/.{name}.{os.getpid()}.{np.random.default_rng().integers(1 << 62)}"
+        self.out = self.fs.open_output_stream(self.draft)
+
+    def __enter__(self) -> _Draft:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.out.close()
+        if kind is None:
+            self.fs.move(self.draft, self.path)
+        else:
+            self.fs.delete_file(self.draft)
+
+
 def _write(folder: str, name: str, parts: list[bytes]) -> None:
-    """Whole or not at all: a repeated or speculative task replaces the file with the same bytes."""
-    fs, at = _fs(folder)
-    fs.create_dir(at, recursive=True)
-    draft = f"{at}/.{name}.{os.getpid()}.{np.random.default_rng().integers(1 << 62)}"
-    with fs.open_output_stream(draft) as out:
+    with _Draft(folder, name) as file:
         for part in parts:
-            out.write(part)
-    fs.move(draft, f"{at}/{name}")
+            file.out.write(part)
 
 
 def _read(folder: str, name: str) -> bytes:
@@ -257,26 +277,32 @@ def write(spark: SparkSession, documents: DataFrame, folder: str, tokenizer: str
 
     Nulls: a null text is empty (its record is the end id alone); a null doc_id comes first and has
     the reserved key NULL_KEY. Rows with the same doc_id all stay, next to each other, in order of text.
-    An empty table gives a manifest without shards. A hot key may span several shards.
+    An empty table gives a manifest without shards. A hot key may span several shards. There are as many shards as the
+    session has shuffle partitions, or more, so that one is of SHARD_BYTES of text; it is written as it is encoded, and only its
+    offsets (8 bytes a document) wait in memory.
     """
+    size = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    count = max(partitions(spark), -(-size // SHARD_BYTES))
     width = vocabulary_width(tokenizer)
     keyed = documents.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    ordered = keyed.repartitionByRange(partitions(spark), "key", tie).sortWithinPartitions("key", tie, "text")
+    ordered = keyed.repartitionByRange(count, "key", tie).sortWithinPartitions("key", tie, "text")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = _encoder(tokenizer), TaskContext.get().partitionId()
-        payload, offsets, ordinal, total = [], [np.zeros(1, "<u8")], 0, 0
-        for batch in slices(batches):
-            stored, counts = _pack(*encoder.encode(texts_of(batch["text"])), end_id, width)
-            payload.append(stored.tobytes())
-            offsets.append((total + np.cumsum(counts)).astype("<u8"))
-            rows = len(counts)
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(np.full(rows, number, np.int32)), pa.array(np.arange(ordinal, ordinal + rows)), pa.array(counts)], ["key", "shard", "ordinal", "n_tokens"])
-            ordinal, total = ordinal + rows, total + int(counts.sum())
-        if ordinal:
-            _write(folder, f"shard-{number:05d}.bin", payload)
-            _write(folder, f"shard-{number:05d}.off", [x.tobytes() for x in offsets])
+        first = next(batches, None)
+        if first is None:
+            return
+        offsets, ordinal, total = [np.zeros(1, "<u8")], 0, 0
+        with _Draft(folder, f"shard-{number:05d}.bin") as file:
+            for batch in slices(chain([first], batches)):
+                stored, counts = _pack(*encoder.encode(texts_of(batch["text"])), end_id, width)
+                file.out.write(stored.tobytes())
+                offsets.append((total + np.cumsum(counts)).astype("<u8"))
+                rows = len(counts)
+                yield pa.RecordBatch.from_arrays([batch["key"], pa.array(np.full(rows, number, np.int32)), pa.array(np.arange(ordinal, ordinal + rows)), pa.array(counts)], ["key", "shard", "ordinal", "n_tokens"])
+                ordinal, total = ordinal + rows, total + int(counts.sum())
+        _write(folder, f"shard-{number:05d}.off", [x.tobytes() for x in offsets])
 
     records = saved(ordered.mapInArrow(shard, "key long, shard int, ordinal long, n_tokens long"), "records")
     shards = [[r.shard, r.n, r.ids] for r in records.groupBy("shard").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("ids")).orderBy("shard").collect()]
@@ -357,19 +383,30 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _fs(folder)
         number, ids, offsets = -1, None, None
+
+        def read(out: list) -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+
         for batch in slices(batches):
-            out = []
+            out, held = [], 0
             for key, shard, ordinal, count in zip(*(batch[c].to_pylist() for c in ("key", "shard", "ordinal", "count")), strict=True):
                 if shard != number:
                     number, ids, offsets = shard, fs.open_input_file(f"{at}/shard-{shard:05d}.bin"), fs.open_input_file(f"{at}/shard-{shard:05d}.off")
                     base = int(places.starts[np.searchsorted(places.numbers, shard)])
-                offsets.seek(8 * ordinal)
-                bounds = np.frombuffer(offsets.read(8 * (count + 1)), "<u8").astype(np.int64)
-                for i in range(count):
-                    a, b = int(bounds[i]), int(bounds[i + 1])
-                    ids.seek(a * width.itemsize)
-                    out.append((None if key == NULL_KEY else key, base + a, b - a, np.frombuffer(ids.read((b - a) * width.itemsize), width).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
+                for first in range(ordinal, ordinal + count, BOUNDS):
+                    some = min(BOUNDS, ordinal + count - first)
+                    offsets.seek(8 * first)
+                    bounds = np.frombuffer(offsets.read(8 * (some + 1)), "<u8").astype(np.int64)
+                    for i in range(some):
+                        a, b = int(bounds[i]), int(bounds[i + 1])
+                        ids.seek(a * width.itemsize)
+                        out.append((None if key == NULL_KEY else key, base + a, b - a, np.frombuffer(ids.read((b - a) * width.itemsize), width).astype("<u4").tobytes()))
+                        held += len(out[-1][3])
+                        if held > READ_BYTES:
+                            yield read(out)
+                            out, held = [], 0
+            yield read(out)
 
     if not manifest["shards"]:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
@@ -383,10 +420,10 @@ def get(folder: str, key: int | None) -> list[np.ndarray]:
     fs, at = _fs(folder)
     raw = NULL_KEY if key is None else key
     width, out = np.dtype(manifest["width"]), []
-    spark = SparkSession.active()
-    part = spark.range(1).select(F.pmod(F.xxhash64(F.lit(raw).cast("long")), F.lit(manifest["parts"]))).first()[0]
     if not manifest["shards"]:
         return out
+    spark = SparkSession.active()
+    part = spark.range(1).select(F.pmod(F.xxhash64(F.lit(raw).cast("long")), F.lit(manifest["parts"]))).first()[0]
     _, shard, ordinal, count = Mph.load(_read(folder, f"index-{part:05d}.mph")).find(np.array([raw], np.int64).view(np.uint64))[0].tolist()
     for number, first, records in _Shards(manifest).runs(shard, ordinal, count):
         with fs.open_input_file(f"{at}/shard-{number:05d}.off") as offsets, fs.open_input_file(f"{at}/shard-{number:05d}.bin") as ids:
