@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -80,6 +81,49 @@ def test_kernel_is_the_cosine_of_weighted_subsequences():
     assert (got[0, 1] > got[0, 3]) == (shared("idiot", "idiiot") > shared("idiot", "lump"))
 
 
+def test_scores_match_brute_force(spark, trained):
+    """Every word by plain enumeration, the worst three and the counts, and the logistic step."""
+    model, words = trained
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+
+    def word_score(word):
+        text, total, norm = "\0" + word + "\U0010ffff", 0.0, 0.0
+        for i in range(len(text)):
+            for j in range(i + 1, len(text)):
+                for k in range(j + 1, min(len(text), i + toxicity.SPAN)):
+                    w = toxicity.DECAY ** (k - i - 2)
+                    total += w * weights.get((ord(text[i]) << 42) | (ord(text[j]) << 21) | ord(text[k]), 0.0)
+                    norm += w * w
+        return total / norm**0.5 + model.bias if len(word) >= 2 else toxicity.FLOOR
+
+    def doc_score(text):
+        said = ["".join(c for c in w.lower() if c.isalpha()) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        runs = {m.group().replace(" ", "") for m in re.finditer(r"(?<!\S)\S(?: \S){2,}(?!\S)", " ".join(w or "--" for w in said))}
+        each = [word_score(w) for w in said]
+        spelled = [word_score(r) for r in runs]
+        top = sorted([word_score(w) for w in _by_word(text)] + spelled, reverse=True)[: toxicity.WORST]
+        top += [toxicity.FLOOR] * (toxicity.WORST - len(top))
+        bad = sum(x > toxicity.BAD for x in each + spelled)
+        logit = sum(c * x for c, x in zip(model.document, [*top, np.log1p(bad), np.log1p(len(said)), 1.0], strict=True))
+        return 1 / (1 + np.exp(-logit))
+
+    def _by_word(text):  # words that are the same, as written, count once among the worst
+        return ["".join(c for c in w.lower() if c.isalpha()) for w in set(re.findall(r"[^\x20\x09-\x0D]+", text or ""))]
+
+    texts = [None, "", "x", "W-O-R-T-H-L-E-S-S words", "d i m w i t and s c u m b a g", " ".join(words[:30]), "scumbag Scumbag scumbag " + words[0], "ωorthless 無価値 тупица dimwit", "a b", " ".join(words[5:50]) + " dimmwit"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert all(abs(found[i] - doc_score(t)) < 1e-9 for i, t in enumerate(texts)), [(i, found[i], doc_score(t)) for i, t in enumerate(texts)]
+
+
+def test_letters_of_other_scripts_are_told_apart(spark):
+    docs = [(i, f"слово дом река {'тупица' if i % 2 else 'окно'} поле день {'ж' * (i % 5 + 2)}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
+    said = spark.createDataFrame([(0, "день ту-пица река поле"), (1, "день окно река поле"), (2, "день тупиица поле")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(said, model).collect()} == {0: 1, 1: 0, 2: 1}
+
+
 def test_held_out_accuracy(spark):
     import __spark_entry__ as e
 
@@ -99,7 +143,7 @@ def test_labels_of_held_out_rows_are_never_read(spark):
     docs, labels, _ = corpus(spark, 120)
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (toxicity.train(docs, x.where(~toxicity.held_out())) for x in (labels, flipped))
-    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.document, b.document)
+    assert np.array_equal(a.keys, b.keys) and np.array_equal(a.weights, b.weights) and np.array_equal(a.document, b.document)
 
 
 def test_pipeline_stages(spark):

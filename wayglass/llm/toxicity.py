@@ -5,7 +5,7 @@ with blanks between their letters are put together first), and its score follows
 words: kernels of whole sentences would drown a short insult. The kernel of two words counts
 common subsequences of three letters, each weighed down by its gaps, so that inserted or
 missing letters cost something but not everything. Training is multi-instance: every toxic
-document has a witness word, chosen by odds at first and by the machine afterwards.
+document has a witness word, chosen by odds at first and by the machine afterwards. Letters of any script count as they are.
 """
 
 from __future__ import annotations
@@ -43,7 +43,10 @@ FEATURES = WORST + 2
 FLOOR = -2.0
 _SENTENCE = re.compile(rb"[.!?\n]+")
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
-_CODES = 1 << 6
+#: Words of more letters than these are scored like any other, but not learnt from.
+MAX_LETTERS = 64
+#: Bits of a letter's code point in a subsequence, and the marks of a word's ends (neither is a letter).
+_BITS, _START, _END = 21, "\0", "\U0010ffff"
 
 
 def letters(word: str) -> str:
@@ -51,16 +54,11 @@ def letters(word: str) -> str:
     return "".join(filter(str.isalpha, word.lower()))
 
 
-def _code(letter: str) -> int:
-    """a-z have codes of their own, other letters share the rest."""
-    return ord(letter) - 96 if "a" <= letter <= "z" else 27 + ord(letter) * 40503 % 36
-
-
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, subsequence (three letters as one number) and weight of every gapped subsequence, norms applied."""
-    text = [[0, *map(_code, w), _CODES - 1] for w in words]  # with marks for both ends
-    lengths = np.array([len(t) for t in text], np.int64)
-    chars = np.fromiter((c for t in text for c in t), np.int64)
+    """Word number, subsequence (three code points as one number) and weight of every gapped subsequence, norms applied."""
+    text = "".join(f"{_START}{w}{_END}" for w in words)
+    chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
     number = np.repeat(np.arange(len(words)), lengths)
     end = np.repeat(np.cumsum(lengths), lengths)
     at = np.arange(len(chars))
@@ -68,34 +66,43 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for a, b in _OFFSETS:
         i = at[at + a + b < end]
         owner.append(number[i])
-        found.append((chars[i] << 12) | (chars[i + a] << 6) | chars[i + a + b])
+        found.append((chars[i] << (2 * _BITS)) | (chars[i + a] << _BITS) | chars[i + a + b])
         weight.append(np.full(len(i), DECAY ** (a + b - 2)))
     owner, found, weight = np.concatenate(owner), np.concatenate(found), np.concatenate(weight)
     norm = np.sqrt(np.bincount(owner, weight**2, minlength=len(words)))
     return owner, found, weight / norm[owner]
 
 
+def _places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Place of each subsequence in sorted keys, or their number where it is not there."""
+    if not len(keys):
+        return np.zeros(len(found), np.int64)
+    at = np.searchsorted(keys, found)
+    at[at == len(keys)] = 0
+    return np.where(keys[at] == found, at, len(keys))
+
+
 def kernel(words: list[str], others: list[str]) -> np.ndarray:
     """Kernel values of every word with every other word."""
-    dense = np.zeros((len(others), _CODES**3), np.float32)
     owner, found, weight = subsequences(others)
-    np.add.at(dense, (owner, found), weight)
+    keys, at = np.unique(found, return_inverse=True)
+    dense = np.zeros((len(others), len(keys) + 1), np.float32)  # the last column is what the others don't have
+    np.add.at(dense, (owner, at), weight)
     out = np.zeros((len(words), len(others)))
     owner, found, weight = subsequences(words)
-    ends = np.searchsorted(owner_sorted := np.sort(owner, kind="stable"), np.arange(len(words)))
-    order = np.argsort(owner, kind="stable")
-    assert len(owner_sorted) == len(order)
+    at, order = _places(keys, found), np.argsort(owner, kind="stable")
+    ends = np.searchsorted(owner[order], np.arange(len(words)))
     for w, (a, b) in enumerate(pairwise([*ends.tolist(), len(order)])):
         own = order[a:b]
-        out[w] = dense[:, found[own]] @ weight[own]
+        out[w] = dense[:, at[own]] @ weight[own]
     return out
 
 
 class Model:
-    """Weights of all subsequences (what the landmarks' coefficients come to), their bias, and a document's coefficients."""
+    """Subsequences (sorted) and their weights (what the landmarks' coefficients come to), their bias, and a document's coefficients."""
 
-    def __init__(self, weights: np.ndarray, bias: float, document: np.ndarray | None = None) -> None:
-        self.weights, self.bias = weights, bias
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, document: np.ndarray | None = None) -> None:
+        self.keys, self.weights, self.bias = keys, weights, bias
         self.document = np.array([0.0] * FEATURES + [-10.0]) if document is None else document
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -104,7 +111,8 @@ class Model:
         some = [i for i, w in enumerate(words) if len(w) >= 2]
         if some:
             owner, found, weight = subsequences([words[i] for i in some])
-            out[some] = np.bincount(owner, weight * self.weights[found], minlength=len(some)) + self.bias
+            share = np.append(self.weights, 0.0)[_places(self.keys, found)]
+            out[some] = np.bincount(owner, weight * share, minlength=len(some)) + self.bias
         return out
 
 
@@ -157,7 +165,7 @@ def worst_words(documents: DataFrame, model: Model, name: str) -> DataFrame:
     """documents with what _Scorer.worst says of each one as a column of that name (array of double)."""
     names = [c for c in documents.columns if c != name]
     schema = T.StructType([f for f in documents.schema if f.name in names]).add(name, T.ArrayType(T.DoubleType()))
-    held = documents.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
+    held = documents.sparkSession.sparkContext.broadcast(model)  # of LANDMARKS words, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(held.value)
@@ -207,13 +215,13 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     Word counts by label and the choice of witnesses run on Spark over a bounded sample of the
     labelled rows (MAX_TOXIC, MAX_CLEAN); bounded lists of words (MAX_WORDS, WITNESSES for each
-    toxic document) come to the driver. Without documents of both labels, no document is toxic.
+    toxic document; of MAX_LETTERS letters at most) come to the driver. Without documents of both labels, no document is toxic.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     drawn = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = drawn[0].unionByName(drawn[1])  # MAX_TOXIC + MAX_CLEAN rows at most: small enough to send to all tasks
     sample = saved(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
-    never = Model(np.zeros(_CODES**3), FLOOR)
+    never = Model(np.zeros(0, np.int64), np.zeros(0), FLOOR)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -221,7 +229,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
             for doc, mark, text in zip(batch["doc_id"].to_pylist(), batch["toxic"].to_pylist(), texts_of(batch["text"]), strict=True):
                 for sentence in set(_SENTENCE.split(text.lower())):
                     number = xxhash.xxh3_64_intdigest(sentence) >> 1
-                    rows += [(doc, mark, number, u) for u in {letters(w.decode()) for w in sentence.split()} if 2 <= len(u) <= 64]
+                    rows += [(doc, mark, number, u) for u in {letters(w.decode()) for w in sentence.split()} if 2 <= len(u) <= MAX_LETTERS]
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["doc_id", "toxic", "sentence", "word"])
 
@@ -261,9 +269,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
         whiten = vectors[:, live] / np.sqrt(values[live])
         w = _machine(kernel(words, marks) @ whiten, sign, weight)
         owner, subsequence, share = subsequences(marks)
-        weights = np.zeros(_CODES**3)
-        np.add.at(weights, subsequence, share * (whiten @ w[:-1])[owner])
-        model = Model(weights, float(w[-1]))
+        keys, at = np.unique(subsequence, return_inverse=True)
+        model = Model(keys, np.bincount(at, share * (whiten @ w[:-1])[owner]), float(w[-1]))
         if turn < 2:
             candidates = [x[2] for own in witnesses for x in own]
             picked = [w for w, f in zip(candidates, model.words(candidates), strict=True) if f > 0]
