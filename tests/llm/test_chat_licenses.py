@@ -115,3 +115,13 @@ def test_unescape_takes_one_escape_away(spark):
     df = spark.createDataFrame([(t,) for t in HARD], "t string")
     rows = df.select("t", chat.escape(F.col("t")).alias("e"), chat.unescape(chat.escape(chat.escape(F.col("t")))).alias("two")).collect()
     assert all(r.two == r.e for r in rows)
+
+
+def test_whole_licence_texts_are_found_within_others(spark):
+    long = [(i, licence, text) for i, (licence, text) in enumerate(licenses.TEMPLATES) if len(text) > 300]
+    rows = [(i, f"Words before it.\n\nCopyright (c) 2020 Some One. All rights reserved.\n\n{text.replace('. ', '.' + chr(10) * 2)}\n\nWords after it {i}.") for i, _, text in long]
+    rows += [(1000 + i, f"{i} some prose in front {text.upper()} and some behind it") for i, _, text in long]
+    found = {r.doc_id: (r.licences, r.dice) for r in licenses.by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, licence, _ in long:
+        for doc in (i, 1000 + i):
+            assert licence in found[doc][0].split(",") and found[doc][1] > 0.8, (licence, found[doc])
