@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayglass.llm import decontaminate, line_dedup, simhash, toxicity, word_bpe
-from wayglass.llm.shared import saved
+from wayglass.llm.shared import drop_saved, saved
 
 
 def _shielded(docs: DataFrame) -> DataFrame:
@@ -66,8 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's result is written to the shared folder and read again, and goes when the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_saved(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
