@@ -196,22 +196,22 @@ def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD
 
 
 def anchors(given=TEMPLATES, threshold: float = THRESHOLD) -> tuple[dict[str, list[tuple[int, int]]], list[str]]:
-    """Bigrams to look for in running text: for each, the places (words before it, words of the template) it has in templates; and the rarer words of all.
+    """Bigrams to look for in running text: for each, the places (words before it, words of the template) it has in templates; and the longer words of all.
 
     A text that reaches the threshold t has t b / (2 - t) of a template's b bigrams at least, so of any set of one bigram more than
-    may be missing it has one for certain. Taken are those whose rarer word is in the fewest templates, the longest first.
+    may be missing it has one for certain. Taken are those whose longer word is the longest: such words are rare in other texts.
     """
     said = [re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) for _, text in given]
-    common = Counter(w for found in said for w in set(found))
-    rare = lambda p: min((common[x], -len(x), x) for x in p.split())
+    common = Counter(p for found in said for p in set(zip(found, found[1:])))
+    rare = lambda p: max(p.split(), key=lambda x: (len(x), x))
     found: dict[str, list[tuple[int, int]]] = {}
     for w in said:
         pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
-        different = sorted(set(pairs), key=lambda p: (rare(p), p))
+        different = sorted(set(pairs), key=lambda p: (-len(rare(p)), -common[tuple(p.split())], p))
         missing = len(different) - math.ceil(threshold * len(different) / (2 - threshold) - 1e-9)
         for pair in different[: missing + 1]:
             found.setdefault(pair, []).extend((i, len(w)) for i, p in enumerate(pairs) if p == pair)
-    return {pair: sorted(set(places)) for pair, places in found.items()}, sorted({rare(p)[2] for p in found})
+    return {pair: sorted(set(places)) for pair, places in found.items()}, sorted({rare(p) for p in found})
 
 
 def windows(found: Column, given=TEMPLATES, threshold: float = THRESHOLD) -> Column:
