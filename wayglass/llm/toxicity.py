@@ -45,6 +45,8 @@ _SENTENCE = re.compile(rb"[.!?\n]+")
 _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 #: Words of more letters than these are scored like any other, but not learnt from.
 MAX_LETTERS = 64
+#: Words that are scored at once: bounds the memory of a Python worker.
+AT_ONCE = 10_000
 #: Bits of a letter's code point in a subsequence, and the marks of a word's ends (neither is a letter).
 _BITS, _START, _END = 21, "\0", "\U0010ffff"
 
@@ -108,11 +110,12 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         """Scores of words (letters only)."""
         out = np.full(len(words), FLOOR)
-        some = [i for i, w in enumerate(words) if len(w) >= 2]
-        if some:
-            owner, found, weight = subsequences([words[i] for i in some])
-            share = np.append(self.weights, 0.0)[_places(self.keys, found)]
-            out[some] = np.bincount(owner, weight * share, minlength=len(some)) + self.bias
+        some = np.array([i for i, w in enumerate(words) if len(w) >= 2], np.int64)
+        weights = np.append(self.weights, 0.0)
+        for at in range(0, len(some), AT_ONCE):
+            part = some[at : at + AT_ONCE]
+            owner, found, weight = subsequences([words[i] for i in part.tolist()])
+            out[part] = np.bincount(owner, weight * weights[_places(self.keys, found)], minlength=len(part)) + self.bias
         return out
 
 
