@@ -112,10 +112,29 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM turns GROUP BY conv_id
 """
 
+_OP12 = r"""
+WITH docs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), asked AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+  ) GROUP BY ALL
+), held AS (SELECT doc_id, t, count(*) AS tf FROM docs GROUP BY ALL
+), sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY doc_id
+), totals AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM sizes
+), weights AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY t, nd
+), shares AS (
+  SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l)) AS s FROM held JOIN sizes USING (doc_id), totals WHERE t IN (SELECT t FROM asked)
+), scores AS (SELECT item_id, doc_id, sum(times * w * s)::BIGINT AS score FROM asked JOIN shares USING (t) JOIN weights USING (t) GROUP BY ALL
+), ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
 ORACLES = {
     "op4_licenses": _OP4,
     "op7_chat": _OP7,
     "op3_line_dedup": _OP3,
     "op8_decontaminate": _OP8,
     "op9_quality": _OP9,
+    "op12_ranked_search": _OP12,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, line_dedup, personal, quality, simhash, token_shards, toxicity, word_bpe
+from . import chat, decontaminate, licenses, line_dedup, personal, quality, ranked_search, simhash, token_shards, toxicity, word_bpe
 from . import oracles
 from .shared import saved, scratch
 
@@ -93,6 +93,11 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for every benchmark item."""
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_simhash": op2_simhash,
@@ -104,5 +109,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_personal": op10_personal,
+    "op12_ranked_search": op12_ranked_search,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
