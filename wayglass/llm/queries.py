@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, line_dedup, personal, quality, ranked_search, simhash, token_shards, toxicity, word_bpe
+from . import chat, decontaminate, licenses, line_dedup, personal, quality, ranked_search, setsketch, simhash, token_shards, toxicity, word_bpe
 from . import oracles
 from .shared import saved, scratch
 
@@ -98,6 +98,12 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the set of shingles and component of every document."""
+    found = setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_simhash": op2_simhash,
@@ -110,5 +116,6 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_personal": op10_personal,
     "op12_ranked_search": op12_ranked_search,
+    "op13_setsketch": op13_setsketch,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
