@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, line_dedup, personal, quality, ranked_search, setsketch, simhash, token_shards, toxicity, word_bpe
+from . import chat, decontaminate, licenses, line_dedup, personal, quality, ranked_search, setsketch, simhash, token_align, token_shards, toxicity, word_bpe
 from . import oracles
 from .shared import saved, scratch
 
@@ -93,6 +93,12 @@ def op10_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(personal.listed(F.col("base")), 256).alias("base_sha256"), personal.listed(F.col("spans")).alias("spans"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens by two tokenizers, with the links' numbers in all documents."""
+    found = token_align.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 documents that score highest for every benchmark item."""
     return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -115,6 +121,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_personal": op10_personal,
+    "op11_token_align": op11_token_align,
     "op12_ranked_search": op12_ranked_search,
     "op13_setsketch": op13_setsketch,
 }
