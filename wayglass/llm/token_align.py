@@ -141,7 +141,8 @@ def corpus_pairs(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
         return word_tokens(words, path_a, path_b)
 
     def pairs(words: DataFrame) -> DataFrame:
-        return saved(pair_counts(links(words.select("word", "n", F.inline_outer("tokens")), ["word", "n"]), F.col("n")), "pairs")
+        dealt = words.repartition("word").select("word", "n", F.inline_outer("tokens"))  # once, and all steps of links() stay within these parts
+        return saved(pair_counts(links(dealt, ["word", "n"]), F.col("n")), "pairs")
 
     found = pairs(told(documents))
     if found.where("a IS NULL").isEmpty():  # a word without tokens has one row without ids
