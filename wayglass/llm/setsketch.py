@@ -27,7 +27,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 MARGIN = 20.0
 #: Members, and shingles of members, of a part of a group at most; larger groups are dealt out.
 PART, PART_SHINGLES = 4096, 2_000_000
-#: Documents whose ids are sent to all tasks (24 MB) to pick out their texts; of more, both sides shuffle.
+#: Ids or keys that are sent to all tasks (24 MB) to pick out their rows; of more, both sides shuffle.
 BROADCAST_IDS = 1_000_000
 
 _N = BANDS * ROWS
@@ -200,9 +200,13 @@ def group_links(members: DataFrame, payload: DataFrame, kind: Callable[[list[byt
     parts, in blocks. What a group costs so grows with its size, and with its square only in those that are left.
     """
     count = lambda n, w: F.ceil(F.greatest(n / F.lit(PART), w / F.lit(most) if most else F.lit(0.0))).cast("int")
-    found = members.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.min("node").alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
-    sizes = saved(found.where("low < high").select("group", "n", count(F.col("n"), F.col("w")).alias("parts"), "head"), "groups")
-    sized = saved(join_split(members, sizes.withColumn("all", F.col("n")), "group", "all", "inner"), "members")
+    spans = members.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    held = _among(members, saved(spans.where("low < high").select("group"), "groups"), "group")
+    held = saved(held, "members")
+    sums = held.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.min("node").alias("head"))
+    sizes = saved(sums.select("group", "n", count(F.col("n"), F.col("w")).alias("parts"), "head"), "groups")
+    sized = saved(join_split(held, sizes.withColumn("all", F.col("n")), "group", "all", "inner"), "members")
+    payload = _among(payload, saved(sized.select("node").distinct(), "nodes"), "node")
     own = F.array(F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     dealt = sized.withColumn("part", F.explode(F.when(F.col("node") == F.col("head"), every).otherwise(own))).withColumn("seed", F.lit(True))
@@ -230,10 +234,15 @@ def _linked(dealt: DataFrame, payload: DataFrame, kind) -> DataFrame:
     return rows.mapInArrow(_grouped(kind), "u long, v long").distinct()
 
 
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is one of keys, which go to all tasks if they are BROADCAST_IDS at most."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, key, "left_semi")
+
+
 def _texts(documents: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     """node and payload (the text) of the documents of nodes."""
     given = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("payload")).where("payload IS NOT NULL")
-    held = given.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node", "left_semi")
+    held = _among(given, nodes, "node")
     return held.dropDuplicates(["node", "payload"]) if repeated else held
 
 
@@ -251,13 +260,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = saved(able.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n"), F.max("n_shingles").alias("size"), F.min("registers").alias("payload")), "classes")
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("payload", i * width + 1, width)).alias("group")))
-    rows = classes.select("node", "size", F.inline(bands))
+    rows = lambda of, some: of.select("node", "label", "size", F.inline(bands)).where(some).select("group", "node", "label", "size")
     sketch = classes.select("node", "payload")
-    links = group_links(rows.where(F.col("band") < FIRST_BANDS).select("group", "node", F.col("node").alias("label"), "size"), sketch, near_registers)
-    links = saved(links, "links")
+    first = group_links(rows(classes.withColumn("label", F.col("node")), F.col("band") < FIRST_BANDS), sketch, near_registers)
+    links = saved(first, "links")
     joined = saved(components(links), "components")
-    labels = F.coalesce("component", "node").alias("label")
-    more = saved(group_links(rows.where(F.col("band") >= FIRST_BANDS).join(joined, "node", "left").select("group", "node", labels, "size"), sketch, near_registers), "links")
+    labelled = classes.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    more = saved(group_links(rows(labelled, F.col("band") >= FIRST_BANDS), sketch, near_registers), "links")
     if not more.isEmpty():
         joined = saved(components(links.unionByName(more)), "components")
     repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
