@@ -1,7 +1,11 @@
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
 from wayglass.functions import text as T
+from wayglass.functions import unicode as U
 from wayglass.operators import observations as O
 from wayglass.operators import progress, rankings
 
@@ -43,8 +47,42 @@ def test_stamps_unknown_names_and_lists(spark, names):
     assert parse(spark, names, None) == [] and parse(spark, names, " \n\n") == []
 
 
+def test_reports_in_capitals_and_after_any_white_space(spark, names):
+    rows = parse(spark, names, "NÃO ESTAVAM:\nDharalion\nESTAVAM:\nHirintror", default=None)
+    assert [(r.boss, r.result) for r in rows] == [("Dharalion", "vazio"), ("Hirintror", "encontrado")]
+    rows = parse(spark, names, "Dharalion NÃO ESTAVA\nNÃO ENCONTRADO: Hirintror\nBOSSES\u00a0AUSENTES:\npantera", default=None)
+    assert [(r.boss, r.text, r.result) for r in rows] == [("Dharalion", "Dharalion", "vazio"), ("Hirintror", "Hirintror", "vazio"), ("Midnight Panther", "pantera", "vazio")]
+    for before in ("\t", "\u00a0", "\ufeff \u3000", "\u2003"):
+        (row,) = parse(spark, names, f"{before}[09:10, 05/10/2026] Pessoa:{before}Dharalion{before}", date="2026-01-01")
+        assert (row.boss, row.time, row.date, row.text) == ("Dharalion", "09:10", "2026-10-05", "Dharalion")
+    (row,) = parse(spark, names, "•\u202fDharalion\u00a0=\u00a0vazio")
+    assert (row.boss, row.result) == ("Dharalion", "vazio")
+
+
+def test_decomposition_is_that_of_the_character_database(spark):
+    """All characters of the first plane and some beyond, and marks in any order."""
+    points = [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x11000, 0x11800), *range(0x1D100, 0x1D300), *range(0x2F800, 0x2FA20)]
+    rng, marks = random.Random(3), [c for c in map(chr, range(0x10000)) if unicodedata.combining(c)]
+    mixed = ["".join(rng.choice(marks) if rng.random() < 0.6 else chr(rng.choice(points)) for _ in range(9)) for _ in range(2000)]
+    df = spark.createDataFrame([(c,) for c in [*map(chr, points), *mixed, "", "abc é ñ", None]], "c string")
+    for r in df.select("c", U.nfd(F.col("c")).alias("whole"), U.bare(F.col("c")).alias("bare")).collect():
+        want = None if r.c is None else unicodedata.normalize("NFD", r.c)
+        assert r.whole == want, ascii(r.c)
+        assert r.bare == (None if want is None else "".join(x for x in want if not 0x300 <= ord(x) <= 0x36F)), ascii(r.c)
+
+
+def test_pages_and_numbers_by_the_providers_marks(spark):
+    page = "a<script>x</script>b <i>Ganho 24h</i>: 5 <SCRIPT src=1>\n</Script>c<>\u00a0 Ganho 7 dias −1.234 Ganho 30 dias +. end "
+    text = one(spark, T.html_text(F.lit(page)))
+    assert text == "ab Ganho 24h : 5 c Ganho 7 dias −1.234 Ganho 30 dias +. end "
+    assert one(spark, T.labelled_number(F.lit(text), "Ganho 24h")) is None
+    assert one(spark, T.labelled_number(F.lit(text), "Ganho 7 dias")) == -1234
+    assert one(spark, T.labelled_number(F.lit("total . x"), "total")) == 0
+    assert one(spark, T.labelled_number(F.lit("total 9.007.199.254.740.992"), "total")) is None
+
+
 def test_chat_stamps(spark):
-    cases = {"[23:55, 05/10/2026]": ("23:55", "2026-10-05"), "[9:12, 05/10/26]": ("09:12", "2026-10-05"), "[10:12 PM, 05/10/2026]": ("22:12", "2026-10-05"), "[10:12, 30/02/2026]": (None, None), "nothing": (None, None)}
+    cases = {"[9:12 PM, 05.10.2026]": ("21:12", "2026-10-05"), "[10:12\u202fpm,\u00a005-10-26]": ("22:12", "2026-10-05"), "[10:75, 05/10/2026]": (None, None), "[24:00, 05/10/2026]": (None, None), "[10:12, 05/10/202]": (None, None), "x [0:12 am, 5/1/2026] Ana:": ("00:12", "2026-01-05"), "[23:55, 05/10/2026]": ("23:55", "2026-10-05"), "[9:12, 05/10/26]": ("09:12", "2026-10-05"), "[10:12 PM, 05/10/2026]": ("22:12", "2026-10-05"), "[10:12, 30/02/2026]": (None, None), "nothing": (None, None)}
     df = spark.createDataFrame([(k,) for k in cases], "m string")
     found = {r.m: tuple(r.s) for r in df.select("m", T.chat_stamp(F.col("m")).alias("s")).collect()}
     assert found == cases

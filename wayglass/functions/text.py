@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters up to U+024F and U+1E00-U+1EFF that are a base letter with marks, and that letter.
-_PAIRS = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1]
-_MARKED, _PLAIN = "".join(a for a, _ in _PAIRS), "".join(b for _, b in _PAIRS)
+from .unicode import WHITE, WORD, bare, bare_letters, trimmed
 
 
 def fold(text: Column) -> Column:
-    """Accents off, then lower case; everything else stays."""
-    return F.lower(F.regexp_replace(F.translate(text, _MARKED, _PLAIN), "[\\u0300-\\u036f]", ""))
+    """Accents off, in all scripts, then lower case; everything else stays, in canonical decomposition."""
+    return F.lower(bare(text))
 
 
 def canonical(name: Column) -> Column:
     """Accents off, lower case, and only a-z and 0-9: the key by which names are matched."""
-    return F.regexp_replace(fold(name), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(bare_letters(name)), "[^a-z0-9]", "")
 
 
 def plain_key(name: Column) -> Column:
@@ -29,14 +25,14 @@ def plain_key(name: Column) -> Column:
 
 def screen_fold(text: Column) -> Column:
     """fold() for text read off a screen: direction marks out, white space to single blanks, trimmed."""
-    bare = F.regexp_replace(fold(text), "[\\u200e\\u200f\\u202a-\\u202e\\u2066-\\u2069]", "")
-    return F.trim(F.regexp_replace(bare, "[\\s\\u00a0]+", " "))
+    plain = F.regexp_replace(bare(text), "[\\u200e\\u200f\\u202a-\\u202e]", "")
+    return F.lower(trimmed(F.regexp_replace(plain, f"[{WHITE}]+", " ")))
 
 
 # The wordings of a report, folded.
 ABSENT = "nao (?:achei|acharam|encontrei|encontraram|estava|estavam|encontrado)|ausente|nao encontrado|vazio|❌|❎"
 PRESENT = "encontrei|encontrado|encontraram|estava|estavam|presente|acharam|achei|✅"
-REVIEW = r"[?]|\b(?:vou|vamos|sera|talvez|se aparecer|amanha|ontem|anteontem)\b"
+REVIEW = rf"[?]|(?<![{WORD}])(?:vou|vamos|sera|talvez|se aparecer|amanha|ontem|anteontem)(?![{WORD}])"
 EMPTY, FOUND = "vazio", "encontrado"
 
 
@@ -52,7 +48,12 @@ def needs_review(text: Column) -> Column:
 
 
 # Fixed value: a stamp and sender before a line.
-_STAMP = r"^\[?(\d{1,2}):(\d{2})(?:,?\s+(\d{1,2})/(\d{1,2})/(\d{2,4}))?\]?\s*(?:[^:]{1,60}:\s*)?"
+_STAMP = rf"\A\[?(\d{{1,2}}):(\d{{2}})(?:,?[{WHITE}]+(\d{{1,2}})/(\d{{1,2}})/(\d{{2,4}}))?\]?[{WHITE}]*(?:[^:]{{1,60}}:[{WHITE}]*)?"
+# Fixed value: a stamp of a chat, with the half of the day or without.
+_CHAT_STAMP = rf"(?i)\[(\d{{1,2}}):(\d{{2}})(?:[{WHITE}]*([AP]M))?,[{WHITE}]*(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{2,4}})\]"
+# What goes from a page, and a whole number with dots between thousands.
+_SCRIPT, _TAG = rf"(?i)<script(?![{WORD}])[^>]*>(?s:.*?)</script>", "<[^>]*>"
+_NUMBER = r"([+−-]?[\d.]+)"
 
 
 def line_stamp(line: Column) -> Column:
@@ -65,32 +66,26 @@ def line_stamp(line: Column) -> Column:
 
 
 def chat_stamp(meta: Column) -> Column:
-    """time and date of a chat stamp like [9:12 PM, 05/10/26]; both null unless the day exists."""
-    pattern = r"(?i)\[(\d{1,2}):(\d{2})(?:\s*([AP]M))?,\s*(\d{1,2})/(\d{1,2})/(\d{2,4})\]"
-    part = lambda i: F.regexp_extract(meta, pattern, i)
-    hour = F.try_to_number(part(1), F.lit("99")).cast("int")
+    """time and date of a chat stamp like [9:12 PM, 05/10/26], with / . or - between; both null unless there is such a day and time."""
+    part = lambda i: F.regexp_extract(meta, _CHAT_STAMP, i)
+    hour = part(1).try_cast("int")
     half = F.upper(part(3))
     hour = F.when(half == "PM", hour % 12 + 12).when(half == "AM", hour % 12).otherwise(hour)
     year = F.when(F.length(part(6)) == 2, F.concat(F.lit("20"), part(6))).otherwise(part(6))
     date = F.concat_ws("-", year, F.lpad(part(5), 2, "0"), F.lpad(part(4), 2, "0"))
-    good = F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNotNull() & (hour < 24)
+    good = (F.length(year) == 4) & F.try_to_date(date, "yyyy-MM-dd").isNotNull() & (hour < 24) & (part(2).try_cast("int") < 60)
     time = F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2))
     return F.struct(F.when(good, time).alias("time"), F.when(good, date).alias("date"))
 
 
 def html_text(html: Column) -> Column:
     """Text of a page: scripts out, tags to blanks, white space to single blanks."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>", " "), "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, _SCRIPT, ""), _TAG, " "), f"[{WHITE}]+", " ")
 
 
 def labelled_number(text: Column, label: str) -> Column:
-    """The whole number after a label, with dots between thousands and any minus sign; null if absent or over 2^53 - 1."""
-    raw = F.regexp_extract(text, label + r"\s*:?\s*([+\-−]?[\d.]+)", 1)
-    value = F.regexp_replace(F.translate(raw, "−", "-"), r"[.+]", "").try_cast("bigint")
+    """The whole number after a label and white space, with dots between thousands and any minus sign; null if absent or over 2^53 - 1. Dots alone are 0."""
+    found = F.regexp_extract(text, f"{label}[{WHITE}]+{_NUMBER}", 1)
+    digits = F.translate(found, "−.", "-")
+    value = F.when((found != "") & (digits == ""), F.lit(0).cast("bigint")).otherwise(digits.try_cast("bigint"))
     return F.when(F.abs(value) <= (1 << 53) - 1, value)
-
-
-def same_name(a: Column, b: Column) -> Column:
-    """Equality of names without regard to case."""
-    return F.lower(a) == F.lower(b)

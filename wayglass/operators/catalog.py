@@ -48,11 +48,6 @@ def require_fresh(raw: DataFrame, now: int, updated: str = "updated") -> DataFra
     return raw.where(F.when(fresh_stamp(F.col(updated), now), True).otherwise(F.raise_error(F.lit("stale data")).cast("boolean")))
 
 
-def fresh(updated: str | None, now: int, spark) -> bool:
-    """fresh_stamp() of one stamp."""
-    return spark.range(1).select(fresh_stamp(F.lit(updated).cast("string"), now)).first()[0]
-
-
 def name_records(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Provider's records (boss, ...) with boss_name: the catalogue's name of that key (the last, if several), else their own."""
     names = first_per_key(catalogue.where("name IS NOT NULL").select(plain_key(F.col("name")).alias("k"), F.col("name").alias("known"), "seq"), ["k"], [F.desc("seq")]).select("k", "known")

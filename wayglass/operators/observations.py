@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from wayglass.functions.text import EMPTY, FOUND, canonical, fold, line_stamp, needs_review, result_of
 from wayglass.functions.timing import at_local, local_date, valid_date
+from wayglass.functions.unicode import WHITE, trimmed, units
 from wayglass.sources.scratch import saved
 
 from .keyed import first_per_key, not_stored
@@ -21,9 +22,11 @@ MAX_TEXT, MAX_ROWS, MAX_MESSAGE, MAX_BATCH, MAX_CHECKS = 40_000, 200, 6_000, 100
 MAX_DATA_URL, MAX_IMAGE, MAX_BOSSES = 300_000, 220_000, 20
 FIRST_DAY = "2020-01-01"
 ALIASES = {"pantera": "Midnight Panther", "panther": "Midnight Panther", "murius": "General Murius", "cavebear": "Undead Cavebear", "crustacea": "Crustacea Gigantica"}
-TAIL = r"(?i)\s*(?:;|=|:|\s)\s*(?:n[aã]o (?:estavam?|encontrad[oa]s?|achei|encontrei)|vazio|ausente|presente|encontrado|estavam?)\s*$"
-HEAD = r"(?i)^(?:n[aã]o (?:estavam?|encontrad[oa]s?|achei|encontrei)|ausentes?|vazios?|estavam?|encontrad[oa]s?|presentes?|achei|encontrei)\s*[:\-]?\s*"
-HEADING = r"(?i)^(?:bosses?\s+)?(?:n[aã]o estavam|n[aã]o encontrados|ausentes|vazios|encontrados|presentes|estavam)\s*:?$"
+_NOT = "n[aãÃ]o (?:estavam?|encontrad[oa]s?|achei|encontrei)"
+TAIL = rf"(?i)[{WHITE}]*(?:;|=|:|[{WHITE}])[{WHITE}]*(?:{_NOT}|vazio|ausente|presente|encontrado|estavam?)[{WHITE}]*\z"
+HEAD = rf"(?i)\A(?:{_NOT}|ausentes?|vazios?|estavam?|encontrad[oa]s?|presentes?|achei|encontrei)[{WHITE}]*[:\-]?[{WHITE}]*"
+HEADING = rf"(?i)\A(?:bosses?[{WHITE}]+)?(?:n[aãÃ]o estavam|n[aãÃ]o encontrados|ausentes|vazios|encontrados|presentes|estavam)[{WHITE}]*:?\z"
+BULLET, PART = rf"\A[•*\-][{WHITE}]*", rf"[{WHITE}]*[,;][{WHITE}]*"
 BLOCKED_GROUPS = ("dados do perfil", "profile details", "dados do contato", "contact info", "group info", "dados do grupo")
 #: Names, and characters of all names, that one automaton holds at most.
 MAX_NAMES, MAX_NAME_CHARS = 50_000, 1_000_000
@@ -57,15 +60,15 @@ def parse_reports(texts: DataFrame, names: DataFrame) -> DataFrame:
     assumed). A heading sets the result of the lines below it and reports nothing itself; a line's own wording goes first.
     A text of over MAX_TEXT characters is an error.
     """
-    short = F.when(F.length("text") > MAX_TEXT, F.raise_error(F.lit(f"a text of over {MAX_TEXT} characters"))).otherwise(F.col("text"))
+    short = F.when(units(F.col("text")) > MAX_TEXT, F.raise_error(F.lit(f"a text of over {MAX_TEXT} characters"))).otherwise(F.col("text"))
     lines = texts.withColumn("text", short).select("id", F.col("date").alias("own_date"), F.col("time").alias("own_time"), "default_result", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
-    stamped = lines.withColumn("raw", F.trim("raw")).where("raw <> ''").withColumn("stamp", line_stamp(F.col("raw")))
-    body = stamped.withColumn("body", F.regexp_replace("stamp.rest", r"^[•*\-]\s*", "")).withColumn("own", result_of(F.col("body")))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("body", "❌|❎|✅", ""), TAIL, ""), HEAD, ""))
+    stamped = lines.withColumn("raw", trimmed(F.col("raw"))).where("raw <> ''").withColumn("stamp", line_stamp(F.col("raw")))
+    body = stamped.withColumn("body", F.regexp_replace("stamp.rest", BULLET, "")).withColumn("own", result_of(F.col("body")))
+    bare = trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace("body", "❌|❎|✅", ""), TAIL, ""), HEAD, ""))
     marked = body.withColumn("cleaned", bare).withColumn("is_heading", ((F.col("cleaned") == "") & F.col("own").isNotNull()) | F.col("body").rlike(HEADING))
     headed = marked.withColumn("heading", F.when(F.col("is_heading"), F.col("own"))).withColumn("heading", carried(marked, "heading", ["id"], "line"))
     result = F.coalesce("own", "heading", "default_result")
-    parts = F.filter(F.split("cleaned", r"\s*[,;]\s*"), lambda p: p != "")
+    parts = F.filter(F.split("cleaned", PART), lambda p: p != "")
     rows = headed.where(~F.col("is_heading")).select(
         "id",
         "line",
@@ -188,8 +191,8 @@ def check_key() -> list[Column]:
     return [F.col("world"), canonical(F.col("boss")).alias("boss_key"), F.col("date"), F.coalesce("time", F.lit("")).alias("time_key"), F.col("result")]
 
 
-def validated(rows: DataFrame, names: DataFrame, worlds: list[str], now: int) -> DataFrame:
-    """rows (batch_id, seq, world, boss, date, time, result, favorable) with the canonical name, at, precision and error.
+def validated(rows: DataFrame, names: DataFrame, worlds: list[str], now: int, origin: str = "group") -> DataFrame:
+    """rows (batch_id, seq, world, boss, date, time, result, favorable) with the canonical name, origin (group or whatsapp), at, precision and error.
 
     A batch is all or nothing: batch_ok tells whether every row of it is good and none repeats. Errors: boss, date,
     future, result, favorable, time, world, repeated, size.
@@ -218,6 +221,7 @@ def validated(rows: DataFrame, names: DataFrame, worlds: list[str], now: int) ->
         F.when(clock != "", clock).alias("time"),
         "result",
         "favorable",
+        F.lit(origin).alias("origin"),
         at_local(F.col("date"), clock).alias("at"),
         F.when(clock != "", "minute").otherwise("day").alias("precision"),
         "error",
@@ -271,7 +275,7 @@ def upserted(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 
 def good_group(name: Column) -> Column:
     """Whether a chat group's name is one: headings of other panes are not."""
-    return ~F.lower(F.trim(name)).isin(*BLOCKED_GROUPS)
+    return ~F.lower(trimmed(name)).isin(*BLOCKED_GROUPS)
 
 
 def favourable(rows: DataFrame, predictions: DataFrame, today: str, data_age_ms: int, error: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayglass.functions.unicode import trimmed, units
+
 MAX_LOCATIONS = 20
 MAX_X = MAX_Y = 65_535
 MAX_Z = 15
@@ -29,11 +31,6 @@ def look_up(lists: DataFrame, players: DataFrame, names: list[str]) -> DataFrame
     return joined.select("category", "name", status.alias("status"), "hit.value", "hit.rank", F.coalesce("total_listed", F.lit(0)).alias("total_listed"), "error")
 
 
-def whitelist(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Only the fields that may be kept, as far as they are there."""
-    return rows.select(*[c for c in fields if c in rows.columns])
-
-
 def profiles(read: DataFrame) -> DataFrame:
     """store.read_profiles() with error: not-found where a profile is not that of the asked name; such a player and its lists are null."""
     own = F.coalesce(F.lower("player.name") == F.lower("asked"), F.lit(False))
@@ -53,9 +50,8 @@ def after_refusal(lists: DataFrame) -> DataFrame:
 
 
 def valid_name(name: Column) -> Column:
-    """Whether a character name may be looked up: 2 to 60 characters when trimmed, no control characters."""
-    trimmed = F.trim(name)
-    return F.coalesce(F.length(trimmed).between(2, 60) & ~trimmed.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
+    """Whether a character name may be looked up: 2 to 60 characters (UTF-16 units) when trimmed, and no control characters anywhere."""
+    return F.coalesce(units(trimmed(name)).between(2, 60) & ~name.rlike(r"[\x00-\x1f]"), F.lit(False))
 
 
 def first_distinct(pages: DataFrame, key: str, found: Column, cap: int | None = MAX_LOCATIONS) -> DataFrame:
@@ -71,8 +67,3 @@ def locations(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     inside = F.filter(place, lambda p: (p["x"] <= MAX_X) & (p["y"] <= MAX_Y) & (p["z"] <= MAX_Z))
     found = first_distinct(pages, key, inside)
     return found.select(key, F.concat(F.lit("Local "), F.col("place").cast("string")).alias("name"), "value.x", "value.y", "value.z")
-
-
-def positions(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """rows numbered from 1 within each key."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -14,8 +14,8 @@ from wayglass.sources import store
 from wayglass.sources.scratch import scratch
 from wayglass.streaming import ingest
 
-NAMES = ("Dharalion", "Hirintror", "Midnight Panther")
-#: What chat messages of the test say, by number of the event modulo their count.
+NAMES = ("Dharalion", "Hirintror", "Midnight Panther", "General Murius")
+#: What chat messages of the test say, by number of the event modulo their count, in capitals, in small letters or as it stands.
 SAID = (
     "Não estavam:\nDharalion\nEstavam:\nHirintror",
     "[09:10, 05/10/2026] Pessoa: Dharalion não estava",
@@ -25,7 +25,14 @@ SAID = (
     "Dharalion, hirintror; pantera ✅",
     "bom dia",
     "Hirintror",
+    "9:05 Ana: • Hirintror = vazio\n- Dharalion : presente",
+    "Bosses encontrados\n* dharalion ;  cave bear\nausentes:\n Murius",
+    "❌ Dharalion\n\n✅ Midnight Panther, , General Murius",
+    "[7:45, 1/2/26] Zé: achei Midnight Panther\nnão encontrados\nHirintror",
+    "Dharalíon não encontrado",
 )
+#: White space before a line, between words and at a line's end.
+SPACES = (("", " ", "\n"), ("\t", " ", "\r\n"), ("\u00a0 ", "\u00a0", "\n"), ("\ufeff\u3000", " ", " \n"))
 
 
 def _pick(number: Column, values) -> Column:
@@ -146,8 +153,16 @@ def q_blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports ---
 
 
+def _said(key: Column) -> Column:
+    """Every sentence in three spellings and four kinds of white space."""
+    text, n = _pick(key, SAID), len(SAID)
+    cased = F.when(F.floor(key / n) % 3 == 0, F.upper(text)).when(F.floor(key / n) % 3 == 1, F.lower(text)).otherwise(text)
+    before, between, end = (_pick(F.floor(key / (3 * n)), [s[i] for s in SPACES]) for i in range(3))
+    return F.concat(before, F.replace(F.replace(cased, F.lit(" "), between), F.lit("\n"), F.concat(end, before)))
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("id"), "event_id", _pick(F.col("event_id"), SAID).alias("text"), F.to_date("ts").cast("string").alias("date"), _clock().alias("time"), (F.col("event_id") % 5 == 0).alias("media"), views.millis(F.col("ts")).alias("at"))
+    return table(spark, sf_dir, "events").select(F.sha2(F.col("event_id").cast("string"), 256).alias("id"), "event_id", _said(F.col("event_id")).alias("text"), F.to_date("ts").cast("string").alias("date"), _clock().alias("time"), (F.col("event_id") % 5 == 0).alias("media"), views.millis(F.col("ts")).alias("at"))
 
 
 def q_chat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +203,7 @@ def q_validated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         on(83, "x", F.when(F.col("value") >= 50, "encontrado").otherwise("vazio")).alias("result"),
         on(89, "maybe", _pick(key, ("yes", "no", "unknown"))).alias("favorable"),
     )
-    return observations.validated(rows, _names(spark), ["Lunarian"], 1_791_241_200_000).select("seq", "batch_id", "boss", "date", "time", "at", "precision", "error", "batch_ok")
+    return observations.validated(rows, _names(spark), ["Lunarian"], 1_791_241_200_000).select("seq", "batch_id", "boss", "date", "time", "origin", "at", "precision", "error", "batch_ok")
 
 
 def q_favourable_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,16 +262,33 @@ def q_dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- texts ---
 
 
+def q_folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, each with some words of another script behind it, folded."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _pick(F.col("doc_id"), OTHERS))
+    folded = table(spark, sf_dir, "documents").select("doc_id", T.fold(said).alias("text"))
+    return folded.select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
+#: Greek, Cyrillic, Hangul, Kana, Hebrew, Devanagari, letters with several marks, letters that stand for others, marks out of order.
+OTHERS = ("\u1f8d\u03b4\u03b7\u03c2 \u0390", "\u0419\u043e\u0436\u0438\u043a \u0401\u043b\u043a\u0430", "\ud55c\uad6d\uc5b4 \uac01", "\u30ac\u30d1\u3094", "\ufb2e\ufb49", "\u0958\u0931", "\u1ec7 \u01d6 \u0230", "\u212a\u212b\u2126", "\u05e9\u05c1\u05b8\u05bc q\u0307\u0323")
+
+
 def q_screen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.concat(F.lit("‎  "), "c_name", F.lit(" \t É‪ "), "c_mktsegment", F.lit("⁩ "))
+    shown = F.concat(F.lit("\u200e \u202f"), "c_name", _pick(F.col("c_custkey"), (" \t \u00c9\u202a ", "\u3000\u00e9 \ufeff", " \n\u00a0E\u0301\u2009")), "c_mktsegment", F.lit("\u202c\u2069 "))
     return table(spark, sf_dir, "customer").select("c_custkey", T.screen_fold(shown).alias("name"))
 
 
+def _stamps(key: Column) -> Column:
+    """Stamps of 24 and of 12 hours, with years of two and four digits and one, hours and minutes that are none, days that don't exist, and different marks and spaces."""
+    space, mark = _pick(key, ("", " ", "\u202f", "\u00a0")), _pick(F.floor(key / 4), ("/", ".", "-"))
+    half = _pick(F.floor(key / 12), ("", "AM", "pm", "PM"))
+    hour, minute = (key % 27).cast("string"), F.lpad((key % 67).cast("string"), 2, "0")
+    year = _pick(F.floor(key / 5), ("2024", "26", "025", "2023"))
+    return F.concat(F.lit("x ["), hour, F.lit(":"), minute, F.when(half == "", "").otherwise(F.concat(space, half)), F.lit(","), space, (key % 32).cast("string"), mark, (key % 13).cast("string"), mark, year, F.lit("] Ana: "))
+
+
 def q_chat_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stamps of 24 and of 12 hours, with years of four and two digits, and of days that don't exist."""
-    key = F.col("event_id")
-    long, short = F.date_format("ts", "'['H:mm, d/MM/yyyy']'"), F.date_format("ts", "'['h:mm a, dd/MM/yy']'")
-    return table(spark, sf_dir, "events").select("event_id", T.chat_stamp(F.when(key % 3 == 0, long).when(key % 3 == 1, short).otherwise("[10:12, 30/02/2026]")).alias("s")).select("event_id", "s.time", "s.date")
+    return table(spark, sf_dir, "events").select("event_id", T.chat_stamp(_stamps(F.col("event_id"))).alias("s")).select("event_id", "s.time", "s.date")
 
 
 def q_totals_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,7 +302,7 @@ def q_totals_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_profile_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     number = F.replace(F.format_number(key * 12_345, 0), F.lit(","), F.lit("."))
-    page = F.concat(F.lit("<p>Experiência <script>x = 'Ganho 24h 9'</script>total <b>"), number, F.lit("</b></p>\n<i>Ganho 24h</i>: "), F.when(key % 2 == 0, "−").otherwise("+"), number, F.when(key % 3 == 0, " Ganho 7 dias 99999999999999999").otherwise(""))
+    page = F.concat(F.lit("<p>Experiência <script>x = 'Ganho 24h 9'</script>total <b>"), number, F.lit("</b></p>\n<i>Ganho <>24h</i>"), F.when(key % 5 == 0, ": ").otherwise(" "), F.when(key % 2 == 0, "−").otherwise("+"), number, F.when(key % 3 == 0, " Ganho 7 dias 99999999999999999").otherwise(""))
     text = table(spark, sf_dir, "customer").select("c_custkey", T.html_text(page).alias("text"))
     labels = {"total": "Experiência total", "day": "Ganho 24h", "week": "Ganho 7 dias"}
     return text.select("c_custkey", *[T.labelled_number(F.col("text"), label).alias(c) for c, label in labels.items()])

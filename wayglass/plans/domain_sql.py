@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from wayglass.plans import oracles
+from wayglass.plans.domain import NAMES, SAID, SPACES
 
 ORACLES = {
     "catalogue_scan": """SELECT p_name AS name, 'https://img/' || p_partkey AS image_url, p_size::INTEGER AS x, (p_partkey % 100)::INTEGER AS y, (p_partkey % 16)::INTEGER AS z FROM part WHERE p_partkey % 10 <> 0""",
@@ -32,16 +33,6 @@ SELECT k, coalesce(new.v, old.v) AS v, coalesce(new.w, old.w)::INTEGER AS w FROM
 put AS (SELECT path, CASE WHEN again THEN 'new ' || left(t, 700) ELSE t END AS t FROM texts),
 moved AS (SELECT CASE WHEN path = 'f1' THEN 'f2' ELSE path END AS path, t FROM put WHERE path <> 'f2')
 SELECT path, greatest(1, CAST(ceil(length(t) / 500.0) AS BIGINT)) AS parts, length(t) AS chars, sha256(t) AS sha256 FROM moved""",
-    "chat_reports": """WITH said(k, line, part, boss, result) AS (VALUES (0, 1, 0, 'Dharalion', 'vazio'), (0, 3, 0, 'Hirintror', 'encontrado'), (1, 0, 0, 'Dharalion', 'vazio'), (2, 0, 0, 'Midnight Panther', 'encontrado'),
-  (5, 0, 0, 'Dharalion', 'encontrado'), (5, 0, 1, 'Hirintror', 'encontrado'), (5, 0, 2, 'Midnight Panther', 'encontrado'))
-SELECT sha256(CAST(event_id AS VARCHAR)) AS id, line::INTEGER AS line, part::INTEGER AS part, boss, result, CASE WHEN k = 1 THEN '2026-10-05' ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS date, CASE WHEN k = 1 THEN '09:10' ELSE strftime(ts, '%H:%M') END AS time
-FROM events JOIN said ON k = event_id % 8""",
-    "chat_reviews": """WITH m AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS id, event_id % 8 AS k, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, strftime(ts, '%H:%M') AS time, event_id % 5 = 0 AS media FROM events),
-named(k, bosses) AS (VALUES (0, 'Dharalion,Hirintror'), (1, 'Dharalion'), (2, 'Midnight Panther'), (3, 'Dharalion'), (4, 'Hirintror'), (5, 'Dharalion,Hirintror,Midnight Panther'), (7, 'Hirintror'))
-SELECT id, CASE k WHEN 3 THEN 'Dharalion' WHEN 4 THEN 'Hirintror' WHEN 6 THEN '' WHEN 7 THEN 'Hirintror' END AS waiting, CASE WHEN k IN (3, 4, 6, 7) THEN date END AS date, CASE WHEN k IN (3, 4, 6, 7) THEN time END AS time,
-  CASE WHEN k = 6 AND media THEN 'photo' WHEN k IN (3, 4, 6, 7) THEN 'unclear' END AS reason, bosses FROM m LEFT JOIN named USING (k)""",
-    "relevant_messages": """SELECT sha256(CAST(event_id AS VARCHAR)) AS id, event_id % 5 = 0 AS media, CASE WHEN event_id % 4 <> 0 THEN epoch_us(ts) // 1000 END AS at FROM events
-WHERE event_id % 5 = 0 OR (event_id % 8 NOT IN (2, 6) AND (event_id % 4 = 0 OR epoch_us(ts) // 1000 >= 1705000000000))""",
     "batch_limits": """WITH m AS (SELECT event_id, CASE WHEN event_id % 201 < 100 THEN event_id // 201 * 2 ELSE event_id // 201 * 2 + 1 END AS batch_id FROM events),
 e AS (SELECT *, CASE WHEN event_id % 701 = 0 THEN 'id' WHEN event_id % 911 = 0 OR event_id % 1201 = 0 THEN 'text' WHEN count(*) OVER (PARTITION BY batch_id) > 100 THEN 'size' END AS error FROM m)
 SELECT event_id, batch_id, error, bool_and(error IS NULL) OVER (PARTITION BY batch_id) AS batch_ok FROM e""",
@@ -54,7 +45,7 @@ SELECT event_id, batch_id, error, bool_and(error IS NULL) OVER (PARTITION BY bat
 ), e AS (
   SELECT *, CASE WHEN nowhere THEN 'world' WHEN nobody THEN 'boss' WHEN date = '2024-02-30' THEN 'date' WHEN date = '2099-01-01' THEN 'future' WHEN result = 'x' THEN 'result' WHEN maybe THEN 'favorable' WHEN time = '25:00' THEN 'time' WHEN place > 1 THEN 'repeated' END AS error FROM n
 )
-SELECT seq, batch_id, boss, date, time, CASE WHEN date <> '2024-02-30' AND coalesce(time, '') <> '25:00' THEN epoch_ms(CAST(date || ' ' || coalesce(time, '12:00') || ':00' AS TIMESTAMP)) + 10800000 END AS at,
+SELECT seq, batch_id, boss, date, time, CASE WHEN date <> '2024-02-30' AND coalesce(time, '') <> '25:00' THEN epoch_ms(CAST(date || ' ' || coalesce(time, '12:00') || ':00' AS TIMESTAMP)) + 10800000 END AS at, 'group' AS origin,
   CASE WHEN time IS NULL THEN 'day' ELSE 'minute' END AS precision, error, bool_and(error IS NULL) OVER (PARTITION BY batch_id) AS batch_ok FROM e""",
     "favourable_checks": """SELECT event_id, event_type AS boss, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, CASE WHEN event_type = 'click' AND CAST(ts AS DATE) = DATE '2024-01-15' THEN 'yes' ELSE 'unknown' END AS favorable FROM events""",
     "identified_table": """WITH checks AS (SELECT event_id, event_type AS boss, value >= 50 AS hit, epoch_us(ts) // 1000 AS at FROM events),
@@ -68,14 +59,12 @@ SELECT boss, sum(f)::BIGINT AS found, sum(e)::BIGINT AS empty, sum(p)::BIGINT AS
 SELECT batch_id, rows, bosses FROM b ORDER BY first, batch_id LIMIT 20""",
     "diagnostics": """SELECT left(repeat(event_type, 40), 150) AS detected, least(100000, greatest(0, event_id * 50 - 1000)) AS visible, CASE WHEN event_id % 3 <> 0 THEN least(100000, event_id) ELSE 0 END AS relevant, greatest(0, -event_id) AS without_date FROM events""",
     "dismissed": """SELECT event_id, 'b' || (event_id % 50) AS batch_id, event_type AS boss FROM events WHERE event_id % 50 NOT IN (3, 4) AND event_id % 7 <> 0""",
-    "screen_names": """SELECT c_custkey, lower(c_name) || ' e ' || lower(c_mktsegment) AS name FROM customer""",
-    "chat_stamps": """SELECT event_id, CASE WHEN event_id % 3 <> 2 THEN strftime(ts, '%H:%M') END AS time, CASE WHEN event_id % 3 <> 2 THEN CAST(CAST(ts AS DATE) AS VARCHAR) END AS date FROM events""",
     "totals_lines": """WITH each AS (SELECT c_custkey AS k, c_name, c_custkey // 5 AS id, unnest(range(0, CASE WHEN c_custkey % 19 = 0 THEN 2 ELSE 1 END)) AS copy FROM customer),
 placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, copy) AS line FROM each),
 kinds AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'unknown' WHEN k % 13 = 0 THEN 'format' WHEN k % 17 = 0 THEN 'too-large' ELSE 'good' END AS kind FROM placed)
 SELECT id, line::INTEGER AS line, CASE WHEN kind IN ('too-large', 'good') THEN c_name END AS name, CASE kind WHEN 'unknown' THEN 5 WHEN 'too-large' THEN 100001 WHEN 'good' THEN k % 500 END AS kills,
   CASE WHEN kind IN ('unknown', 'format') THEN kind WHEN copy = 1 THEN 'repeated' WHEN kind = 'too-large' THEN kind END AS error FROM kinds""",
-    "profile_numbers": """SELECT c_custkey, c_custkey * 12345 AS total, CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END * c_custkey * 12345 AS day, CAST(NULL AS BIGINT) AS week FROM customer""",
+    "profile_numbers": """SELECT c_custkey, c_custkey * 12345 AS total, CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END * c_custkey * 12345 END AS day, CAST(NULL AS BIGINT) AS week FROM customer""",
     "push_endpoints": """SELECT c_custkey, c_custkey % 9 IN (0, 1, 3) AS allowed FROM customer""",
     "map_places": """WITH p AS (SELECT user_id, (event_id % 37)::INTEGER AS x, (event_id % 3)::INTEGER AS y, (event_id % 18)::INTEGER AS z, min(event_id) AS pos FROM events WHERE event_id % 9 <> 0 AND event_id % 18 <= 15 GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS place FROM p)
@@ -112,5 +101,85 @@ ORACLES["stream_increase"] = oracles.ORACLES["snapshot_increase"]
 _PATTERNS = oracles.ORACLES["patterns"]
 ORACLES["pattern_cards"] = f"""WITH found AS ({_PATTERNS}), names AS (SELECT DISTINCT event_type AS name FROM events UNION ALL SELECT 'none')
 SELECT name, total, found.found, days, start FROM names LEFT JOIN found ON boss = name AND world = 'W1'"""
+
+# --- texts and reports: the same rows as in domain.py, read by patterns of their own ---
+
+_W = r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def _list(values) -> str:
+    quoted = ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '") + "'" for v in values)
+    return f"[{quoted}]"
+
+
+def _pick(number: str, values) -> str:
+    return f"{_list(values)}[1 + ({number}) % {len(values)}]"
+
+
+_N = len(SAID)
+_BEFORE, _BETWEEN, _END = (_pick(f"event_id // {3 * _N}", [s[i] for s in SPACES]) for i in range(3))
+_NO = "n(?:a|ã|Ã)o (?:estavam?|encontrad[oa]s?|achei|encontrei)"
+_STAMP = rf"^\[?(\d{{1,2}}):(\d{{2}})(?:,?{_W}+(\d{{1,2}})/(\d{{1,2}})/(\d{{2,4}}))?\]?{_W}*(?:[^:]{{1,60}}:{_W}*)?"
+_REPORTS = rf"""cased AS (
+  SELECT *, CASE event_id // {_N} % 3 WHEN 0 THEN upper(t) WHEN 1 THEN lower(t) ELSE t END AS c FROM (SELECT *, {_pick("event_id", SAID)} AS t FROM events)
+), m AS (
+  SELECT event_id, sha256(CAST(event_id AS VARCHAR)) AS id, {_BEFORE} || replace(replace(c, ' ', {_BETWEEN}), chr(10), {_END} || {_BEFORE}) AS text, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, strftime(ts, '%H:%M') AS time, event_id % 5 = 0 AS media, epoch_us(ts) // 1000 AS at FROM cased
+), names(boss, place) AS (VALUES {", ".join(f"('{n}', {i})" for i, n in enumerate(NAMES))}
+), named AS (
+  SELECT event_id, list(boss ORDER BY boss) AS mentioned FROM m JOIN names ON contains(lower(strip_accents(text)), lower(boss)) GROUP BY event_id
+), seen AS (
+  SELECT m.*, coalesce(mentioned, []) AS mentioned, regexp_matches(lower(strip_accents(text)), '[?]|\b(?:vou|vamos|sera|talvez|se aparecer|amanha|ontem|anteontem)\b') AS review FROM m LEFT JOIN named USING (event_id)
+), lines AS (
+  SELECT id, date, time, unnest(regexp_split_to_array(text, '\r?\n')) AS raw, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) - 1 AS line FROM seen WHERE NOT review
+), stamped AS (
+  SELECT *, regexp_matches(raw, s) AS has, regexp_extract(raw, s, 1) AS hh, regexp_extract(raw, s, 2) AS mi, regexp_extract(raw, s, 3) AS dd, regexp_extract(raw, s, 4) AS mo, regexp_extract(raw, s, 5) AS yy, regexp_replace(regexp_replace(raw, s, ''), '^[•*\-]{_W}*', '') AS body
+  FROM (SELECT * REPLACE (regexp_replace(raw, '^{_W}+|{_W}+$', '', 'g') AS raw), '{_STAMP}' AS s FROM lines) WHERE raw <> ''
+), told AS (
+  SELECT *, CASE WHEN regexp_matches(f, 'nao (?:achei|acharam|encontrei|encontraram|estava|estavam|encontrado)|ausente|vazio|❌|❎') THEN 'vazio' WHEN regexp_matches(f, 'encontrei|encontrado|encontraram|estava|presente|acharam|achei|✅') THEN 'encontrado' END AS own,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '❌|❎|✅', '', 'g'), '(?i){_W}*(?:;|=|:|{_W}){_W}*(?:{_NO}|vazio|ausente|presente|encontrado|estavam?){_W}*$', ''), '(?i)^(?:{_NO}|ausentes?|vazios?|estavam?|encontrad[oa]s?|presentes?|achei|encontrei){_W}*[:\-]?{_W}*', ''), '^{_W}+|{_W}+$', '', 'g') AS cleaned
+  FROM (SELECT *, lower(strip_accents(body)) AS f FROM stamped)
+), marked AS (
+  SELECT *, (cleaned = '' AND own IS NOT NULL) OR regexp_matches(body, '(?i)^(?:bosses?{_W}+)?(?:n(?:a|ã|Ã)o estavam|n(?:a|ã|Ã)o encontrados|ausentes|vazios|encontrados|presentes|estavam){_W}*:?$') AS heading FROM told
+), carried AS (
+  SELECT *, last_value(CASE WHEN heading THEN own END IGNORE NULLS) OVER (PARTITION BY id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS context FROM marked
+), split AS (
+  SELECT id, line, coalesce(own, context) AS result, CASE WHEN dd <> '' THEN CASE WHEN length(yy) = 2 THEN '20' ELSE '' END || yy || '-' || lpad(mo, 2, '0') || '-' || lpad(dd, 2, '0') ELSE date END AS date, CASE WHEN has THEN lpad(hh, 2, '0') || ':' || mi ELSE time END AS time,
+    list_filter(regexp_split_to_array(cleaned, '{_W}*[,;]{_W}*'), lambda x: x <> '') AS l FROM carried WHERE NOT heading
+), parts AS (
+  SELECT id, line, result, date, time, unnest(l) AS said, generate_subscripts(l, 1) - 1 AS part FROM split
+), keyed AS (
+  SELECT *, CASE k WHEN 'pantera' THEN 'midnightpanther' WHEN 'panther' THEN 'midnightpanther' WHEN 'murius' THEN 'generalmurius' ELSE k END AS key FROM (SELECT *, regexp_replace(lower(strip_accents(said)), '[^a-z0-9]', '', 'g') AS k FROM parts)
+), rows AS (
+  SELECT id, line, part, boss, result, date, time FROM keyed LEFT JOIN names ON key = regexp_replace(lower(boss), '[^a-z0-9]', '', 'g')
+), state AS (
+  SELECT id, count(*) FILTER (WHERE boss IS NOT NULL AND result IS NOT NULL) AS good, count(*) FILTER (WHERE boss IS NULL OR result IS NULL) AS bad, list(boss ORDER BY line, part) FILTER (WHERE boss IS NOT NULL AND result IS NOT NULL) AS told FROM rows GROUP BY id
+), judged AS (
+  SELECT seen.*, told, review OR coalesce(bad, 0) > 0 OR coalesce(good, 0) = 0 AND len(mentioned) > 0 AS pending FROM seen LEFT JOIN state USING (id)
+)"""
+ORACLES["chat_reports"] = f"WITH {_REPORTS} SELECT id, line::INTEGER AS line, part::INTEGER AS part, boss, result, date, time FROM rows WHERE boss IS NOT NULL AND result IS NOT NULL"
+ORACLES["chat_reviews"] = f"""WITH {_REPORTS}, named_ones AS (
+  SELECT *, list_concat(mentioned, list_filter(coalesce(told, []), lambda x, i: NOT list_contains(mentioned, x) AND list_position(told, x) = i)) AS every FROM judged
+) SELECT id, CASE WHEN pending THEN array_to_string(mentioned[:20], ',') END AS waiting, CASE WHEN pending THEN date END AS date, CASE WHEN pending THEN time END AS time,
+  CASE WHEN pending THEN CASE WHEN media AND len(mentioned) = 0 THEN 'photo' ELSE 'unclear' END END AS reason, CASE WHEN len(every) > 0 THEN array_to_string(every, ',') END AS bosses
+FROM named_ones WHERE pending OR len(every) > 0"""
+ORACLES["relevant_messages"] = f"""WITH {_REPORTS} SELECT id, media, CASE WHEN event_id % 4 <> 0 THEN at END AS at FROM seen WHERE media OR len(mentioned) > 0 AND (event_id % 4 = 0 OR at >= 1705000000000)"""
+
+_SPACE, _DOT, _HALF, _YEAR = _pick("event_id", ("", " ", " ", " ")), _pick("event_id // 4", ("/", ".", "-")), _pick("event_id // 12", ("", "AM", "pm", "PM")), _pick("event_id // 5", ("2024", "26", "025", "2023"))
+_CHAT = rf"(?i)\[(\d{{1,2}}):(\d{{2}})(?:{_W}*([AP]M))?,{_W}*(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{2,4}})\]"
+ORACLES["chat_stamps"] = f"""WITH given AS (
+  SELECT event_id, 'x [' || (event_id % 27) || ':' || lpad(CAST(event_id % 67 AS VARCHAR), 2, '0') || CASE WHEN {_HALF} = '' THEN '' ELSE {_SPACE} || {_HALF} END || ',' || {_SPACE} || (event_id % 32) || {_DOT} || (event_id % 13) || {_DOT} || {_YEAR} || '] Ana: ' AS s FROM events
+), parts AS (
+  SELECT event_id, CAST(regexp_extract(s, p, 1) AS INTEGER) AS h, regexp_extract(s, p, 2) AS mi, upper(regexp_extract(s, p, 3)) AS half, regexp_extract(s, p, 4) AS d, regexp_extract(s, p, 5) AS mo, regexp_extract(s, p, 6) AS y FROM (SELECT *, '{_CHAT}' AS p FROM given)
+), whole AS (
+  SELECT event_id, CASE half WHEN 'PM' THEN h % 12 + 12 WHEN 'AM' THEN h % 12 ELSE h END AS h, mi, CASE WHEN length(y) = 2 THEN '20' || y ELSE y END || '-' || lpad(mo, 2, '0') || '-' || lpad(d, 2, '0') AS day FROM parts
+), good AS (SELECT *, coalesce(h < 24 AND CAST(mi AS INTEGER) < 60 AND length(day) = 10 AND CAST(try_cast(day AS DATE) AS VARCHAR) = day, false) AS ok FROM whole)
+SELECT event_id, CASE WHEN ok THEN lpad(CAST(h AS VARCHAR), 2, '0') || ':' || mi END AS time, CASE WHEN ok THEN day END AS date FROM good"""
+ORACLES["screen_names"] = f"""WITH t AS (
+  SELECT c_custkey, strip_accents(regexp_replace(chr(8206) || ' ' || chr(8239) || c_name || {_pick("c_custkey", (" X‪ ", "　X ﻿", "  X "))} || c_mktsegment || chr(8236) || chr(8297) || ' ', '[\\x{{200e}}\\x{{200f}}\\x{{202a}}-\\x{{202e}}]', '', 'g')) AS t FROM customer
+) SELECT c_custkey, lower(replace(regexp_replace(regexp_replace(t, '{_W}+', ' ', 'g'), '^ | $', '', 'g'), ' X ', ' e ')) AS name FROM t"""
+#: OTHERS folded, from the definition of canonical decomposition.
+_FOLDED = ("\u03b1\u03b4\u03b7\u03c2 \u03b9", "\u0438\u043e\u0436\u0438\u043a \u0435\u043b\u043a\u0430", "\u1112\u1161\u11ab\u1100\u116e\u11a8\u110b\u1165 \u1100\u1161\u11a8", "\u30ab\u3099\u30cf\u309a\u3046\u3099", "\u05d0\u05b7\u05e9\u05bc", "\u0915\u093c\u0930\u093c", "e u o", "ka\u03c9", "\u05e9\u05b8\u05bc\u05c1 q")
+ORACLES["folded_texts"] = f"""WITH t AS (SELECT doc_id, lower(strip_accents(coalesce(text, ''))) || ' ' || {_pick("doc_id", _FOLDED)} AS t FROM documents) SELECT doc_id, length(t) AS chars, sha256(t) AS sha256 FROM t"""
+
 # "at" is a word of its own in DuckDB.
 ORACLES = {name: re.sub(r"(?<!\")\bat\b(?!\")", '"at"', sql) for name, sql in ORACLES.items()}

@@ -106,7 +106,7 @@ new AS (SELECT b.event_id, b.user_id, b.event_type, b.day, b.batch_id FROM batch
 counts AS (SELECT batch_id, (SELECT count(*) FROM new n WHERE n.batch_id = batch.batch_id) AS added, count(*) AS rows FROM batch GROUP BY batch_id)
 SELECT batch_id, added, rows - added AS duplicates, event_id, user_id, event_type, day FROM counts LEFT JOIN new USING (batch_id)""",
     "html_text": r"""WITH t AS (
-  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', '', 'g'), '<[^>]*>', ' ', 'g'), '[\s\x{a0}\x{3000}\x{feff}]+', ' ', 'g') AS text FROM pages
 ) SELECT page_id, length(text) AS chars, sha256(text) AS sha256 FROM t""",
     "html_extract_distinct": """WITH each AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS value, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) AS pos FROM pages),
 firsts AS (SELECT page_id, value, min(pos) AS pos FROM each GROUP BY ALL), placed AS (SELECT page_id, value, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM firsts)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayglass.functions.timing import hour_bucket
+
 #: Times at which the queries look, in ms: 2 January 1996, 23:45, and 1 July 1996.
 NIGHT, SUMMER = 820_626_300_000, 836_179_200_000
 DAY = 86_400_000
@@ -28,7 +30,7 @@ def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("W"), (F.col("user_id") % 4).cast("string")).alias("world"),
         F.col("event_type").alias("boss"),
         F.to_date(ts).cast("string").alias("day"),
-        F.when(key % 11 != 0, F.floor(hour / 3).cast("int")).alias("bucket"),
+        F.when(key % 11 != 0, hour_bucket(hour)).alias("bucket"),
         found.alias("found"),
         F.when(key % 3 == 0, "yes").when(key % 3 == 1, "no").otherwise("unknown").alias("favorable"),
         millis(ts).alias("at"),
