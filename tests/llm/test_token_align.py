@@ -98,10 +98,10 @@ def test_relational_links_of_whole_documents(spark):
     both = token_align.Tokenizers(*PATHS)
     rows = []
     for d, text in enumerate(t for t in ODD if t):
-        a, b, good = both.encode([f" {text}"])
+        ids, _, good = both.encode([f" {text}"])
         if good[0]:
-            for side, ids in ((0, a[0]), (1, b[0])):
-                rows += [(d, side, k, i, int(both.lengths[side][i])) for k, i in enumerate(ids)]
+            for side, ids in enumerate(ids):
+                rows += [(d, side, k, int(i), int(both.lengths[side][i])) for k, i in enumerate(ids)]
     found = token_align.links(spark.createDataFrame(rows, "doc long, side int, pos int, id int, len int"), ["doc"]).collect()
     want, groups = Counter(), Counter()
     for d in {r[0] for r in rows}:

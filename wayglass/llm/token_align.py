@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,7 @@ class Tokenizers:
         self.pieces = (a, b)
         self.lengths = tuple(np.array([len(p) for p in x], np.int64) for x in self.pieces)
         self.joining = sorted({c for x in b for s in [x.decode(errors="replace")] for p, c in zip(s, s[1:], strict=False) if c.isspace() and not p.isspace()})
+        self.white = frozenset(c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{_WHITE}]", c))
         if " " in self.joining:
             raise ValueError("a piece goes on over a blank: its words cannot be encoded apart")
 
@@ -60,14 +62,44 @@ class Tokenizers:
         on = f"(?:[{''.join(f'\\x{ord(c):02x}' for c in self.joining)}][{_WHITE}]*+[^{_WHITE}]*+)*+" if self.joining else ""
         return f"[{_WHITE}]*+[^{_WHITE}]++{on}|[{_WHITE}]++"
 
-    def encode(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """A's and B's ids of each word, and whether their bytes are the word's."""
-        a = [x.ids for x in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        b = self.b.encode(words, num_threads=1)
-        same = lambda ids, pieces, word: b"".join([pieces[i] for i in ids]) == word
-        raw = [w.encode() for w in words]
-        good = np.fromiter((same(x, self.pieces[A], w) and same(y, self.pieces[B], w) for x, y, w in zip(a, b, raw, strict=True)), bool, len(words))
-        return a, b, good
+    def encode(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """A's and B's ids of all words one after the other, how many each word has, and whether both keep its bytes; words that are not kept have none.
+
+        Many words are encoded as one text, as they part there anyway; a word that ends in white space goes alone.
+        """
+        runs: list[tuple[list[int], list[list[int]], list[np.ndarray]]] = []
+
+        def take(at: list[int]) -> None:
+            raw = [words[i].encode() for i in at]
+            text, ends = b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+            ids = [self.a.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.b.encode(text.decode())]
+            stops = [np.cumsum(self.lengths[side][x]) for side, x in enumerate(ids)]
+            places = [np.searchsorted(x, ends, "right") for x in stops]
+            whole = all(b"".join([self.pieces[side][i] for i in x]) == text for side, x in enumerate(ids))
+            if whole and all((p > 0).all() and (x[p - 1] == ends).all() for x, p in zip(stops, places, strict=True)):
+                runs.append((at, ids, [np.diff(p, prepend=0) for p in places]))
+            elif len(at) > 1:
+                take(at[: len(at) // 2])
+                take(at[len(at) // 2 :])
+
+        loose = [i for i, w in enumerate(words) if w[-1] in self.white]
+        firm = sorted(set(range(len(words))).difference(loose)) if loose else list(range(len(words)))
+        for i in range(0, len(firm), 2000):
+            take(firm[i : i + 2000])
+        for i in loose:
+            take([i])
+        good = np.zeros(len(words), bool)
+        order = np.array([i for at, _, _ in runs for i in at], np.int64)
+        good[order] = True
+        out, counts = [], []
+        for side in (A, B):
+            flat = np.fromiter((i for _, ids, _ in runs for i in ids[side]), np.int64)
+            held = np.concatenate([c[side] for _, _, c in runs]) if runs else np.zeros(0, np.int64)
+            n, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+            n[order], start[order] = held, np.cumsum(held) - held
+            out.append(flat[expand(start, n)])
+            counts.append(n)
+        return out, counts, good
 
 
 def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
@@ -108,6 +140,29 @@ def words_of(pattern: str) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), 0), F.array().cast("array<string>"))
 
 
+def word_counts(documents: DataFrame, pattern: str) -> DataFrame:
+    """word and n of all words of all texts; tasks count what they can hold before anything moves."""
+    words = re.compile(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            held.clear()
+            return batch
+
+        for batch in slices(batches, 50):
+            for text in batch["text"].to_pylist():
+                if text:
+                    held.update(words.findall(f" {text}"))
+            if len(held) > WORDS:
+                yield out()
+        yield out()
+
+    return documents.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def word_tokens(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """words (word, n) with tokens: structs of side, pos, id and len of A's and B's tokens; null where their bytes are not the word's."""
 
@@ -115,13 +170,14 @@ def word_tokens(words: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         both = _tokenizers(path_a, path_b)
         for batch in batches:
-            a, b, good = both.encode(batch.to_pylist())
-            counts = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1)
-            ids = np.fromiter((i for x, y in zip(a, b, strict=True) for ids in (x, y) for i in ids), np.int64, int(counts.sum()))
-            side = np.repeat(np.tile((A, B), len(a)), counts)
-            pos = expand(np.zeros(len(counts), np.int64), counts)
-            size = np.where(side == A, both.lengths[A][np.where(side == A, ids, 0)], both.lengths[B][np.where(side == B, ids, 0)])
-            rows = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (side, pos, ids, size)], ["side", "pos", "id", "len"])
+            flat, each, good = both.encode(batch.to_pylist())
+            counts = np.stack(each, axis=1).reshape(-1)  # of A and B by turns
+            starts = np.stack([np.cumsum(n) - n for n in each], axis=1)
+            starts[:, B] += len(flat[A])
+            at = expand(starts.reshape(-1), counts)
+            size = np.concatenate([both.lengths[side][ids] for side, ids in enumerate(flat)])[at]
+            side, pos = np.repeat(np.tile((A, B), len(good)), counts), expand(np.zeros(len(counts), np.int64), counts)
+            rows = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (side, pos, np.concatenate(flat)[at], size)], ["side", "pos", "id", "len"])
             ends = np.concatenate(([0], np.cumsum(counts.reshape(-1, 2).sum(axis=1)))).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), rows, mask=pa.array(~good))
 
@@ -137,8 +193,7 @@ def corpus_pairs(documents: DataFrame, path_a: str, path_b: str) -> DataFrame:
     pattern = Tokenizers(path_a, path_b).pattern()
 
     def told(texts: DataFrame) -> DataFrame:
-        words = texts.select(F.explode(words_of(pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        return word_tokens(words, path_a, path_b)
+        return word_tokens(word_counts(texts, pattern), path_a, path_b)
 
     def pairs(words: DataFrame) -> DataFrame:
         dealt = words.repartition("word").select("word", "n", F.inline_outer("tokens"))  # once, and all steps of links() stay within these parts
@@ -168,6 +223,7 @@ class Digests:
     def __init__(self, both: Tokenizers, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         self.both, (self.pairs, self.counts, self.best) = both, pairs
         self.words = re.compile(both.pattern())
+        self.numbers = [str(i) for i in range(max(map(len, both.pieces)))]
         self.table = WordTable(self._fill, [np.int64] * 8, self._clear, WORDS)
 
     def _clear(self) -> None:
@@ -175,11 +231,7 @@ class Digests:
         self.linked = Growing(np.int64)
 
     def _fill(self, words: list[str]) -> list[np.ndarray]:
-        ids_a, ids_b, good = self.both.encode(words)
-        none = [[]] * len(words)
-        ids_a, ids_b = ([x if g else e for x, g, e in zip(ids, good, none, strict=True)] for ids in (ids_a, ids_b))
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(words)) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
+        (a, b), (n_a, n_b), good = self.both.encode(words)
         end_a, end_b = np.cumsum(self.both.lengths[A][a]), np.cumsum(self.both.lengths[B][b])
         word_end = np.concatenate(([0], end_a))[np.cumsum(n_a)]
         ends = np.union1d(end_a, end_b)
@@ -189,7 +241,7 @@ class Digests:
         count, best = (x[at] if len(x) else np.zeros(len(pair), np.int64) for x in (self.counts, self.best))
         cut_a, cut_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
         n_groups = run_sums(cut_a, np.cumsum(n_a))
-        said_a, said_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        said_a, said_b = [self.numbers[i] for i in a.tolist()], [self.numbers[i] for i in b.tolist()]
         stop_a, stop_b = (np.flatnonzero(c) + 1 for c in (cut_a, cut_b))
         spans = zip([0, *stop_a.tolist()], stop_a.tolist(), [0, *stop_b.tolist()], stop_b.tolist(), strict=False)
         groups = [",".join(said_a[i:j]) + "|" + ",".join(said_b[k:m]) for i, j, k, m in spans]
