@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wayglass.operators import snapshots
 from wayglass.sources import store
 from wayglass.streaming import ingest
+from wayglass.streaming.state import Store
 
 SCHEMA = "k string, v int"
 
@@ -46,7 +47,7 @@ def test_increases_as_a_stream_are_those_of_all_at_once(spark, tmp_path):
     for part, some in (("a", rows[:4]), ("b", rows[4:6]), ("c", rows[6:])):
         write(spark, source, part, some, schema)
         ingest.increase_stream(stream(spark, source, schema), out, marks).awaitTermination()
-    found = ingest.stored(spark, out, schema + ", increase boolean, since long")
+    found = Store(spark, out).table("rows", schema + ", increase boolean, since long")
     want = snapshots.increases(spark.createDataFrame(rows, schema)).select(*found.columns)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and found.where("increase").count() == 2
 
@@ -67,7 +68,7 @@ def test_thinning_goes_on_from_what_was_kept(spark, tmp_path):
     run()
     write(spark, source, "b", [("g", 5), ("g", 21), ("g", 22), ("g", 31), ("h", 1)], schema)
     run()
-    assert sorted(map(tuple, ingest.stored(spark, out, schema).collect())) == [("g", 0), ("g", 12), ("g", 22), ("h", 1)]
+    assert sorted(map(tuple, Store(spark, out).log("rows", schema).collect())) == [("g", 0), ("g", 12), ("g", 22), ("h", 1)]
 
 
 def test_alerts_are_stored_once(spark, tmp_path):
@@ -79,7 +80,7 @@ def test_alerts_are_stored_once(spark, tmp_path):
     run()
     write(spark, source, "b", [(["a"],), (["b"],)], schema)
     run()
-    assert ingest.stored(spark, out, "alert_key array<string>, endpoint string").count() == 4
+    assert Store(spark, out).log("rows", "alert_key array<string>, endpoint string").count() == 4
 
 
 def test_marks_never_go_back(spark):

@@ -19,6 +19,7 @@ from .keyed import first_per_key, not_stored
 
 # Limits, short names, headings and the phrases that stand around a name.
 MAX_TEXT, MAX_ROWS, MAX_MESSAGE, MAX_BATCH, MAX_CHECKS = 40_000, 200, 6_000, 100, 50_000
+MAX_PENDING, MAX_IMAGES, MAX_KNOWN = 2_000, 2_000, 20_000
 MAX_DATA_URL, MAX_IMAGE, MAX_BOSSES = 300_000, 220_000, 20
 FIRST_DAY = "2020-01-01"
 ALIASES = {"pantera": "Midnight Panther", "panther": "Midnight Panther", "murius": "General Murius", "cavebear": "Undead Cavebear", "crustacea": "Crustacea Gigantica"}
@@ -316,6 +317,22 @@ def image_rows(images: DataFrame, recognised: DataFrame, pending: DataFrame) ->
     return joined.select(*images.columns, bosses.alias("bosses"), at.alias("at"))
 
 
+def added_images(images: DataFrame, stored: DataFrame, seen: DataFrame, limit: int = MAX_IMAGES) -> DataFrame:
+    """images (seq, message_id, hash) with id and error: message (not among seen ids), stored (met before, here or in stored ids) or full (limit images are there by then).
+
+    An image's id is the digest of its message's and its own. Those without error are to be stored, in order of seq.
+    """
+    told = images.withColumn("id", F.sha2(F.concat("message_id", F.lit("|"), "hash"), 256))
+    mark = lambda rows, name, key: rows.select(F.col("id").alias(key), F.lit(True).alias(name)).distinct()
+    told = told.join(mark(seen, "known", "message_id"), "message_id", "left").join(mark(stored, "there", "id"), "id", "left")
+    first = first_per_key(told.where("known AND there IS NULL"), ["id"], [F.asc("seq")])
+    room = F.greatest(F.lit(0), F.lit(limit) - F.lit(stored.count())).cast("int")
+    taken = first.orderBy("seq").limit(limit).withColumn("place", F.row_number().over(Window.orderBy("seq"))).where(F.col("place") <= room).select("seq", F.lit(True).alias("taken"))  # limit rows
+    firsts = first.select("seq", F.lit(True).alias("first"))
+    error = F.when(F.col("known").isNull(), "message").when(F.col("there") | F.col("first").isNull(), "stored").when(F.col("taken").isNull(), "full")
+    return told.join(firsts, "seq", "left").join(taken, "seq", "left").select("seq", "message_id", "hash", "id", error.alias("error"))
+
+
 def image_type(data_url: Column) -> Column:
     """Type of an image given as a data URL, if its first bytes are those of that type; else null."""
     form = r"^data:image/(jpeg|png|webp);base64,([A-Za-z0-9+/]+=*)$"

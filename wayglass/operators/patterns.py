@@ -46,6 +46,11 @@ def days(checks: DataFrame) -> DataFrame:
 
 def totals(checks: DataFrame) -> DataFrame:
     """One row for each boss: total, found, days, favourable and other days, and hours (array of all buckets)."""
+    return totals_of(days(checks))
+
+
+def totals_of(day_rows: DataFrame) -> DataFrame:
+    """totals() from the rows of days(), of which all are sums."""
 
     def split(answer: str) -> list[Column]:
         own = F.col("favorable") == answer
@@ -53,7 +58,7 @@ def totals(checks: DataFrame) -> DataFrame:
         return [F.count_if(own).alias(f"{name}_total"), F.count_if(own & F.col("sighted")).alias(f"{name}_found")]
 
     summed = [x for b in range(BUCKETS) for x in (F.sum(f"t{b}").alias(f"t{b}"), F.sum(f"f{b}").alias(f"f{b}"), F.count_if(F.col(f"t{b}") > 0).alias(f"d{b}"))]
-    grouped = days(checks).groupBy(*KEYS).agg(F.sum("n").alias("total"), F.sum("hits").alias("found"), F.count("*").alias("days"), *split("yes"), *split("no"), *summed)
+    grouped = day_rows.groupBy(*KEYS).agg(F.sum("n").alias("total"), F.sum("hits").alias("found"), F.count("*").alias("days"), *split("yes"), *split("no"), *summed)
 
     def hour(b: int) -> Column:
         low, high = wilson(F.col(f"f{b}"), F.col(f"t{b}"))
@@ -74,7 +79,12 @@ def recommended(hours: Column) -> Column:
 
 def find(checks: DataFrame) -> DataFrame:
     """totals() with recommended (a bucket of hours, or null) and start (its first hour)."""
-    return totals(checks).withColumn("recommended", recommended(F.col("hours"))).withColumn("start", F.col("recommended.bucket") * HOURS)
+    return find_of(days(checks))
+
+
+def find_of(day_rows: DataFrame) -> DataFrame:
+    """find() from the rows of days()."""
+    return totals_of(day_rows).withColumn("recommended", recommended(F.col("hours"))).withColumn("start", F.col("recommended.bucket") * HOURS)
 
 
 def ranked(found: DataFrame) -> DataFrame:

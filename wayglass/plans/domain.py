@@ -12,7 +12,8 @@ from wayglass.plans import views
 from wayglass.plans.views import table
 from wayglass.sources import store
 from wayglass.sources.scratch import scratch
-from wayglass.streaming import ingest
+from wayglass.streaming import ingest, reports
+from wayglass.streaming.state import Store
 
 NAMES = ("Dharalion", "Hirintror", "Midnight Panther", "General Murius")
 #: What chat messages of the test say, by number of the event modulo their count, in capitals, in small letters or as it stands.
@@ -396,46 +397,96 @@ def q_pattern_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+def _arriving(spark: SparkSession, folder: str, files: list[DataFrame], run) -> None:
+    """Write one file after the other to a folder, and run a stream from it after each."""
+    for k, df in enumerate(files):
+        df.coalesce(1).write.parquet(f"{folder}/in/{k}")
+        run(spark.readStream.schema(df.schema).parquet(f"{folder}/in/*")).awaitTermination()
 
 
 def q_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events by three-hour window and type; those without a time are kept apart."""
+    """Events by three-hour window and type, as windows close; those without a time are kept apart. Early events come again with the second file, too late."""
     folder = scratch(spark, "windows")
-    dated = _stream(spark, sf_dir).select("event_type", F.when(F.col("event_id") % 13 != 0, F.col("ts").cast("timestamp")).alias("ts"))
-
-    def keep(name: str, df: DataFrame, mode: str):
-        write = lambda batch, epoch: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/{name}")
-        df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/marks-{name}").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    windows = keep("windows", ingest.counted_windows(dated, "ts", ["event_type"]), "complete")
-    rest = keep("undated", ingest.undated(dated, "ts"), "append")
-    counted = windows.select(F.unix_millis("start").alias("start"), "event_type", "n")
-    return counted.unionByName(rest.groupBy("event_type").agg(F.count("*").alias("n")).withColumn("start", F.lit(None).cast("long")))
+    key = F.col("event_id")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(key % 13 != 0, F.col("ts").cast("timestamp")).alias("ts"))
+    half, early = "coalesce(ts < '2024-01-20', event_id % 2 = 0)", "ts < '2024-01-10'"
+    end = events.where("ts IS NOT NULL").agg(F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("event_type"), (F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+    files = [events.where(half), events.where(f"NOT ({half})").unionByName(events.where(early)), end]
+    _arriving(spark, folder, files, lambda source: ingest.window_stream(source.where("ts IS NOT NULL"), "ts", ["event_type"], f"{folder}/rows", f"{folder}/marks"))
+    windows = Store(spark, f"{folder}/rows").log("rows", "start timestamp, end timestamp, event_type string, n long")
+    rest = ingest.undated(spark.read.schema(events.schema).parquet(f"{folder}/in/*"), "ts").groupBy("event_type").agg(F.count("*").alias("n"))
+    return windows.select(F.unix_millis("start").alias("start"), "event_type", "n").unionByName(rest.withColumn("start", F.lit(None).cast("long")))
 
 
 def q_stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts in two files of which the second has many of the first's again, and then all of them from a stream that knows nothing."""
     folder = scratch(spark, "alerts")
-    alert = F.array(F.col("event_type"), (F.col("user_id") % 10).cast("string"))
+    key = F.col("event_id")
+    alert = table(spark, sf_dir, "events").select(key, F.array(F.col("event_type"), (F.col("user_id") % 10).cast("string")).alias("alert_key"))
     endpoints = spark.createDataFrame([("e0",), ("e1",)], "endpoint string")
-    for _ in range(2):  # what was stored is not stored again
-        ingest.alert_stream(_stream(spark, sf_dir).select(alert.alias("alert_key")), endpoints, f"{folder}/rows", f"{folder}/marks").awaitTermination()
-    return ingest.stored(spark, f"{folder}/rows", "alert_key array<string>, endpoint string").select(F.array_join("alert_key", "|").alias("alert_key"), "endpoint")
+    run = lambda marks: lambda source: ingest.alert_stream(source, endpoints, f"{folder}/rows", f"{folder}/{marks}")
+    _arriving(spark, folder, [alert.where("event_id % 7 = 0").select("alert_key"), alert.where("event_id % 7 <> 0").select("alert_key")], run("marks"))
+    run("others")(spark.readStream.schema("alert_key array<string>").parquet(f"{folder}/in/*")).awaitTermination()
+    return Store(spark, f"{folder}/rows").log("rows", "alert_key array<string>, endpoint string").select(F.array_join("alert_key", "|").alias("alert_key"), "endpoint")
+
+
+def q_stream_sent_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of which the newest 40 keys stay known: sixty keys, ten others, and then all, of which those that are not known any more are sent again."""
+    folder = scratch(spark, "sent")
+    number = F.col("user_id") % 90
+    alert = table(spark, sf_dir, "events").select(number.alias("k"), F.array(F.lpad(number.cast("string"), 2, "0")).alias("alert_key"))
+    files = [alert.where(when).select("alert_key") for when in ("k < 60", "k BETWEEN 60 AND 69", "true")]
+    one = spark.createDataFrame([("e",)], "endpoint string")
+    _arriving(spark, folder, files, lambda source: ingest.alert_stream(source, one, f"{folder}/rows", f"{folder}/marks", keep=40))
+    sent = Store(spark, f"{folder}/rows").log("rows", "alert_key array<string>, endpoint string")
+    return sent.groupBy(F.col("alert_key")[0].alias("key")).agg(F.count("*").alias("n"))
 
 
 def q_stream_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots that arrive in two micro-batches, each file one of them, against what all at once would give."""
+    """Snapshots that arrive in three files, none of them in order, against what all at once would give."""
     folder = scratch(spark, "increase")
     counts = views.snapshots(spark, sf_dir)
+    third = lambda n: counts.where(F.pmod(F.expr("at DIV 1800000"), F.lit(3)) == n)
+    _arriving(spark, folder, [third(1), third(2), third(0)], lambda source: ingest.increase_stream(source, f"{folder}/rows", f"{folder}/marks"))
+    return Store(spark, f"{folder}/rows").table("rows", "world string, at long, boss string, day long, week long, increase boolean, since long")
+
+
+def q_stream_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 100 thinned times of each type, which is what a bounded history holds."""
+    folder = scratch(spark, "kept")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("world"), views.millis(F.col("ts")).alias("at"))
     middle = 1_705_276_800_000  # 15 January 2024
-    for part, when in (("a", F.col("at") < middle), ("b", F.col("at") >= middle)):
-        counts.where(when).write.parquet(f"{folder}/in/{part}")
-        source = spark.readStream.schema(counts.schema).parquet(f"{folder}/in/*")
-        ingest.increase_stream(source, f"{folder}/rows", f"{folder}/marks").awaitTermination()
-    return ingest.stored(spark, f"{folder}/rows", "world string, at long, boss string, day long, week long, increase boolean, since long")
+    _arriving(spark, folder, [rows.where(F.col("at") < middle), rows.where(F.col("at") >= middle)], lambda source: ingest.thin_stream(source, f"{folder}/rows", f"{folder}/marks", keep=100))
+    return Store(spark, f"{folder}/rows").table("kept", "world string, at long")
+
+
+def q_stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat messages in five batches without limits, one with a message without a text and one with a gap: what is stored of them, and the mark."""
+    folder = scratch(spark, "sync")
+    batch, text = F.col("event_id") % 5, F.when(F.col("event_id") != 200, F.col("text"))
+    rows = _messages(spark, sf_dir).select(batch.alias("batch"), F.col("event_id").alias("seq"), "id", text.alias("text"), "date", "time", "media", F.col("id").alias("mark_id"), F.col("at").alias("mark_at"), F.when(batch == 4, "gap").otherwise("complete").alias("coverage"))
+    files = [rows.where(F.col("batch") == b).drop("batch") for b in range(5)]
+    many = 1 << 40
+    _arriving(spark, folder, files, lambda source: reports.sync_stream(source, _names(spark), "Lunarian", ["Lunarian"], 1_791_241_200_000, f"{folder}/rows", f"{folder}/marks", max_batch=many, max_pending=many, max_checks=many))
+    store = Store(spark, f"{folder}/rows")
+    checks = store.table("checks", reports.CHECKS).select("boss", "date", "time", "result", "origin", "at", F.lit(None).cast("string").alias("reason"))
+    rejected = store.log("rejected", reports.REJECTED)
+    mark = F.lit(store.commit.values["mark"]["at"]).cast("long")
+    none = F.lit(None).cast("string")
+    return checks.unionByName(rejected.select(none.alias("boss"), none.alias("date"), none.alias("time"), none.alias("result"), none.alias("origin"), mark.alias("at"), "reason"))
+
+
+def q_stream_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of reports that come in batches in three files, with batches undone by the second and third, and one that comes again."""
+    folder = scratch(spark, "patterns")
+    checks = views.checks(spark, sf_dir).withColumn("number", F.expr("seq DIV 100")).withColumn("batch_id", F.concat(F.lit("b"), F.col("number").cast("string")))
+    names = [f.split()[0] for f in reports.REPORTS.split(", ")]
+    added = lambda when, step: checks.where(when).select(F.lit("add").alias("action"), F.lit(step).cast("long").alias("step"), *names)
+    undone = lambda when, step: checks.where(when).select("batch_id").distinct().select(F.lit("undo").alias("action"), F.lit(step).cast("long").alias("step"), "batch_id", *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in reports.REPORTS.split(", ")[1:]])
+    files = [added("number % 3 <> 2", 1), added("number % 3 = 2", 1).unionByName(undone("number % 5 = 0", 2)), undone("number % 7 = 3", 1).unionByName(added("number % 10 = 0", 2)).unionByName(added("number % 4 = 1 AND number % 5 <> 0 AND number % 7 <> 3", 2))]
+    _arriving(spark, folder, files, lambda source: reports.pattern_stream(source, f"{folder}/rows", f"{folder}/marks"))
+    found = Store(spark, f"{folder}/rows").table("patterns", reports.PATTERNS)
+    return found.select("world", "boss", "total", "found", "days", "favorable_total", "favorable_found", "unfavorable_total", "unfavorable_found", "start", "last.at", "last.seq")
 
 
 def q_stream_marks(spark: SparkSession, sf_dir: str) -> DataFrame:

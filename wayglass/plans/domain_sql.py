@@ -98,6 +98,14 @@ FROM d, (VALUES ('started'), ('unfilled'), ('BUILDING')) v(shown) WHERE CASE sho
 }
 
 ORACLES["stream_increase"] = oracles.ORACLES["snapshot_increase"]
+ORACLES["stream_kept"] = f"""WITH every AS ({oracles.ORACLES["snapshot_thinning"]})
+SELECT world, at FROM (SELECT *, row_number() OVER (PARTITION BY world ORDER BY "at" DESC) AS r FROM every) WHERE r <= 100"""
+ORACLES["stream_sent_limit"] = """WITH k AS (SELECT DISTINCT lpad(CAST(user_id % 90 AS VARCHAR), 2, '0') AS key, user_id % 90 AS k FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY k < 60 ORDER BY key DESC) AS place, count(*) FILTER (WHERE k BETWEEN 60 AND 69) OVER () AS others FROM k)
+SELECT key, CASE WHEN k < 60 AND place > 40 - others THEN 2 ELSE 1 END::BIGINT AS n FROM r"""
+_LEFT = "(SELECT * FROM main.events WHERE (event_id // 100 % 5 <> 0 AND event_id // 100 % 7 <> 3) OR event_id // 100 % 10 = 0)"
+ORACLES["stream_patterns"] = f"""WITH found AS ({oracles.ORACLES["patterns"]}), seen AS ({oracles.ORACLES["last_seen"]})
+SELECT f.*, s.at, s.seq FROM found f LEFT JOIN seen s ON f.world = s.world AND f.boss = s.boss""".replace("FROM events", f"FROM {_LEFT} AS e")
 _PATTERNS = oracles.ORACLES["patterns"]
 ORACLES["pattern_cards"] = f"""WITH found AS ({_PATTERNS}), names AS (SELECT DISTINCT event_type AS name FROM events UNION ALL SELECT 'none')
 SELECT name, total, found.found, days, start FROM names LEFT JOIN found ON boss = name AND world = 'W1'"""
@@ -164,6 +172,10 @@ ORACLES["chat_reviews"] = f"""WITH {_REPORTS}, named_ones AS (
 FROM named_ones WHERE pending OR len(every) > 0"""
 ORACLES["relevant_messages"] = f"""WITH {_REPORTS} SELECT id, media, CASE WHEN event_id % 4 <> 0 THEN at END AS at FROM seen WHERE media OR len(mentioned) > 0 AND (event_id % 4 = 0 OR at >= 1705000000000)"""
 
+ORACLES["stream_sync"] = f"""WITH {_REPORTS}, good AS (SELECT DISTINCT r.* EXCLUDE (id, line, part) FROM rows r JOIN m USING (id) WHERE boss IS NOT NULL AND result IS NOT NULL AND event_id % 5 <> 0)
+SELECT boss, date, time, result, 'whatsapp' AS origin, epoch_ms(CAST(date || ' ' || time || ':00' AS TIMESTAMP)) + 10800000 AS at, CAST(NULL AS VARCHAR) AS reason FROM good
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, max(at), 'text' FROM m WHERE event_id % 5 IN (1, 2, 3)"""
+
 _SPACE, _DOT, _HALF, _YEAR = _pick("event_id", ("", " ", " ", " ")), _pick("event_id // 4", ("/", ".", "-")), _pick("event_id // 12", ("", "AM", "pm", "PM")), _pick("event_id // 5", ("2024", "26", "025", "2023"))
 _CHAT = rf"(?i)\[(\d{{1,2}}):(\d{{2}})(?:{_W}*([AP]M))?,{_W}*(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{2,4}})\]"
 ORACLES["chat_stamps"] = f"""WITH given AS (

@@ -14,6 +14,7 @@ from wayglass.plans.views import table
 from wayglass.sources import store
 from wayglass.sources.scratch import scratch
 from wayglass.streaming import ingest
+from wayglass.streaming.state import Store
 
 
 def q_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +196,7 @@ def q_stream_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     rows = _events(spark, sf_dir).select(F.col("event_type").alias("world"), views.millis(F.col("ts")).alias("at"))
     ingest.thin_stream(rows, f"{folder}/rows", f"{folder}/marks").awaitTermination()
-    return ingest.stored(spark, f"{folder}/rows", "world string, at long")
+    return Store(spark, f"{folder}/rows").log("rows", "world string, at long")
 
 
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -1,6 +1,6 @@
-"""Streaming variants of the operators with state: each micro-batch against a table of what earlier ones stored.
+"""Streaming variants of the operators with state: each micro-batch against tables of what earlier ones stored.
 
-State is a table in shared storage, not driver memory. A micro-batch writes its own folder,
+Those that keep last rows, counts or lists have a store (state.py). ingest_stream() writes a table that only grows: its state is a table in shared storage, not driver memory. A micro-batch writes its own folder,
 stream=ID/epoch=N, as a whole, and reads all that other streams stored and its own epochs before N; so one that is run
 again after a failure writes the same rows again, and nothing is stored twice. ID is that of the stream's checkpoint: a stream
 that starts anew with another checkpoint goes on from what is stored. One stream writes to a table at a time.
@@ -17,10 +17,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wayglass.operators.alerts import unsent
+from wayglass.operators.keyed import first_per_key, not_stored
 from wayglass.operators.observations import fresh_rows
-from wayglass.operators.snapshots import MAX_GAP, MIN_SPACING, increases, thinned
+from wayglass.operators.snapshots import MAX_GAP, MIN_SPACING, increases, newest, thinned
+
+from .state import Store, hashed, run_stream
 
 Epoch = tuple[str, int]
+#: Time that a part of snapshots covers.
+PERIOD = 7 * 86_400_000
+GIVEN = "world string, at long, boss string, day long, week long"
 #: Values of a pruning column that are looked up one by one, at most.
 MAX_VALUES = 1000
 
@@ -65,41 +71,81 @@ def ingest_stream(source: DataFrame, path: str, checkpoint: str, schema: str, ke
     return _start(source, checkpoint, step, path, every, within)
 
 
-def thin_stream(source: DataFrame, path: str, checkpoint: str, group: str = "world", spacing: int = MIN_SPACING, every: str | None = None) -> StreamingQuery:
-    """Keep times (group string, at) that are spacing after the last one kept; times before that one come too late and go."""
-
-    def step(batch: DataFrame, epoch: Epoch) -> DataFrame:
-        kept = stored(batch.sparkSession, path, f"{group} string, at long", epoch).groupBy(group).agg(F.max("at").alias("last"))
-        later = batch.select(group, "at").join(kept, group, "left").where(F.col("last").isNull() | (F.col("at") > F.col("last")))
-        seeded = later.select(group, "at").unionByName(kept.select(group, F.col("last").alias("at")))
-        return thinned(seeded, group, spacing).join(kept.select(group, F.col("last").alias("at")), [group, "at"], "left_anti")
-
-    return _start(source, checkpoint, step, path, every)
-
-
-def increase_stream(source: DataFrame, path: str, checkpoint: str, max_gap: int = MAX_GAP, every: str | None = None) -> StreamingQuery:
-    """Store snapshots (world string, at long, boss string, day long, week long) with increase and since, as snapshots.increases() does of all at once.
+def thin_stream(source: DataFrame, path: str, checkpoint: str, group: str = "world", spacing: int = MIN_SPACING, every: str | None = None, keep: int | None = None, seen=None) -> StreamingQuery:
+    """Keep times (group string, at) that are spacing after the last one kept; times before that one come too late and go.
 
-    A micro-batch is compared with the last stored snapshot of its worlds; snapshots of a world have to arrive in order, each as a whole.
+    The store's log `rows` has all that was kept. Its table `kept` has the last one of each group, or the newest keep ones; a
+    micro-batch reads and writes the parts of its own groups.
     """
-    given = "world string, at long, boss string, day long, week long"
+    schema = f"{group} string, at long"
 
-    def step(batch: DataFrame, epoch: Epoch) -> DataFrame:
-        old = stored(batch.sparkSession, path, f"{given}, increase boolean, since long", epoch).drop("increase", "since")
-        last = old.join(old.groupBy("world").agg(F.max("at").alias("at")), ["world", "at"], "left_semi").join(batch.select("world").distinct(), "world", "left_semi")
-        marked = batch.withColumn("new", F.lit(True)).unionByName(last.withColumn("new", F.lit(False)).select(*batch.columns, "new"))
-        return increases(marked, max_gap=max_gap).where("new").drop("new")
+    def step(batch: DataFrame, store: Store) -> None:
+        given = batch.select(group, F.col("at").cast("long").alias("at")).where("at IS NOT NULL")
+        parts = store.parts_of(given, hashed(group))
+        old = store.table("kept", schema, parts)
+        last = old.groupBy(group).agg(F.max("at").alias("at"))
+        of = last.select(F.col(group).alias("of"), F.col("at").alias("last"))
+        later = given.join(of, given[group].eqNullSafe(of["of"]), "left").where("last IS NULL OR at > last").select(group, "at")
+        new = not_stored(thinned(later.unionByName(last), group, spacing), last, [group, "at"]).select(group, "at").persist()
+        store.add("rows", new)
+        store.put("kept", newest(old.unionByName(new), [group], keep or 1, "at"), hashed(group), parts)
+        new.unpersist()
 
-    return _start(source, checkpoint, step, path, every)
+    return run_stream(source, path, checkpoint, step, every, seen)
 
 
-def alert_stream(source: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Store each due alert (alert_key array) once for each endpoint; the stored table is what is to be sent."""
+def increase_stream(source: DataFrame, path: str, checkpoint: str, max_gap: int = MAX_GAP, every: str | None = None, seen=None) -> StreamingQuery:
+    """Keep snapshots (world string, at long, boss string, day long, week long) with increase and since, as snapshots.increases() has them of all at once.
 
-    def step(batch: DataFrame, epoch: Epoch) -> DataFrame:
-        return unsent(batch, subscriptions, stored(batch.sparkSession, path, "alert_key array<string>, endpoint string", epoch))
+    They may arrive in any order: one that comes late is compared with the one before it, and the one after it anew. A row that
+    arrives again takes the earlier one's place. The store's table `rows` is in parts of a share of worlds and a PERIOD; a micro-batch writes
+    those that its own snapshots, with max_gap after them, lie in, and reads the one before each. Its log `changes` has what is new or says something else now.
+    """
+    if max_gap > PERIOD:
+        raise ValueError("snapshots are compared with neighbouring parts at most")
+    schema, key = f"{GIVEN}, increase boolean, since long", ["world", "at", "boss"]
+    share = hashed("world", parts=8)
+    part = lambda at: F.concat_ws("_", share, F.floor(at / PERIOD).cast("string"))
+    at = F.col("at")
+
+    def step(batch: DataFrame, store: Store) -> None:
+        names = T.StructType.fromDDL(GIVEN).names
+        new = first_per_key(batch.select(names).where("at IS NOT NULL"), key, [F.desc("day"), F.desc("week")])
+        own = set(store.parts_of(new, part(at))) | set(store.parts_of(new, part(at + max_gap)))  # as many as a micro-batch has periods and shares
+        before = {f"{p.split('_')[0]}_{int(p.split('_')[1]) - 1}" for p in own}  # what a part's first snapshots are compared with
+        old = store.table("rows", schema, sorted(own | before)).persist()
+        every_one = not_stored(old.select(names), new, key).unionByName(new)
+        told = increases(every_one, max_gap=max_gap).select(*names, "increase", "since").where(part(at).isin(*own)).persist()
+        store.add("changes", not_stored(told, old, old.columns))
+        store.put("rows", told, part(at), store.parts_of(told, part(at)))
+        told.unpersist()
+        old.unpersist()
+
+    return run_stream(source, path, checkpoint, step, every, seen)
+
+
+def alert_stream(source: DataFrame, subscriptions: DataFrame, path: str, checkpoint: str, every: str | None = None, keep: int | None = None, seen=None) -> StreamingQuery:
+    """Store each due alert (alert_key array) once for each endpoint; the store's log `rows` is what is to be sent.
+
+    What was sent stays known in the table `sent`, in parts by key; with keep only the newest keep keys do (by the
+    micro-batch that first had them, then by key), in one part.
+    """
+    schema = "alert_key array<string>, endpoint string, first long"
+    part = hashed("alert_key") if keep is None else F.lit("0")
 
-    return _start(source, checkpoint, step, path, every)
+    def step(batch: DataFrame, store: Store) -> None:
+        parts = store.parts_of(batch, part) if keep is None else ["0"]
+        old = store.table("sent", schema, parts)
+        new = unsent(batch, subscriptions, old).select("alert_key", "endpoint").persist()
+        store.add("rows", new)
+        known = old.unionByName(new.withColumn("first", F.lit(store.commit.seq + 1).cast("long")))
+        if keep is not None:
+            of = known.groupBy("alert_key").agg(F.min("first").alias("first"))
+            known = known.drop("first").join(of.orderBy(F.desc("first"), F.desc("alert_key")).limit(keep), "alert_key").select(*old.columns)
+        store.put("sent", known, part, parts)
+        new.unpersist()
+
+    return run_stream(source, path, checkpoint, step, every, seen)
 
 
 def next_marker(current: DataFrame, batches: DataFrame) -> DataFrame:
@@ -115,6 +161,15 @@ def counted_windows(source: DataFrame, time: str, by: list[str], width: str = "3
     return dated.groupBy(F.window(time, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n")
 
 
+def window_stream(source: DataFrame, time: str, by: list[str], path: str, checkpoint: str, late: str = "1 day", every: str | None = None) -> StreamingQuery:
+    """Add counted_windows() to the store's log `rows` once no row can reach them any more: rows that are later than late behind the latest time go, and so does a window's state."""
+
+    def step(batch: DataFrame, store: Store) -> None:
+        store.add("rows", batch)
+
+    return run_stream(counted_windows(source, time, by, late=late), path, checkpoint, step, every)
+
+
 def undated(source: DataFrame, time: str) -> DataFrame:
     """Rows without a time, which no watermark may drop."""
     return source.where(F.col(time).isNull())
