@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions import text as T
 from wayglass.functions import timing
-from wayglass.operators import alerts, catalog, keyed, observations, patterns, progress, rankings, settings, snapshots
+from wayglass.operators import alerts, catalog, keyed, observations, order, patterns, progress, rankings, settings, snapshots
 from wayglass.plans import views
 from wayglass.plans.views import table
 from wayglass.sources import store
@@ -394,6 +394,49 @@ def q_pattern_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "pattern.total", "pattern.found", "pattern.days", "pattern.start")
 
 
+# --- orders ---
+
+
+def q_patterns_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.placed(patterns.find(views.checks(spark, sf_dir)), order.pattern_order()).select("place", "world", "boss", "total", F.col("start").cast("long").alias("start"))
+
+
+def q_radar_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.predictions(spark, sf_dir)
+    bosses = rows.select(F.concat(F.lit("Order "), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("name"), alerts.status(rows, views.SUMMER).alias("status"), "favorite", "muted", "known", "completed", F.lit(False).alias("hidden"))
+    return order.placed(progress.radar(bosses), order.radar_order()).select("place", "name", "status", "favorite")
+
+
+def q_progress_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 9).alias("kills"), F.lit(5).alias("target"), F.lit(True).alias("target_confirmed"), F.lit(True).alias("known"), F.lit(None).cast("boolean").alias("favorite"), F.lit(None).cast("boolean").alias("muted"))
+    none = spark.createDataFrame([], "name string, target int, category string, seq long")
+    return order.placed(progress.progress_list(progress.resolved(rows, none), "missing"), order.by_name("name")).select("place", "name", F.col("kills").cast("long").alias("kills"))
+
+
+def q_identified_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = table(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.lpad(F.col("user_id").cast("string"), 7, "0")).alias("boss"), F.when(F.col("value") >= 50, "encontrado").otherwise("vazio").alias("result"), views.millis(F.col("ts")).alias("at"))
+    none = spark.createDataFrame([], "id string, bosses array<string>, at long")
+    rows = observations.identified(checks, none, none.select("id"))
+    return order.placed(rows, order.by_name("boss")).select("place", "boss", "found", "empty")
+
+
+def q_state_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 500 newest reports of a world, 100 images and 50 pending messages, in order."""
+    checks = views.checks(spark, sf_dir)
+    shown = order.shown(checks.select("world", "seq"), checks.where("bucket IS NULL").select("seq"), checks.where("found").select("seq"), "W1")
+    each = [df.select(F.lit(kind).alias("list"), "place", "seq") for kind, df in zip(("checks", "images", "pending"), shown, strict=True)]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def q_added_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each event, of messages by user, some of which were never seen; 1,500 are stored, so that 500 find room."""
+    key = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(key.alias("seq"), F.sha2((F.col("user_id") % 50).cast("string"), 256).alias("message_id"), F.sha2((key % 300).cast("string"), 256).alias("hash"))
+    seen = spark.range(45).select(F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    stored = spark.range(1500).select(F.sha2(F.concat(F.sha2((F.col("id") % 10).cast("string"), 256), F.lit("|"), F.sha2(F.expr("cast(id DIV 10 as string)"), 256)), 256).alias("id"))
+    return observations.added_images(rows, stored, seen).select("seq", "id", "error")
+
+
 # --- streams ---
 
 

@@ -98,6 +98,25 @@ FROM d, (VALUES ('started'), ('unfilled'), ('BUILDING')) v(shown) WHERE CASE sho
 }
 
 ORACLES["stream_increase"] = oracles.ORACLES["snapshot_increase"]
+ORACLES["patterns_ranked"] = f"""WITH found AS ({oracles.ORACLES["patterns"]}) SELECT row_number() OVER (ORDER BY world, start IS NULL, total DESC, boss) AS place, world, boss, total, start::BIGINT AS start FROM found"""
+ORACLES["radar_order"] = """WITH p AS (
+  SELECT o_orderkey, o_custkey % 5 = 0 AS favorite, epoch_us(o_orderdate::TIMESTAMP) // 1000 AS s FROM orders
+), r AS (
+  SELECT 'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS name, favorite, CASE WHEN s <= 836179200000 AND s + 86400000 >= 836179200000 THEN 'high' WHEN s + 86400000 < 836179200000 THEN 'late' WHEN s - 836179200000 <= 259200000 THEN 'medium' ELSE 'low' END AS status FROM p
+) SELECT row_number() OVER (ORDER BY CASE status WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 WHEN 'unknown' THEN 3 ELSE 4 END, favorite DESC, name) AS place, name, status, favorite FROM r"""
+ORACLES["progress_order"] = "SELECT row_number() OVER (ORDER BY c_name) AS place, c_name AS name, c_custkey % 9 AS kills FROM customer WHERE c_custkey % 9 < 5"
+ORACLES["identified_order"] = """SELECT row_number() OVER (ORDER BY boss) AS place, boss, found, empty FROM (
+  SELECT 'U' || lpad(CAST(user_id AS VARCHAR), 7, '0') AS boss, count(*) FILTER (WHERE value >= 50) AS found, count(*) FILTER (WHERE NOT coalesce(value >= 50, false)) AS empty FROM events GROUP BY 1)"""
+ORACLES["state_view"] = """WITH c AS (SELECT event_id AS seq, user_id % 4 = 1 AS own, event_id % 11 = 0 AS image, value >= 50 OR (event_type = 'purchase' AND hour(ts) BETWEEN 9 AND 11) AS found FROM events),
+l AS (SELECT 'checks' AS list, seq FROM c WHERE own UNION ALL SELECT 'images', seq FROM c WHERE image UNION ALL SELECT 'pending', seq FROM c WHERE found),
+p AS (SELECT list, row_number() OVER (PARTITION BY list ORDER BY seq DESC) AS place, seq FROM l)
+SELECT list, place, seq FROM p WHERE place <= CASE list WHEN 'checks' THEN 500 WHEN 'images' THEN 100 ELSE 50 END"""
+ORACLES["added_images"] = """WITH e AS (
+  SELECT event_id AS seq, user_id % 50 AS m, event_id % 300 AS h, user_id % 50 < 10 AND event_id % 300 < 150 AS there FROM events
+), f AS (SELECT *, row_number() OVER (PARTITION BY m, h ORDER BY seq) AS nth FROM e
+), t AS (SELECT *, m < 45 AND NOT there AND nth = 1 AS new FROM f
+), n AS (SELECT *, sum(new::INTEGER) OVER (ORDER BY seq) AS place FROM t)
+SELECT seq, sha256(sha256(CAST(m AS VARCHAR)) || '|' || sha256(CAST(h AS VARCHAR))) AS id, CASE WHEN m >= 45 THEN 'message' WHEN NOT new THEN 'stored' WHEN place > 500 THEN 'full' END AS error FROM n"""
 ORACLES["stream_kept"] = f"""WITH every AS ({oracles.ORACLES["snapshot_thinning"]})
 SELECT world, at FROM (SELECT *, row_number() OVER (PARTITION BY world ORDER BY "at" DESC) AS r FROM every) WHERE r <= 100"""
 ORACLES["stream_sent_limit"] = """WITH k AS (SELECT DISTINCT lpad(CAST(user_id % 90 AS VARCHAR), 2, '0') AS key, user_id % 90 AS k FROM events),
