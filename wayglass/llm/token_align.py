@@ -21,8 +21,8 @@ from .word_bpe import _WHITE, piece_bytes
 A, B = 0, 1
 #: Id pairs whose counts are sent to all tasks (32 MB); of more, documents' pairs are joined with them.
 MAX_PAIRS = 2_000_000
-#: Distinct words of a Python worker's table.
-WORDS = 400_000
+#: Distinct words of a Python worker's table of digests, and those that a task counts before it sends them on.
+WORDS, COUNTED = 200_000, 300_000
 
 
 class Tokenizers:
@@ -156,7 +156,7 @@ def word_counts(documents: DataFrame, pattern: str) -> DataFrame:
             for text in batch["text"].to_pylist():
                 if text:
                     held.update(words.findall(f" {text}"))
-            if len(held) > WORDS:
+            if len(held) > COUNTED:
                 yield out()
         yield out()
 
@@ -220,8 +220,8 @@ def _sent(rows: DataFrame) -> DataFrame:
 class Digests:
     """What each distinct word of a worker's documents adds to a document: counts, and its groups as text."""
 
-    def __init__(self, both: Tokenizers, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-        self.both, (self.pairs, self.counts, self.best) = both, pairs
+    def __init__(self, both: Tokenizers, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], linked: bool) -> None:
+        self.both, (self.pairs, self.counts, self.best), self.keeps = both, pairs, linked
         self.words = re.compile(both.pattern())
         self.numbers = [str(i) for i in range(max(map(len, both.pieces)))]
         self.table = WordTable(self._fill, [np.int64] * 8, self._clear, WORDS)
@@ -249,7 +249,7 @@ class Digests:
         self.groups += [";".join(groups[i:j]) for i, j in zip([0, *stops], stops, strict=False)]
         n_links = np.diff(last, prepend=0)
         starts = self.linked.size + last - n_links
-        self.linked.extend(pair)
+        self.linked.extend(pair if self.keeps else pair[:0])
         return [n_a, n_b, n_groups, n_links, run_sums(best, last), run_sums(count, last), good.astype(np.int64), starts]
 
     def digest(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
@@ -287,7 +287,7 @@ def align(documents: DataFrame, path_a: str, path_b: str, text: bool = False) ->
     schema = ", ".join(["doc_id long, row long", *(f"{c} long" for c in SUMS), "groups string"]) + ("" if few else ", linked array<struct<pair:long,times:long>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = kept(("token_align digests", path_a, path_b, run_id), lambda: Digests(Tokenizers(path_a, path_b), sent.value))
+        digests = kept(("token_align digests", path_a, path_b, run_id), lambda: Digests(Tokenizers(path_a, path_b), sent.value, not few))
         for batch in slices(batches, 100):
             sums, groups, codes = digests.digest([t or "" for t in batch["text"].to_pylist()])
             if not text:
