@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions import text as T
 from wayglass.functions import unicode as U
+from wayglass.operators import dictionary
 from wayglass.operators import observations as O
 from wayglass.operators import progress, rankings
 
@@ -149,11 +150,23 @@ def test_dictionaries_of_any_size_find_the_same(spark, monkeypatch):
     given = spark.createDataFrame([("Sao",), ("são p",), ("Midnight Panther",), ("historia longa h",), ("é",), ("",), (None,), ("Sao",)], "name string")
     small = {r.id: r.mentioned for r in O.mentions(texts, given).collect()}
     assert small[0] == ["", "Sao", "são p", "é"] and small[3] == [] and small[4] == [""] and "historia longa h" in small[7] and small[6] == ["", "Midnight Panther", "é"]
-    monkeypatch.setattr(O, "MAX_NAMES", 1)
+    monkeypatch.setattr(dictionary, "NAMES", 2)  # four goes
+    monkeypatch.setattr(dictionary, "READ", 8)
     assert {r.id: r.mentioned for r in O.mentions(texts, given).collect()} == small
     assert O.mentions(texts, given.where("name = 'none'")).where("size(mentioned) > 0").count() == 0
 
 
+def test_names_are_found_wherever_they_stand(spark):
+    rng = random.Random(6)
+    word = lambda most: "".join(rng.choice("abcé☃") for _ in range(rng.randrange(1, most)))
+    said = [word(200) for _ in range(300)] + ["ab" * 30_000 + "cab☃"]
+    given = sorted({word(14) for _ in range(400)} | {"ab" * 40 + "c", "a"})
+    texts, names = spark.createDataFrame(list(enumerate(said)), "id int, text string"), spark.createDataFrame([(n,) for n in given], "name string")
+    plain = lambda t: t.replace("é", "e")
+    found = {r.id: r.mentioned for r in O.mentions(texts, names).collect()}
+    assert found == {i: sorted(n for n in given if plain(n) in plain(t)) for i, t in enumerate(said)}
+
+
 def test_a_text_is_folded_once_for_all_names(spark, names):
     plan = O.mentions(spark.createDataFrame([(1, "x")], "id int, text string"), names)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(text") == 1

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayglass.functions.text import EMPTY, FOUND, canonical, fold, line_stamp, needs_review, result_of
 from wayglass.functions.timing import at_local, local_date, valid_date
 from wayglass.functions.unicode import WHITE, trimmed, units
-from wayglass.sources.scratch import saved
 
+from .dictionary import mentions
 from .keyed import first_per_key, not_stored
 
 # Limits, short names, headings and the phrases that stand around a name.
@@ -29,10 +24,6 @@ HEAD = rf"(?i)\A(?:{_NOT}|ausentes?|vazios?|estavam?|encontrad[oa]s?|presentes?|
 HEADING = rf"(?i)\A(?:bosses?[{WHITE}]+)?(?:n[aãÃ]o estavam|n[aãÃ]o encontrados|ausentes|vazios|encontrados|presentes|estavam)[{WHITE}]*:?\z"
 BULLET, PART = rf"\A[•*\-][{WHITE}]*", rf"[{WHITE}]*[,;][{WHITE}]*"
 BLOCKED_GROUPS = ("dados do perfil", "profile details", "dados do contato", "contact info", "group info", "dados do grupo")
-#: Names, and characters of all names, that one automaton holds at most.
-MAX_NAMES, MAX_NAME_CHARS = 50_000, 1_000_000
-#: Characters by which the names of larger dictionaries are joined, and shares into which a frequent one is dealt.
-GRAM, SALT = 8, 16
 
 
 def name_keys(names: DataFrame) -> DataFrame:
@@ -82,68 +73,6 @@ def parse_reports(texts: DataFrame, names: DataFrame) -> DataFrame:
     return matched.select("id", "line", "part", F.coalesce("boss", F.lit("")).alias("boss"), "text", "result", "date", "time")
 
 
-def mentions(texts: DataFrame, names: DataFrame, text: str = "text") -> DataFrame:
-    """texts with mentioned (in place of any such column): the distinct names (name) that a text contains, folded, in order.
-
-    Dictionaries of up to MAX_NAMES names and MAX_NAME_CHARS characters, which are counted first, become one automaton that
-    reads each text once, whatever their number. Larger ones are joined by the first characters of a name. A null text
-    mentions nothing; a name of which nothing is left when folded is in every text.
-    """
-    known = names.select("name").where("name IS NOT NULL").distinct().withColumn("key", fold(F.col("name")))
-    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("key")), F.lit(0)).alias("chars")).first()
-    bounded = size.n <= MAX_NAMES and size.chars <= MAX_NAME_CHARS
-    return (_mentions_by_automaton if bounded else _mentions_by_join)(texts.drop("mentioned"), known, text)
-
-
-def _mentions_by_automaton(texts: DataFrame, known: DataFrame, text: str) -> DataFrame:
-    given = [(r.key, r.name) for r in known.orderBy("name").collect()]  # bounded by the caller
-    folded, columns = "text, folded", texts.columns
-    schema = T.StructType(list(texts.schema)).add("mentioned", T.ArrayType(T.StringType()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: dict[str, list[int]] = {}
-        for i, (key, _) in enumerate(given):
-            places.setdefault(key, []).append(i)
-        anywhere = places.pop("", [])
-        automaton = ahocorasick.Automaton()
-        for key, held in places.items():
-            automaton.add_word(key, held)
-        if places:
-            automaton.make_automaton()
-
-        def found(said: str | None) -> list[str]:
-            if said is None:
-                return []
-            hits = {i for _, held in automaton.iter(said) for i in held} if places else set()
-            return [given[i][1] for i in sorted(hits.union(anywhere))]
-
-        for batch in batches:
-            rows = pa.array([found(t) for t in batch[folded].to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), rows], [*columns, "mentioned"])
-
-    return texts.withColumn(folded, fold(F.col(f"`{text}`"))).mapInArrow(run, schema)
-
-
-def _mentions_by_join(texts: DataFrame, known: DataFrame, text: str) -> DataFrame:
-    """Texts and names meet by the first GRAM characters of a name (all of a shorter one), dealt out over SALT, and are then compared."""
-    row, folded = "row of a text", "text, folded"
-    keyed = saved(texts.withColumn(row, F.monotonically_increasing_id()).withColumn(folded, fold(F.col(f"`{text}`"))), "texts")
-    starts = known.withColumn("gram", F.substring("key", 1, GRAM))
-    sizes = [r.n for r in starts.select(F.length("gram").alias("n")).distinct().collect()]  # 0 to GRAM
-    said = None
-    for n in sizes:
-        grams = F.array_distinct(F.regexp_extract_all(F.col(f"`{folded}`"), F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
-        each = keyed.select(row, F.explode(grams).alias("gram"))
-        said = each if said is None else said.unionByName(each)
-    if said is None:
-        return keyed.select(*texts.columns, F.array().cast("array<string>").alias("mentioned"))
-    dealt = said.withColumn("salt", F.pmod(F.xxhash64(row), F.lit(SALT)).cast("int"))
-    copied = starts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    pairs = dealt.join(copied, ["gram", "salt"]).select(row, "name", "key").join(keyed.select(row, folded), row)
-    met = pairs.where(F.contains(F.col(f"`{folded}`"), F.col("key"))).groupBy(row).agg(F.array_sort(F.collect_set("name")).alias("mentioned"))
-    return keyed.join(met, row, "left").select(*texts.columns, F.coalesce("mentioned", F.array().cast("array<string>")).alias("mentioned"))
-
-
 def read_messages(messages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chat messages (id, text, date, time) as report rows, and one row for each message: pending and mentioned.
 

@@ -92,9 +92,9 @@ FROM lists l CROSS JOIN asked a LEFT JOIN players p ON p.category = l.category A
     "due_alerts": f"WITH {_PREDICTIONS} SELECT o_orderkey, world, boss_name, kind, s AS starts FROM due",
     "alert_antijoin": f"""WITH {_PREDICTIONS}, keys AS (SELECT DISTINCT world || '|' || boss_name || '|' || s || '|' || e || '|window' AS alert_key, CAST(substr(boss_name, 2) AS BIGINT) % 3 = 0 AS gone FROM due)
 SELECT alert_key, endpoint FROM keys CROSS JOIN (VALUES ('e0'), ('e1')) v(endpoint) WHERE NOT (gone AND endpoint = 'e1')""",
-    "dictionary_mentions": """WITH names AS (SELECT DISTINCT lower(array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')) AS name FROM benchmark),
+    "dictionary_mentions": """WITH names AS (SELECT DISTINCT array_to_string(list_slice(l, pos, pos + 1), ' ') AS name FROM (SELECT l, unnest(range(1, greatest(2, len(l)))) AS pos FROM (SELECT string_split(text, ' ') AS l FROM benchmark))),
 folded AS (SELECT doc_id, strip_accents(lower(text)) AS t FROM documents)
-SELECT doc_id, name FROM folded JOIN names ON contains(t, strip_accents(name))""",
+SELECT doc_id, name FROM folded JOIN names ON contains(t, lower(strip_accents(name)))""",
     "canonical_names": r"""WITH words AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS word FROM documents) WHERE word <> '' GROUP BY ALL)
 SELECT regexp_replace(lower(strip_accents(word)), '[^a-z0-9]', '', 'g') AS name_key, CAST(sum(n) AS BIGINT) AS n, min(regexp_replace(lower(word), '[^a-z0-9]', '', 'g')) AS plain FROM words GROUP BY 1""",
     "message_lines": """WITH lines AS (SELECT conv_id, turn, role, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM conversations)

@@ -102,7 +102,9 @@ def q_alert_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dictionary_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "benchmark").select(F.lower(F.array_join(F.slice(F.split("text", " "), 1, 2), " ")).alias("name"))
+    words = F.split("text", " ")
+    pairs = F.transform(F.slice(words, 1, F.greatest(F.lit(1), F.size(words) - 1)), lambda w, i: F.array_join(F.slice(words, i + 1, 2), " "))
+    names = table(spark, sf_dir, "benchmark").select(F.explode(pairs).alias("name"))  # each two words of every item
     found = observations.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"), names)
     return found.select("doc_id", F.explode("mentioned").alias("name"))
 
