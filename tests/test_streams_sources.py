@@ -146,4 +146,8 @@ def test_state_exports_merges_and_parts(spark, tmp_path):
     assert sorted(map(tuple, store.merged(rows, new, "k").collect())) == [("a", 1, None), ("b", 2, 6), ("c", 3, 7)]
     texts = spark.createDataFrame([(1, "abcde" * 5), (2, ""), (3, "ç🙂x" * 4)], "id int, text string")
     parts = store.split_parts(texts, "id", "text", 4)
-    assert {r.id: r.content for r in store.join_parts(parts, "id").collect()} == {1: "abcde" * 5, 2: "", 3: "ç🙂x" * 4}
+    assert {r.id: bytes(r.content).decode() for r in store.join_parts(parts, "id").collect()} == {1: "abcde" * 5, 2: "", 3: "ç🙂x" * 4}
+    wide = spark.createDataFrame([(1, "ç" * 100_000), (2, "x" * 60_000)], "id int, text string")  # of 200,000 bytes and 60,000
+    assert {(r.id, r.parts) for r in store.join_parts(store.split_parts(wide, "id", "text"), "id").collect()} == {(1, 4), (2, 1)}
+    raw = spark.createDataFrame([(1, bytearray(range(256)) * 300)], "id int, raw binary")  # what is no text
+    assert bytes(store.join_parts(store.split_parts(raw, "id", "raw", 7_001), "id").first().content) == bytes(range(256)) * 300

@@ -62,9 +62,10 @@ def _clock(ts: str = "ts") -> Column:
 def q_catalogue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     place = F.struct(F.col("p_size").alias("x"), (key % 100).alias("y"), (key % 16).alias("z"))
-    rows = table(spark, sf_dir, "part").select((key % 7).alias("file"), F.struct(F.when(key % 10 != 0, F.col("p_name")).alias("name"), F.concat(F.lit("https://img/"), key.cast("string")).alias("image_url"), F.array(place).alias("locations")).alias("r"))
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey DIV 64").alias("file"), F.struct(F.when(key % 10 != 0, F.col("p_name")).alias("name"), F.concat(F.lit("https://img/"), key.cast("string")).alias("image_url"), F.array(place).alias("locations")).alias("r"))
     path = scratch(spark, "catalogue")
-    rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    files = rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).select("value")  # a document holds some sixty rows
+    files.write.option("maxRecordsPerFile", 1).text(path)
     return store.read_catalogue(spark, path).select("name", "image_url", F.col("locations")[0]["x"].alias("x"), F.col("locations")[0]["y"].alias("y"), F.col("locations")[0]["z"].alias("z"))
 
 
@@ -109,14 +110,14 @@ def q_official_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rankings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of the five segments, of which the second is refused: the first three were fetched together."""
+    """Lists of the five segments in pages, of which the second list is refused: the first three were fetched together."""
     customer = table(spark, sf_dir, "customer")
-    top = keyed.first_per_key(customer, ["c_mktsegment"], [F.desc("c_acctbal"), F.asc("c_custkey")], 50)
     player = F.struct(F.col("c_name").alias("name"), F.col("c_custkey").alias("rank"), F.col("c_nationkey").cast("long").alias("value"))
-    lists = top.groupBy(F.col("c_mktsegment").alias("category")).agg(F.collect_list(player).alias("players"))
+    pages = customer.groupBy(F.col("c_mktsegment").alias("category"), F.expr("c_custkey DIV 500").alias("page")).agg(F.collect_list(player).alias("players"))  # of 500 customers at most
     refused = F.when(F.col("category") == "BUILDING", rankings.REFUSED)
-    path = _json_rows(lists.select("category", F.when(refused.isNull(), F.col("players")).alias("players"), refused.alias("error")).repartition(5, "category"), "rankings")
+    path = _json_rows(pages.select("category", F.when(refused.isNull(), F.col("players")).alias("players"), refused.alias("error")), "rankings")
     found, players = store.read_rankings(spark, [path], lines=True)
+    found = found.distinct()
     places = F.create_map(*[F.lit(x) for i, c in enumerate(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) for x in (c, i)])
     after = rankings.after_refusal(found.withColumn("place", F.try_element_at(places, F.col("category"))))
     return rankings.look_up(after, players, ["customer#000000003", "CUSTOMER#000000010", "customer#000000017"]).select("category", "name", "status", "value", "rank", "error")
@@ -148,7 +149,7 @@ def q_blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = texts.where("length(text) % 3 = 0").select("path", F.concat(F.lit("new "), F.left("text", F.lit(700))).alias("text"))
     put = store.put_parts(parts, new, "path", "text", 500)
     moved = store.rename_parts(put, "path", "f1", "f2")
-    return store.join_parts(moved, "path").select("path", "parts", F.length("content").cast("long").alias("chars"), F.sha2("content", 256).alias("sha256"))
+    return store.join_parts(moved, "path").select("path", "parts", F.length(F.col("content").cast("string")).cast("long").alias("chars"), F.sha2("content", 256).alias("sha256"))
 
 
 # --- reports ---

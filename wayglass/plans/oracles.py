@@ -132,7 +132,7 @@ SELECT user_id, boss, len(r.s)::BIGINT AS kills, len(r.s) > 0 AS known, r.made::
   SELECT event_type, epoch_us(ts) // 1000 AS at, event_id, user_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 5""",
     "dashboard_counts": f"""WITH {_PREDICTIONS}
 SELECT o_orderpriority, count(*) FILTER (WHERE status = 'high') AS high, count(*) AS total, count(*) FILTER (WHERE completed) AS completed, count(*) FILTER (WHERE known) AS known FROM classified GROUP BY ALL""",
-    "blob_reassembly": "SELECT doc_id, greatest(1, CAST(ceil(length(coalesce(text, '')) / 1000.0) AS BIGINT)) AS parts, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "blob_reassembly": "SELECT doc_id, greatest(1, CAST(ceil(strlen(coalesce(text, '')) / 1000.0) AS BIGINT)) AS parts, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "stream_ingest": "SELECT min(event_id) AS event_id, user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events GROUP BY ALL",
 }
 ORACLES["stream_thinning"] = ORACLES["snapshot_thinning"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayglass.operators.order import placed
+
+from .scratch import saved
+
 HISTORY = """updated string, worlds map<string, struct<
   bosses: array<struct<boss: string, status_key: string, txt_date: string, last_date: string, window_txt: string, window_min: string, window_max: string, recorrencias: array<string>, last_kills: array<struct<date: string, approx: boolean>>>>,
   demonLords: array<struct<boss: string, status_key: string, txt_date: string, last_date: string, window_txt: string, window_min: string, window_max: string, recorrencias: array<string>, last_kills: array<struct<date: string, approx: boolean>>>>>>"""
@@ -15,11 +19,12 @@ RANKING = "category string, players array<struct<name: string, rank: bigint, val
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue rows (JSON arrays) that have a name, with seq: by path of their file, then as they stand in it."""
-    rows = spark.read.schema(CATALOGUE).json(path, multiLine=True).withColumn("of", F.col("_metadata.file_path"))
+    rows = spark.read.schema(CATALOGUE).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("of"), "*")
     # A file is not split, so its rows' numbers within a partition are in its order.
-    numbered = rows.withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    files = rows.select("of").distinct().orderBy("of").withColumn("file", F.row_number().over(Window.orderBy("of")) - 1)  # a few files
-    return numbered.join(F.broadcast(files), "of").where("name IS NOT NULL").withColumn("seq", F.shiftleft(F.col("file").cast("long"), 33) + F.col("place")).drop("of", "file", "place")
+    numbered = saved(rows.withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "catalogue")
+    sizes = numbered.groupBy("of").agg((F.max("place") + 1).alias("n"))
+    starts = placed(sizes, [F.col("of")], "file")  # files in order, none of them in one task with all others
+    return numbered.join(starts.select("of", "file"), "of").where("name IS NOT NULL").withColumn("seq", F.shiftleft(F.col("file") - 1, 33) + F.col("place")).drop("of", "file", "place")
 
 
 def read_history(spark: SparkSession, path: str, world: str) -> DataFrame:
@@ -94,16 +99,18 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def split_parts(rows: DataFrame, key: str, content: str, size: int = 60_000) -> DataFrame:
-    """key, part (from 0) and content in parts of size characters; an empty content is one empty part."""
-    count = F.greatest(F.lit(1), F.ceil(F.length(content) / size)).cast("int")
-    parts = rows.select(key, F.col(content).alias("content"), F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
+    """key, part (from 0) and content (binary) in parts of size bytes; text is taken as UTF-8, and an empty content is one empty part."""
+    held = rows.select(key, F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content"))
+    count = F.greatest(F.lit(1), F.ceil(F.length("content") / size)).cast("int")
+    parts = held.select(key, "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
     return parts.select(key, "part", F.substring(F.col("content"), F.col("part") * size + 1, F.lit(size)).alias("content"))
 
 
 def join_parts(parts: DataFrame, key: str) -> DataFrame:
-    """key, parts (their number) and content put together again, in order of part."""
+    """key, parts (their number) and content (binary) put together again, in order of part. Text is content.cast("string")."""
     sorted_parts = F.array_sort(F.collect_list(F.struct("part", "content")))
-    return parts.groupBy(key).agg(F.count("*").alias("parts"), F.array_join(F.transform(sorted_parts, lambda p: p["content"]), "").alias("content"))
+    whole = F.unhex(F.array_join(F.transform(sorted_parts, lambda p: F.hex(p["content"])), ""))
+    return parts.groupBy(key).agg(F.count("*").alias("parts"), whole.alias("content"))
 
 
 def put_parts(stored: DataFrame, new: DataFrame, key: str, content: str, size: int = 60_000) -> DataFrame:
