@@ -26,6 +26,8 @@ SEGMENT = 1 << 20
 HOT_LINE = 1000
 #: Keys that a task gathers before it sends on their bits.
 FLUSH = 400_000
+#: Lost lines, and ids of documents that lose some, that are sent to all tasks (about 50 MB either).
+SENT_LINES, SENT_IDS = 500_000, 2_000_000
 _SPACE = b" \t\n\r\x0b\x0c"
 _NO_ID = 1 << 62
 
@@ -147,20 +149,37 @@ def repeats(documents: DataFrame) -> DataFrame:
     return hot.unionByName(rest).distinct()
 
 
+def _with_lost(row: DataFrame, lost: DataFrame, repeated: DataFrame) -> DataFrame:
+    """row (row, doc) with the digests of the lines that a document loses. Only documents that lose some move, if any do.
+
+    Up to SENT_LINES lost lines go to all tasks, and nothing moves. Of more, the ids of the documents do (up to SENT_IDS), and only these
+    documents are joined with their lines; of more than that, all documents are.
+    """
+    if repeated.count() <= SENT_LINES:
+        return row.join(F.broadcast(lost), "doc", "left")
+    ids = saved(repeated.select("doc").distinct(), "losers")
+    if ids.count() > SENT_IDS:
+        return row.join(lost, "doc", "left")
+    own = row.join(F.broadcast(ids), "doc", "left_semi").join(lost, "doc")
+    rest = row.join(F.broadcast(ids), "doc", "left_anti").withColumn("digests", F.lit(None).cast("array<binary>"))
+    return own.unionByName(rest)
+
+
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     """documents with text cut down, and n_lines (before) and n_dropped (long) in place of any such columns.
 
     A key (see line_key) found in two documents or more loses its lines in all but the smallest
     doc_id that holds it, where all of them stay. Rows with the same doc_id are one document here;
     rows without doc_id come after all others (ids are below 2^62), and those of one text are one document. A null text is one empty line and becomes
-    the empty text. Other columns pass through; an empty table stays empty.
+    the empty text. Other columns pass through; an empty table stays empty. A text of any length is read whole, in the task that has it.
     """
-    lost = repeats(documents).groupBy("doc").agg(F.collect_list("digest").alias("digests"))
+    repeated = saved(repeats(documents), "repeats")
+    lost = repeated.groupBy("doc").agg(F.collect_list("digest").alias("digests"))
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, True) for f in documents.schema if f.name in names])
     schema = schema.add("n_lines", "long").add("n_dropped", "long")
     row = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _doc().alias("doc"))
-    joined = row.join(lost, "doc", "left").select("row.*", F.col("digests").alias(mark := "digests of lost lines"))
+    joined = _with_lost(row, lost, repeated).select("row.*", F.col("digests").alias(mark := "digests of lost lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
