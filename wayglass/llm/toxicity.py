@@ -17,7 +17,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -218,12 +218,15 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
 
     Word counts by label and the choice of witnesses run on Spark over a bounded sample of the
     labelled rows (MAX_TOXIC, MAX_CLEAN); bounded lists of words (MAX_WORDS, WITNESSES for each
-    toxic document; of MAX_LETTERS letters at most) come to the driver. Without documents of both labels, no document is toxic.
+    toxic document; of MAX_LETTERS letters at most) come to the driver. Of rows that repeat a labelled doc_id one is learnt from (that with the
+    smallest hash of its text), so that the sample is bounded in rows, too. Without documents of both labels, no document is toxic. Texts are read whole.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     drawn = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     chosen = drawn[0].unionByName(drawn[1])  # MAX_TOXIC + MAX_CLEAN rows at most: small enough to send to all tasks
-    sample = saved(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    sample = saved(rows.withColumn("place", place).where("place = 1").drop("place"), "toxicity-sample")
     never = Model(np.zeros(0, np.int64), np.zeros(0), FLOOR)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +250,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     order = F.struct(F.col("odds"), F.col("t"), F.col("word"))
     best = bags.where("toxic = 1").select("doc_id", "word").distinct().join(counts.withColumn("odds", odds), "word").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(order), asc=False), 1, WITNESSES).alias("w"))
     witnesses = [[(x.odds, x.t, x.word) for x in r.w] for r in best.orderBy("doc_id").collect()]
-    clean = counts.where("c > 0").orderBy(F.desc("c") if size[0] < 50 else F.when(F.col("c") > size[0] // 50, 0).otherwise(1), F.xxhash64("word"), "word").limit(MAX_WORDS)
+    clean = counts.where("c > 0").orderBy(F.when(50 * F.col("c") > size[0], 0).otherwise(1), F.xxhash64("word"), "word").limit(MAX_WORDS)
     negative = sorted(r.word for r in clean.select("word").collect())
     if not negative or not witnesses:
         return never
