@@ -362,7 +362,8 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 
     Columns doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian u32).
     A key costs one slot of one index part and one range of one shard, whatever the size of the store;
-    keys that are unknown have no row, keys of several documents have one row for each.
+    keys of several documents have one row for each. Keys that are unknown have no row, but for one in some four thousand million, as
+    a key is told by its slot and 32 bits of fingerprint: where that matters, compare with the documents' own ids. Texts are written whole, whatever their length.
     """
     manifest = manifest_of(folder)
     places, width, parts = _Shards(manifest), np.dtype(manifest["width"]), manifest["parts"]
