@@ -8,17 +8,19 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, Growing, WordTable, drop_saved, expand, kept, run_sums, saved, slices
+from .shared import BROADCAST_ROWS, _Codes, drop_saved, expand, kept, run_sums, saved, slices
 from .simhash import text_hash
 from .word_bpe import _WHITE, piece_bytes
 
 A, B = 0, 1
+SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 #: Id pairs whose counts are sent to all tasks (32 MB); of more, documents' pairs are joined with them.
 MAX_PAIRS = 2_000_000
 #: Distinct words of a Python worker's table of digests, and those that a task counts before it sends them on.
@@ -67,15 +69,16 @@ class Tokenizers:
 
         Many words are encoded as one text, as they part there anyway; a word that ends in white space goes alone.
         """
-        runs: list[tuple[list[int], list[list[int]], list[np.ndarray]]] = []
+        runs: list[tuple[list[int], list[np.ndarray], list[np.ndarray]]] = []
 
         def take(at: list[int]) -> None:
             raw = [words[i].encode() for i in at]
             text, ends = b"".join(raw), np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-            ids = [self.a.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.b.encode(text.decode())]
+            said = [self.a.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, self.b.encode(text.decode())]
+            ids = [np.array(x, np.int64) for x in said]
             stops = [np.cumsum(self.lengths[side][x]) for side, x in enumerate(ids)]
             places = [np.searchsorted(x, ends, "right") for x in stops]
-            whole = all(b"".join([self.pieces[side][i] for i in x]) == text for side, x in enumerate(ids))
+            whole = all(b"".join([self.pieces[side][i] for i in x]) == text for side, x in enumerate(said))
             if whole and all((p > 0).all() and (x[p - 1] == ends).all() for x, p in zip(stops, places, strict=True)):
                 runs.append((at, ids, [np.diff(p, prepend=0) for p in places]))
             elif len(at) > 1:
@@ -93,7 +96,7 @@ class Tokenizers:
         good[order] = True
         out, counts = [], []
         for side in (A, B):
-            flat = np.fromiter((i for _, ids, _ in runs for i in ids[side]), np.int64)
+            flat = np.concatenate([ids[side] for _, ids, _ in runs]) if runs else np.zeros(0, np.int64)
             held = np.concatenate([c[side] for _, _, c in runs]) if runs else np.zeros(0, np.int64)
             n, start = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
             n[order], start[order] = held, np.cumsum(held) - held
@@ -218,56 +221,82 @@ def _sent(rows: DataFrame) -> DataFrame:
 
 
 class Digests:
-    """What each distinct word of a worker's documents adds to a document: counts, and its groups as text."""
+    """What each distinct word of a worker's documents adds to a document: sums, and its groups as text.
+
+    The words' links come as links() has them: one for each end, of the tokens of both sides that end there next. Once there are more than
+    WORDS words, the half that was met most often stays; others are worked on anew when they come again.
+    """
 
     def __init__(self, both: Tokenizers, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], linked: bool) -> None:
         self.both, (self.pairs, self.counts, self.best), self.keeps = both, pairs, linked
         self.words = re.compile(both.pattern())
-        self.numbers = [str(i) for i in range(max(map(len, both.pieces)))]
-        self.table = WordTable(self._fill, [np.int64] * 8, self._clear, WORDS)
-
-    def _clear(self) -> None:
-        self.groups: list[str] = []
-        self.linked = Growing(np.int64)
-
-    def _fill(self, words: list[str]) -> list[np.ndarray]:
+        each = [str(i) for i in range(max(map(len, both.pieces)))]
+        #: Every number with what may follow it: a comma, a bar or a semicolon.
+        self.said = np.array([n + mark for mark in ",|;" for n in each], object)
+        self.numbers = len(each)
+        self.codes, self.met_often, self.groups = _Codes(), np.zeros(0, np.int64), np.zeros(0, object)
+        self.sums = np.zeros((len(SUMS) + 1, 0), np.int64)
+        self.links: list[np.ndarray] = []
+
+    def _shrink(self) -> None:
+        often = np.sort(np.argsort(-self.met_often, kind="stable")[: WORDS // 2])
+        words = list(self.codes)
+        self.codes = _Codes()
+        for i in often.tolist():
+            self.codes[words[i]]
+        self.codes.fresh = []
+        self.sums, self.groups, self.met_often = self.sums[:, often], self.groups[often], self.met_often[often] // 2
+        self.links = [self.links[i] for i in often.tolist()] if self.keeps else []
+
+    def _add(self, words: list[str]) -> None:
         (a, b), (n_a, n_b), good = self.both.encode(words)
         end_a, end_b = np.cumsum(self.both.lengths[A][a]), np.cumsum(self.both.lengths[B][b])
         word_end = np.concatenate(([0], end_a))[np.cumsum(n_a)]
-        ends = np.union1d(end_a, end_b)
-        pair = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
+        every = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+        new = np.diff(every, prepend=0) > 0
+        ends, cut = every[new], ~new  # an end of both sides stands twice, the second time as a cut
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        pair = a[at_a] << 32 | b[at_b]
         last = np.searchsorted(ends, word_end, "right")
         at = np.minimum(np.searchsorted(self.pairs, pair), max(0, len(self.pairs) - 1))
         count, best = (x[at] if len(x) else np.zeros(len(pair), np.int64) for x in (self.counts, self.best))
-        cut_a, cut_b = np.isin(end_a, end_b), np.isin(end_b, end_a)
-        n_groups = run_sums(cut_a, np.cumsum(n_a))
-        said_a, said_b = [self.numbers[i] for i in a.tolist()], [self.numbers[i] for i in b.tolist()]
-        stop_a, stop_b = (np.flatnonzero(c) + 1 for c in (cut_a, cut_b))
-        spans = zip([0, *stop_a.tolist()], stop_a.tolist(), [0, *stop_b.tolist()], stop_b.tolist(), strict=False)
-        groups = [",".join(said_a[i:j]) + "|" + ",".join(said_b[k:m]) for i, j, k, m in spans]
-        stops = np.cumsum(n_groups).tolist()
-        self.groups += [";".join(groups[i:j]) for i, j in zip([0, *stops], stops, strict=False)]
-        n_links = np.diff(last, prepend=0)
-        starts = self.linked.size + last - n_links
-        self.linked.extend(pair if self.keeps else pair[:0])
-        return [n_a, n_b, n_groups, n_links, run_sums(best, last), run_sums(count, last), good.astype(np.int64), starts]
+        cuts = every[cut]
+        cut_a, cut_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        cut_a[np.searchsorted(end_a, cuts)] = 1
+        cut_b[np.searchsorted(end_b, cuts)] = 1
+        # ids as they are written: by group, A's before B's, a bar or a semicolon after the last of each
+        group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        told = self.said[np.concatenate((a + self.numbers * cut_a, b + 2 * self.numbers * cut_b))[order]].tolist()
+        stops = np.cumsum(n_a + n_b).tolist()
+        groups = np.empty(len(words), object)
+        groups[:] = ["".join(told[i:j]) for i, j in zip([0, *stops], stops, strict=False)]
+        rows = np.stack([n_a, n_b, run_sums(cut_a, np.cumsum(n_a)), np.diff(last, prepend=0), run_sums(best, last), run_sums(count, last), good.astype(np.int64)])
+        self.sums, self.groups = np.concatenate((self.sums, rows), axis=1), np.concatenate((self.groups, groups))
+        self.met_often = np.concatenate((self.met_often, np.zeros(len(words), np.int64)))
+        if self.keeps:
+            self.links += np.split(pair, last[:-1]) if len(words) else []
 
     def digest(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[np.ndarray]]:
         """For each text six sums (n_a to count_sum), its groups, and the codes of its words if it has tokens."""
-        codes, ends = self.table.lookup([self.words.findall(f" {t}") if t else [] for t in texts])
-        *sums, good, _ = self.table.arrays
-        whole = run_sums(good[codes], ends) == np.diff(ends, prepend=0)
-        said, groups = codes.tolist(), self.groups
-        told = [";".join([groups[c] for c in said[i:j]]) if w else "" for i, j, w in zip([0, *ends.tolist()], ends.tolist(), whole.tolist(), strict=False)]
-        return [np.where(whole, run_sums(x[codes], ends), 0) for x in sums], told, [codes[i:j] if w else codes[:0] for i, j, w in zip([0, *ends.tolist()], ends.tolist(), whole.tolist(), strict=False)]
+        if len(self.codes) > WORDS:
+            self._shrink()
+        found = [self.words.findall(f" {t}") if t else [] for t in texts]
+        ends = np.cumsum([len(f) for f in found], dtype=np.int64)
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(found)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if self.codes.fresh:
+            fresh, self.codes.fresh = self.codes.fresh, []
+            self._add(fresh)
+        self.met_often += np.bincount(codes, minlength=len(self.met_often))
+        whole = run_sums(self.sums[-1][codes], ends) == np.diff(ends, prepend=0)
+        each = [codes[i:j] if w else codes[:0] for i, j, w in zip([0, *ends.tolist()], ends.tolist(), whole.tolist(), strict=False)]
+        told = ["".join(self.groups[c].tolist())[:-1] for c in each]
+        return [np.where(whole, run_sums(x[codes], ends), 0) for x in self.sums[:-1]], told, each
 
     def met(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct linked pairs (A's id << 32 | B's id) of a text's words, and how often each is linked."""
-        n, start = self.table.arrays[3][codes], self.table.arrays[7][codes]
-        return np.unique(self.linked.all[expand(start, n)], return_counts=True)
-
-
-SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+        every = [self.links[c] for c in codes.tolist()]
+        return np.unique(np.concatenate(every) if every else np.zeros(0, np.int64), return_counts=True)
 
 
 def align(documents: DataFrame, path_a: str, path_b: str, text: bool = False) -> DataFrame:
