@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import running
+from .shared import bound, running
 
 JOINER = " <+> "
+#: Characters into which a formatted text is cut when it is read back, so that this takes time with its length.
+CUT = 256
 _ANGLE, _SQUARE = r"(/?s>|\+>|<SYS>>|</SYS>>)", r"(/?INST\])"
 _BLOCK = r"(?s)(\[INST\] .*? \[/INST\]|<<SYS>>.*? <</SYS>>| .*? </s>)"
 
@@ -81,5 +83,13 @@ def read_turns(formatted: DataFrame) -> DataFrame:
         return F.transform(F.split(inner, r" <\+> "), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
     turns = F.flatten(F.transform(F.regexp_extract_all("formatted", F.lit(_BLOCK), 1), block))
-    masked = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    masked = bound(F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CUT}}}"), 0), lambda cuts: F.transform("loss", lambda s: unescape(_between(cuts, s["start"], s["end"]))))
     return formatted.withColumn("turns", turns).withColumn("loss_text", F.array_join(masked, ""))
+
+
+def _between(cuts: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in cuts of CUT characters: only cuts that have some are read."""
+    first = F.floor(start / CUT)
+    count = F.greatest(F.lit(0), F.floor((end - 1) / CUT) - first + 1)
+    held = F.array_join(F.slice(cuts, (first + 1).cast("int"), count.cast("int")), "")
+    return F.substring(held, (start - first * CUT + 1).cast("int"), (end - start).cast("int"))
