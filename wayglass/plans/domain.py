@@ -505,11 +505,11 @@ def q_stream_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat messages in five batches without limits, one with a message without a text and one with a gap: what is stored of them, and the mark."""
+    """Chat messages in three batches without limits, one with a message without a text and one with a gap: what is stored of them, and the mark."""
     folder = scratch(spark, "sync")
-    batch, text = F.col("event_id") % 5, F.when(F.col("event_id") != 200, F.col("text"))
-    rows = _messages(spark, sf_dir).select(batch.alias("batch"), F.col("event_id").alias("seq"), "id", text.alias("text"), "date", "time", "media", F.col("id").alias("mark_id"), F.col("at").alias("mark_at"), F.when(batch == 4, "gap").otherwise("complete").alias("coverage"))
-    files = [rows.where(F.col("batch") == b).drop("batch") for b in range(5)]
+    batch, text = F.col("event_id") % 3, F.when(F.col("event_id") != 201, F.col("text"))
+    rows = _messages(spark, sf_dir).select(batch.alias("batch"), F.col("event_id").alias("seq"), "id", text.alias("text"), "date", "time", "media", F.col("id").alias("mark_id"), F.col("at").alias("mark_at"), F.when(batch == 2, "gap").otherwise("complete").alias("coverage"))
+    files = [rows.where(F.col("batch") == b).drop("batch") for b in range(3)]
     many = 1 << 40
     _arriving(spark, folder, files, lambda source: reports.sync_stream(source, _names(spark), "Lunarian", ["Lunarian"], 1_791_241_200_000, f"{folder}/rows", f"{folder}/marks", max_batch=many, max_pending=many, max_checks=many))
     store = Store(spark, f"{folder}/rows")

@@ -190,9 +190,9 @@ ORACLES["chat_reviews"] = f"""WITH {_REPORTS}, named_ones AS (
 FROM named_ones WHERE pending OR len(every) > 0"""
 ORACLES["relevant_messages"] = f"""WITH {_REPORTS} SELECT id, media, CASE WHEN event_id % 4 <> 0 THEN at END AS at FROM seen WHERE media OR len(mentioned) > 0 AND (event_id % 4 = 0 OR at >= 1705000000000)"""
 
-ORACLES["stream_sync"] = f"""WITH {_REPORTS}, good AS (SELECT DISTINCT r.* EXCLUDE (id, line, part) FROM rows r JOIN m USING (id) WHERE boss IS NOT NULL AND result IS NOT NULL AND event_id % 5 <> 0)
+ORACLES["stream_sync"] = f"""WITH {_REPORTS}, good AS (SELECT DISTINCT r.* EXCLUDE (id, line, part) FROM rows r JOIN m USING (id) WHERE boss IS NOT NULL AND result IS NOT NULL AND event_id % 3 <> 0)
 SELECT boss, date, time, result, 'whatsapp' AS origin, epoch_ms(CAST(date || ' ' || time || ':00' AS TIMESTAMP)) + 10800000 AS at, CAST(NULL AS VARCHAR) AS reason FROM good
-UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, max(at), 'text' FROM m WHERE event_id % 5 IN (1, 2, 3)"""
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, max(at), 'text' FROM m WHERE event_id % 3 = 1"""
 
 _SPACE, _DOT, _HALF, _YEAR = _pick("event_id", ("", " ", " ", " ")), _pick("event_id // 4", ("/", ".", "-")), _pick("event_id // 12", ("", "AM", "pm", "PM")), _pick("event_id // 5", ("2024", "26", "025", "2023"))
 _CHAT = rf"(?i)\[(\d{{1,2}}):(\d{{2}})(?:{_W}*([AP]M))?,{_W}*(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{2,4}})\]"

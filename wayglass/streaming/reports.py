@@ -11,6 +11,7 @@ from wayglass.functions.timing import at_local
 from wayglass.functions.unicode import units
 from wayglass.operators import observations, patterns
 from wayglass.operators.keyed import first_per_key, not_stored
+from wayglass.sources.scratch import drop_saved, saved
 
 from .state import Store, hashed, run_stream
 
@@ -52,32 +53,38 @@ def sync_stream(
             return reject(why)
         seen, pending, known = (store.table(n, s, _ONE) for n, s in (("seen", SEEN), ("pending", PENDING), ("identified", IDENTIFIED)))
         base = (store.commit.seq + 1) * 1_000_000
-        messages = not_stored(first_per_key(batch.where("id IS NOT NULL"), ["id"], [F.asc("seq")]), seen, ["id"]).withColumn("place", F.lit(base) + F.row_number().over(Window.orderBy("seq"))).persist()  # max_batch rows
-        rows, state = (df.persist() for df in observations.read_messages(messages, names))
+        held = []  # written down, so that plans of what comes after stay small
+
+        def keep_for_now(df: DataFrame) -> DataFrame:
+            held.append(saved(df, "sync"))
+            return held[-1]
+
+        messages = keep_for_now(not_stored(first_per_key(batch.where("id IS NOT NULL"), ["id"], [F.asc("seq")]), seen, ["id"]).withColumn("place", F.lit(base) + F.row_number().over(Window.orderBy("seq"))))  # max_batch rows
+        rows, state = map(keep_for_now, observations.read_messages(messages, names))
         given = rows.select(F.col("id").alias("batch_id"), (F.col("line") * 1000 + F.col("part")).cast("long").alias("seq"), F.lit(world).alias("world"), "boss", "date", "time", "result", F.lit("unknown").alias("favorable"))
-        checked = observations.validated(given, names, worlds, now, "whatsapp").persist()
+        checked = keep_for_now(observations.validated(given, names, worlds, now, "whatsapp"))
         refused = checked.where(~F.col("batch_ok")).select(F.col("batch_id").alias("id")).distinct().withColumn("refused", F.lit(True))
         good = checked.where("batch_ok").withColumn("boss_key", canonical(F.col("boss"))).join(messages.select(F.col("id").alias("batch_id"), "place"), "batch_id")
         key = ["world", "boss_key", "date", "time", "result"]
         part = hashed(*key)
         parts = store.parts_of(good, part)
         old = store.table("checks", CHECKS, parts)
-        new = not_stored(first_per_key(good, key, [F.asc("place"), F.asc("seq")]), old, key).select(*old.columns).persist()
+        new = keep_for_now(not_stored(first_per_key(good, key, [F.asc("place"), F.asc("seq")]), old, key).select(*old.columns))
         judged = state.join(refused, "id", "left").withColumn("pending", F.col("pending") | F.coalesce("refused", F.lit(False))).drop("refused")
-        waiting = observations.reviews(messages, judged).join(messages.select("id", "place"), "id").persist()
+        waiting = keep_for_now(observations.reviews(messages, judged).join(messages.select("id", "place"), "id"))
         count = store.commit.values.get("checks", 0) + new.count()
         if count > max_checks or pending.count() + waiting.count() > max_pending:
             return reject("full")
         named = observations.recognised(rows, judged).join(messages, "id").select("id", "bosses", F.coalesce(at_local(F.col("date"), F.col("time")), F.lit(0)).alias("at"), "place")
-        held = known.select("id", F.col("place").alias("held"))  # one that is named again keeps its place
-        named = named.join(held, "id", "left").withColumn("place", F.coalesce("held", "place")).drop("held")
+        places = known.select("id", F.col("place").alias("held"))  # one that is named again keeps its place
+        named = named.join(places, "id", "left").withColumn("place", F.coalesce("held", "place")).drop("held")
         newest = lambda df: df.orderBy(F.desc("place")).limit(keep)
         store.put("checks", old.unionByName(new), part, parts)
         store.put("pending", pending.unionByName(waiting), F.lit("0"), _ONE)
         store.put("identified", newest(observations.upserted(known, named)), F.lit("0"), _ONE)
         store.put("seen", newest(seen.unionByName(messages.select("id", "place"))), F.lit("0"), _ONE)
-        for df in (messages, rows, state, checked, new, waiting):
-            df.unpersist()
+        for df in held:
+            drop_saved(df)
         values = {"checks": count}
         offered = batch.where("mark_id IS NOT NULL AND coalesce(coverage, '') <> 'gap'").agg(F.max_by(F.struct("mark_id", "mark_at"), F.struct("mark_at", "seq")).alias("m")).first().m
         mark = store.commit.values.get("mark")
@@ -110,26 +117,32 @@ def pattern_stream(source: DataFrame, path: str, checkpoint: str, every: str | N
     place = ["world", "boss", "day"]
 
     def step(batch: DataFrame, store: Store) -> None:
-        asked = batch.groupBy("batch_id").agg(F.max(F.when(F.col("action") == "undo", F.col("step"))).alias("undone")).persist()
+        held = []
+
+        def keep_for_now(df: DataFrame) -> DataFrame:
+            held.append(saved(df, "patterns"))
+            return held[-1]
+
+        asked = keep_for_now(batch.groupBy("batch_id").agg(F.max(F.when(F.col("action") == "undo", F.col("step"))).alias("undone")))
         index_part = hashed("batch_id")
         index_parts = store.parts_of(asked, index_part)
-        index = store.table("index", INDEX, index_parts).persist()
+        index = store.table("index", INDEX, index_parts)
         there = index.select("batch_id").distinct().withColumn("there", F.lit(True))
         state = asked.join(there, "batch_id", "left")
-        gone = state.where("there AND undone IS NOT NULL").select("batch_id")
+        gone = keep_for_now(state.where("there AND undone IS NOT NULL").select("batch_id"))
         open_ones = state.where("there IS NULL OR undone IS NOT NULL").select("batch_id", "undone")
         names = [f.split()[0] for f in REPORTS.split(", ")]
-        new = batch.where("action = 'add'").join(open_ones, "batch_id").where("undone IS NULL OR step > undone").where("world IS NOT NULL AND boss IS NOT NULL AND day IS NOT NULL").select(*names).persist()
+        new = keep_for_now(batch.where("action = 'add'").join(open_ones, "batch_id").where("undone IS NULL OR step > undone").where("world IS NOT NULL AND boss IS NOT NULL AND day IS NOT NULL").select(*names))
         old_places = index.join(gone, "batch_id", "left_semi").select(*place)
-        touched = old_places.unionByName(new.select(*place)).distinct().persist()
+        touched = keep_for_now(old_places.unionByName(new.select(*place)).distinct())
         parts = store.parts_of(touched, report_part)
-        reports = store.table("reports", REPORTS, parts).join(gone, "batch_id", "left_anti").unionByName(new).persist()
+        reports = keep_for_now(store.table("reports", REPORTS, parts).join(gone, "batch_id", "left_anti").unionByName(new))
         own = reports.join(touched, place, "left_semi")
         sighting = F.struct("at", (-F.col("seq")).alias("order"), "day", "bucket", "favorable", "seq")
         last = own.where("found").groupBy(*place).agg(F.max(sighting).alias("last"))
         days = patterns.days(own).join(last, place, "left")
         shares = store.parts_of(touched, boss_share)
-        all_days = store.table("days", DAYS, shares).join(touched, place, "left_anti").unionByName(days).persist()
+        all_days = keep_for_now(store.table("days", DAYS, shares).join(touched, place, "left_anti").unionByName(days))
         latest = all_days.groupBy(*patterns.KEYS).agg(F.max("last").alias("last"))
         found = patterns.find_of(all_days.drop("last")).join(latest, patterns.KEYS)
         cast = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in batch.sparkSession.createDataFrame([], PATTERNS).schema]
@@ -137,7 +150,7 @@ def pattern_stream(source: DataFrame, path: str, checkpoint: str, every: str | N
         store.put("index", index.join(gone, "batch_id", "left_anti").unionByName(new.select("batch_id", *place).distinct()), index_part, index_parts)
         store.put("days", all_days, boss_share, shares)
         store.put("patterns", found.select(*cast), boss_share, shares)
-        for df in (asked, index, new, touched, reports, all_days):
-            df.unpersist()
+        for df in held:
+            drop_saved(df)
 
     return run_stream(source, path, checkpoint, step, every, seen)

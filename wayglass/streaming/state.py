@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 #: Parts by hash where a table names no other number.
-PARTS = 64
+PARTS = 32
 
 
 def hashed(*columns: str | Column, parts: int = PARTS) -> Column:
@@ -103,7 +103,7 @@ class Store:
         """New contents of some parts; one that gets no rows is empty from now on."""
         seq, parts = self._begin(), set(parts)
         staged = f"{self.path}/_staged/{name}"
-        rows.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(staged)
+        rows.withColumn("part", part).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(staged)
         filled = {n.removeprefix("part="): n for n in self._names(f"_staged/{name}") if n.startswith("part=")}
         if not parts.issuperset(filled):
             raise ValueError("rows outside of the parts that are put")
