@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions.timing import at_local, hour_bucket, instant, local_date, valid_date
 from wayglass.operators import alerts, catalog, progress, rankings, snapshots
+from wayglass.operators.ledger import ledger
 
 START, END = 1_791_234_000_000, 1_791_320_400_000  # 2026-10-05T18:00-03:00 and a day later
 FIELDS = "world string, boss_name string, start_text string, end_text string, completed boolean, muted boolean, favorite boolean"
@@ -126,9 +127,9 @@ def test_ledger(spark):
     steps = [("check", "c1", "A", True), ("check", "c1", "A", True), ("check", "c2", "A", True), ("undo", "c1"), ("undo", "c2"), ("undo", "c1"), ("undo", "c1"), ("undo", "none"), ("check", "c1", "A", True), ("check", "n1", "A", False), ("undo", "n1"), ("set", None, "B", None, 7), ("check", "c3", "B", True), ("set", None, "B", None, 3), ("undo", "c3")]
     rows = [("u", i, *s, *[None] * (5 - len(s))) for i, s in enumerate(steps)] + [(None, 0, "check", "c1", "A", True, None), ("v", 0, "undo", "c1", None, None, None)]
     df = spark.createDataFrame(rows, "user string, seq int, action string, id string, boss string, counts boolean, kills int")
-    found = {(r.user, r.boss): tuple(r)[2:] for r in progress.ledger(df).collect()}
+    found = {(r.user, r.boss): tuple(r)[2:] for r in ledger(df).collect()}
     assert found == {("u", "A"): (1, True, 3, 2, 1, 1), ("u", "B"): (3, True, 1, 0, 1, 0), (None, "A"): (1, True, 1, 0, 0, 0)}
-    assert progress.ledger(df.limit(0)).count() == 0
+    assert ledger(df.limit(0)).count() == 0
 
 
 def test_lists_after_a_refusal(spark):

@@ -1,10 +1,7 @@
-"""Progress toward targets: resolved state, replay of kills and undos, lists and counts."""
+"""Progress toward targets: resolved state, lists and counts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +13,7 @@ from .catalog import with_entries
 
 # Stages of each category.
 STAGES = {"Bane": (25, 100, 300), "Archfoe": (5, 20, 60), "Nemesis": (1, 3, 5), "Bestiary": (2, 3, 5)}
-MAX_KILLS, MAX_RECORDED = 100_000, 2000
+MAX_KILLS = 100_000
 # Fixed value: a line of totals.
 TOTALS_LINE = r"^(.+?)\s*[;=\t]\s*(\d+)\s*$"
 DEFAULT_TARGET = 100
@@ -53,63 +50,6 @@ def resolved(bosses: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def ledger(actions: DataFrame, key: str = "user") -> DataFrame:
-    """kills, known, made, undone, conflicts and repeated by key and boss, from actions: key, seq, action, id, boss, counts, kills.
-
-    A 'check' is recorded by its id, and adds a kill where it counts; an id that is recorded already adds nothing. An
-    'undo' takes a recorded check away and puts its boss back to what it had before, but only while the count is
-    what the check had made of it: else it is a conflict and the check stays. 'set' gives a boss a count.
-    Only the newest MAX_RECORDED checks of a key can be undone. What a step does depends on all before it, so the rows of a key
-    pass through one task in order of seq; it holds the recorded checks of one key and no rows.
-    """
-    kind = actions.schema[key].dataType.simpleString()
-    given = actions.select(F.col(f"`{key}`").alias("key"), "seq", "action", "id", "boss", "counts", "kills")
-    out = ("kills", "known", "made", "undone", "conflicts", "repeated")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, begun, bosses, recorded = None, False, {}, {}
-
-        def done() -> pa.RecordBatch:
-            rows = [(owner, boss, *(b[c] for c in out)) for boss, b in bosses.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-        for batch in batches:
-            types = [batch.schema.field("key").type, pa.string(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
-            names = ["key", "boss", *out]
-            for who, action, number, boss, counts, kills in zip(*(batch[c].to_pylist() for c in ("key", "action", "id", "boss", "counts", "kills")), strict=True):
-                if begun and who != owner:
-                    yield done()
-                    bosses, recorded = {}, {}
-                owner, begun = who, True
-                new = dict.fromkeys(out, 0) | {"known": False}
-                if action == "set":
-                    bosses.setdefault(boss, new).update(kills=kills, known=True)
-                elif action == "check" and number in recorded:
-                    bosses.setdefault(recorded[number][0], new)["repeated"] += 1
-                elif action == "check":
-                    before = bosses.get(boss, new)
-                    recorded[number] = (boss, bool(counts), before["kills"], before["known"])
-                    if counts:
-                        bosses.setdefault(boss, new).update(kills=before["kills"] + 1, known=True, made=before["made"] + 1)
-                    if len(recorded) > MAX_RECORDED:
-                        del recorded[next(iter(recorded))]
-                elif action == "undo" and number in recorded:
-                    boss, counted, kills, known = recorded[number]
-                    now = bosses.setdefault(boss, new)
-                    if counted and now["kills"] != kills + 1:
-                        now["conflicts"] += 1
-                        continue
-                    if counted:
-                        now.update(kills=kills, known=known, undone=now["undone"] + 1)
-                    del recorded[number]
-        if begun:
-            yield done()
-
-    ordered = given.repartition("key").sortWithinPartitions("key", "seq")
-    found = ordered.mapInArrow(fold, f"key {kind}, boss string, kills long, known boolean, made long, undone long, conflicts long, repeated long")
-    return found.withColumnRenamed("key", key)
-
-
 def parse_totals(texts: DataFrame, names: DataFrame) -> DataFrame:
     """id, line (from 1), name, kills and error (null if the line is good) of texts (id, text) with 'Name; 3' on each line.
 

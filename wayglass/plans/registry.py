@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayglass.functions import text as T
 from wayglass.operators import alerts, catalog, keyed, observations, patterns, progress, rankings, snapshots
+from wayglass.operators.ledger import ledger
 from wayglass.plans import domain, views
 from wayglass.plans.domain_sql import ORACLES as _DOMAIN_SQL
 from wayglass.plans.oracles import ORACLES as _SQL
@@ -152,7 +153,7 @@ def q_ledger_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.when(kind == "purchase", F.col("event_id")).when(kind == "click", last).when(kind == "error", F.when(F.col("event_id") % 3 != 0, last).otherwise(first))
     action = F.when(kind.isin("purchase", "click"), "check").when(kind == "error", "undo")
     rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), action.alias("action"), number.alias("id"), F.lit(True).alias("counts"), F.lit(None).cast("long").alias("kills"))
-    return progress.ledger(rows.where("id IS NOT NULL").withColumn("boss", F.concat(F.lit("B"), (F.col("id") % 2).cast("string"))), "user_id")
+    return ledger(rows.where("id IS NOT NULL").withColumn("boss", F.concat(F.lit("B"), (F.col("id") % 2).cast("string"))), "user_id")
 
 
 def q_radar_list(spark: SparkSession, sf_dir: str) -> DataFrame:
