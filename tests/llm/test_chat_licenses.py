@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -125,3 +126,47 @@ def test_whole_licence_texts_are_found_within_others(spark):
     for i, licence, _ in long:
         for doc in (i, 1000 + i):
             assert licence in found[doc][0].split(",") and found[doc][1] > 0.8, (licence, found[doc])
+
+
+#: Words that licences have as well.
+NEAR = "the authors of the software gave notice of the license to any person in the state of California"
+
+
+def edited(words, kind, share, draw):
+    """words with a share of them left out, put in, replaced, or left out as one passage."""
+    if kind == "passage":
+        n = round(len(words) * share)
+        at = draw.randrange(len(words) - n)
+        return words[:at] + words[at + n :]
+    out = []
+    for w in words:
+        hit = draw.random() < share
+        if kind == "put in" and hit:
+            out.append(draw.choice(["really", "works", "their", "user", "copies", "item"]))
+        if not (hit and kind in ("left out", "replaced")):
+            out.append(w)
+        elif kind == "replaced":
+            out.append("other")
+    return out
+
+
+def test_edited_licences_within_prose_are_found(spark):
+    """At every distance that the threshold allows and for every kind of edit, nine in ten at least; and their Dice is close to their own."""
+    draw, rows, own = random.Random(5), [], {}
+    for kind, share in (("left out", 0.17), ("put in", 0.25), ("replaced", 0.1), ("passage", 0.3)):
+        for i in range(220):
+            licence, text = draw.choice([t for t in licenses.TEMPLATES if len(t[1].split()) > 30])
+            new = " ".join(edited(text.split(), kind, draw.random() * share, draw))
+            if dice(new, text) >= 0.8:
+                own[len(rows)] = (kind, licence, dice(new, text))
+                rows.append((len(rows), f"{PROSE} {NEAR} {new} {NEAR} {PROSE}"))
+    found = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(r.doc_id, []).append((r.licence, r.dice))
+    bands = {}
+    for i, (kind, licence, score) in own.items():
+        hits = [d for name, d in found.get(i, []) if name.split("-")[0] == licence.split("-")[0]]
+        bands.setdefault((kind, min(int(score * 20), 19)), []).append((bool(hits), score - max(hits, default=0)))
+    for band, seen in bands.items():
+        assert sum(h for h, _ in seen) >= 0.9 * len(seen), (band, seen)
+    assert len(bands) == 16

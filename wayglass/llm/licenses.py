@@ -186,7 +186,8 @@ def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD
 
     Dice is 2 c / (a + b) with c <= min(a, b), so only sizes from t b / (2 - t) to (2 - t) b / t can reach t.
     """
-    assert len(given) <= MAX_TEMPLATES, "more templates than a job should carry"
+    if len(given) > MAX_TEMPLATES:
+        raise ValueError(f"more than {MAX_TEMPLATES} templates: scan with a part of them at a time")
     rows = spark.createDataFrame([(i, licence, text) for i, (licence, text) in enumerate(given)], "template int, licence string, text string")
     known = rows.withColumn("bigrams", bigrams(words(F.col("text")))).withColumn("n", F.size("bigrams")).where("n > 0")
     low = F.greatest(F.lit(1), F.ceil(threshold * F.col("n") / (2 - threshold) - 1e-9)).cast("int")
@@ -195,8 +196,8 @@ def templates(spark: SparkSession, given=TEMPLATES, threshold: float = THRESHOLD
     return sized.groupBy("size").agg(F.sort_array(F.collect_list("t")).alias("candidates"))
 
 
-def anchors(given=TEMPLATES, threshold: float = THRESHOLD) -> tuple[dict[str, list[tuple[int, int]]], list[str]]:
-    """Bigrams to look for in running text: for each, the places (words before it, words of the template) it has in templates; and the longer words of all.
+def anchors(given=TEMPLATES, threshold: float = THRESHOLD) -> tuple[dict[str, list[tuple[int, int, int, int]]], list[str]]:
+    """Bigrams to look for in running text: for each, the places (template, words before it, words of the template, how often it is there) it has in templates; and the longer words of all.
 
     A text that reaches the threshold t has t b / (2 - t) of a template's b bigrams at least, so of any set of one bigram more than
     may be missing it has one for certain. Taken are those whose longer word is the longest: such words are rare in other texts.
@@ -204,33 +205,69 @@ def anchors(given=TEMPLATES, threshold: float = THRESHOLD) -> tuple[dict[str, li
     said = [re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) for _, text in given]
     common = Counter(p for found in said for p in set(zip(found, found[1:])))
     rare = lambda p: max(p.split(), key=lambda x: (len(x), x))
-    found: dict[str, list[tuple[int, int]]] = {}
-    for w in said:
+    found: dict[str, list[tuple[int, int, int, int]]] = {}
+    for t, w in enumerate(said):
         pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
         different = sorted(set(pairs), key=lambda p: (-len(rare(p)), -common[tuple(p.split())], p))
         missing = len(different) - math.ceil(threshold * len(different) / (2 - threshold) - 1e-9)
         for pair in different[: missing + 1]:
-            found.setdefault(pair, []).extend((i, len(w)) for i, p in enumerate(pairs) if p == pair)
-    return {pair: sorted(set(places)) for pair, places in found.items()}, sorted({rare(p) for p in found})
+            found.setdefault(pair, []).extend((t, i, len(w), pairs.count(pair)) for i, p in enumerate(pairs) if p == pair)
+    return found, sorted({rare(p) for p in found})
 
 
 def windows(found: Column, given=TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """Runs of words (from, to and words) as long as a template, laid so that an anchor in the text lies on its place in the template."""
+    """Runs of words (from, to and words) that may match a template: as long as it, laid so that an anchor in the text lies on its place in the
+    template; and from the first anchor to the last of those that follow each other as in the template, with and without the words before and after them there.
+    """
     return bound(found, lambda said: _windows(said, given, threshold))
 
 
+def _stretches(found: Column, laid: Column, pairs: Column) -> Column:
+    """from and to of stretches of anchors laid (t, i: place in the text, q: place in the template, m: its words), sorted; pairs: the bigrams of each template.
+
+    A stretch goes on while places in the template go up and less than a template's length lies between. Words that were put in or left out
+    between its ends don't move these, as they do with a window of just the template's length. Before the first anchor and after the
+    last there may be the words that the template has there, or from the farthest bigram of the template, or none.
+    """
+    last = F.size(laid) - 1
+    parted = lambda a, b: (a.t != b.t) | (b.i - a.i > b.m) | (b.q <= a.q)
+    every = F.filter(F.sequence(F.lit(0), last), lambda k: last >= 0)
+    begins = F.filter(every, lambda k: (k == 0) | parted(F.get(laid, k - 1), F.get(laid, k)))
+    ends = F.filter(every, lambda k: (k == last) | parted(F.get(laid, k), F.get(laid, k + 1)))
+    whole = F.transform(begins, lambda k, j: F.struct(F.get(laid, k).alias("a"), F.get(laid, F.get(ends, j)).alias("b")))
+    # Half as many words again may have been put in.
+    reach = lambda n: F.floor(n * 1.5).cast("int") + 1
+
+    def far(t: Column, a: Column, b: Column) -> Column:
+        return bound(F.try_element_at(pairs, t), lambda own: F.filter(F.sequence(F.greatest(a, F.lit(0)), F.least(b, F.size(found) - 2)), lambda i: F.array_contains(own, F.concat_ws(" ", F.get(found, i), F.get(found, i + 1)))))
+
+    def sides(s: Column) -> Column:
+        before = F.array(s.a.i - s.a.q, s.a.i, F.array_min(far(s.a.t, s.a.i - reach(s.a.q), s.a.i)))
+        after = F.array(s.b.i - s.b.q + s.b.m, s.b.i + 2, F.array_max(far(s.b.t, s.b.i, s.b.i + reach(s.b.m - s.b.q))) + 2)
+        part = lambda a, b: F.struct(F.greatest(a, F.lit(0)).alias("from"), F.least(b, F.size(found)).alias("to"))
+        return F.flatten(F.transform(before, lambda a: F.transform(after, lambda b: part(a, b))))
+
+    return F.flatten(F.transform(F.filter(whole, lambda s: s.a.i < s.b.i), sides))
+
+
 def _windows(found: Column, given, threshold: float) -> Column:
     known, rare = anchors(given, threshold)
     none = F.array().cast("array<struct<from:int,to:int,words:array<string>>>")
     if not known:
         return none
     pair = lambda i: F.concat_ws(" ", F.get(found, i), F.get(found, i + 1))
-    places = F.create_map(*[x for p, at in known.items() for x in (F.lit(p), F.array(*[F.struct(F.lit(q).alias("q"), F.lit(m).alias("m")) for q, m in at]))])
+    places = F.create_map(*[x for p, at in known.items() for x in (F.lit(p), F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip("tqmn", place, strict=True))) for place in at]))])
+    said = [re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) for _, text in given]
+    pairs = F.create_map(*[x for t, w in enumerate(said) for x in (F.lit(t), F.array(*[F.lit(f"{a} {b}") for a, b in sorted(set(zip(w, w[1:])))]).cast("array<string>"))])
     hits = F.filter(F.sequence(F.lit(0), F.size(found) - 2), lambda i: pair(i).isin(*known))
-    laid = F.flatten(F.transform(hits, lambda i: F.transform(F.try_element_at(places, pair(i)), lambda t: F.struct(F.greatest(i - t.q, F.lit(0)).alias("from"), F.least(i - t.q + t.m, F.size(found)).alias("to")))))
-    runs = F.transform(F.array_distinct(laid), lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), F.slice(found, r["from"] + 1, r["to"] - r["from"]).alias("words")))
+    laid = F.array_sort(F.flatten(F.transform(hits, lambda i: F.transform(F.try_element_at(places, pair(i)), lambda p: F.struct(p.t.alias("t"), i.alias("i"), p.q.alias("q"), p.m.alias("m"), p.n.alias("n"))))))
+
+    def cut(laid: Column) -> Column:
+        exact = F.transform(laid, lambda p: F.struct(F.greatest(p.i - p.q, F.lit(0)).alias("from"), F.least(p.i - p.q + p.m, F.size(found)).alias("to")))
+        return F.transform(F.array_distinct(F.concat(exact, _stretches(found, F.filter(laid, lambda p: p.n == 1), pairs))), lambda r: F.struct(r["from"].alias("from"), r["to"].alias("to"), F.slice(found, r["from"] + 1, r["to"] - r["from"]).alias("words")))
+
     # Most texts have no word of any anchor, and end here.
-    return F.when((F.size(found) >= 2) & F.arrays_overlap(found, F.array(*map(F.lit, rare))), runs).otherwise(none)
+    return F.when((F.size(found) >= 2) & F.arrays_overlap(found, F.array(*map(F.lit, rare))), bound(laid, cut)).otherwise(none)
 
 
 def units(documents: DataFrame, given=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
