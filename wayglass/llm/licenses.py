@@ -256,9 +256,11 @@ def _windows(found: Column, given, threshold: float) -> Column:
     if not known:
         return none
     pair = lambda i: F.concat_ws(" ", F.get(found, i), F.get(found, i + 1))
-    places = F.create_map(*[x for p, at in known.items() for x in (F.lit(p), F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip("tqmn", place, strict=True))) for place in at]))])
+    # Literals in SQL: of anchors and templates there are thousands, with letters, digits and blanks only.
+    entries = ", ".join(f"'{p}', array({', '.join('named_struct(' + ', '.join(f"'{n}', {v}" for n, v in zip('tqmn', place, strict=True)) + ')' for place in at)})" for p, at in known.items())
+    places = F.expr(f"map({entries})")
     said = [re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) for _, text in given]
-    pairs = F.create_map(*[x for t, w in enumerate(said) for x in (F.lit(t), F.array(*[F.lit(f"{a} {b}") for a, b in sorted(set(zip(w, w[1:])))]).cast("array<string>"))])
+    pairs = F.expr("map(" + ", ".join(f"{t}, split('{','.join(f'{a} {b}' for a, b in sorted(set(zip(w, w[1:]))))}', ',')" for t, w in enumerate(said)) + ")")
     hits = F.filter(F.sequence(F.lit(0), F.size(found) - 2), lambda i: pair(i).isin(*known))
     laid = F.array_sort(F.flatten(F.transform(hits, lambda i: F.transform(F.try_element_at(places, pair(i)), lambda p: F.struct(p.t.alias("t"), i.alias("i"), p.q.alias("q"), p.m.alias("m"), p.n.alias("n"))))))
 
