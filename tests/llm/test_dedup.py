@@ -1,9 +1,12 @@
 import hashlib
+import os
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -176,6 +179,31 @@ def test_lines_without_id_and_empty_table(spark):
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_tables_of_an_operator_before_are_let_go(spark):
+    def keep(batches):
+        yield from batches
+        shared.kept("a test", lambda: list(range(100_000)))
+        time.sleep(1)  # so that no worker has two of these tasks
+
+    def keeping(batches):
+        for _ in batches:
+            pass
+        time.sleep(1)
+        yield pa.RecordBatch.from_arrays([pa.array([os.getpid()], pa.int64()), pa.array([shared._kept[:1] == ["a test"]])], ["pid", "kept"])
+
+    def state():
+        return {r.pid: r.kept for r in spark.range(0, 8, 1, 8).mapInArrow(keeping, "pid long, kept boolean").collect()}
+
+    df = spark.createDataFrame([(d, t) for d, t in LINES if d != 8], "doc_id long, text string").repartition(8)
+    for operator in (line_dedup.drop_repeated_lines, simhash.first_of_each):
+        spark.range(0, 8, 1, 8).mapInArrow(keep, "id long").collect()
+        before = state()
+        assert any(before.values())
+        operator(df).collect()
+        after = state()
+        assert any(before[pid] and not after.get(pid, True) for pid in before), operator
+
+
 def test_query_three_over_the_whole_table(spark):
     import __spark_entry__ as e
 

@@ -112,6 +112,24 @@ def test_query_six_over_the_whole_table(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in e.queries()["op6_word_bpe"](spark, d).collect()} == want
 
 
+def test_words_are_encoded_in_calls_of_a_bounded_size():
+    class Counting:
+        def __init__(self, own):
+            self.own, self.sizes = own, []
+
+        def encode_batch_fast(self, words, **options):
+            self.sizes.append(len(words))
+            return self.own.encode_batch_fast(words, **options)
+
+    bpe, text = word_bpe.WordBpe(BYTES), " ".join(f"w{i}é" for i in range(12_001))
+    bpe.tokenizer = Counting(bpe.tokenizer)
+    for part in (text[:30], text, "once more " + text):
+        ids, counts = bpe.encode([part])
+        assert ids.tolist() == plain(BYTES).encode(part, add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+        assert bpe.decode(ids, counts) == [part]
+    assert max(bpe.tokenizer.sizes) <= 5_000 and sum(bpe.tokenizer.sizes) < 12_010
+
+
 @pytest.mark.parametrize("cap", [3, 10**6])
 def test_word_tables_start_anew_without_changing_results(cap):
     bpe = word_bpe.WordBpe(BYTES)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import join_facts, partitions, saved, slices, texts_of
+from .shared import forget, join_facts, partitions, saved, slices, texts_of
 
 #: Keys shorter than this (in code points) are never dropped.
 MIN_CHARS = 10
@@ -75,6 +75,7 @@ def twice_seen(documents: DataFrame, bits: int) -> np.ndarray:
     """
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -95,6 +96,7 @@ def twice_seen(documents: DataFrame, bits: int) -> np.ndarray:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         once, twice = {}, {}
         for batch in batches:
             for segment, a, b in zip(*(batch[c].to_pylist() for c in ("segment", "once", "twice")), strict=True):
@@ -126,6 +128,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     seen = spark.sparkContext.broadcast(twice_seen(documents, bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         twice = seen.value
         for batch in slices(batches):
             docs, found = [], []
@@ -182,6 +185,7 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     joined = _with_lost(row, lost, repeated).select("row.*", F.col("digests").alias(mark := "digests of lost lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             kept, before, dropped = [], [], []
             for text, digests in zip(texts_of(batch["text"]), batch[mark].to_pylist(), strict=True):

@@ -166,11 +166,16 @@ def kept(key, make):
     A worker keeps one thing at a time, so that operators that follow each other do not add up in memory.
     """
     if not _kept or _kept[0] != key:
-        _kept[:] = []
+        forget()
         _kept[:] = [key, make()]
     return _kept[1]
 
 
+def forget() -> None:
+    """Let go of what an operator before kept in this Python worker: for tasks that keep nothing themselves and would else carry it along."""
+    _kept[:] = []
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every run, one run after the other."""
     ends = np.cumsum(lengths, dtype=np.int64)

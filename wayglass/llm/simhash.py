@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, drop_saved, join_facts, join_split, partitions, saved, slices, texts_of
+from .shared import BROADCAST_ROWS, drop_saved, forget, join_facts, join_split, partitions, saved, slices, texts_of
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -50,6 +50,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """doc_id, text_hash and fingerprint (long, the 64 bits) of every row; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             found = np.array([fingerprint(t) for t in texts_of(batch["text"])], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(found)], ["doc_id", "text_hash", "fingerprint"])
@@ -159,6 +160,7 @@ def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = linked(group, table["fingerprint"].to_numpy().astype(np.int64).view(np.uint64))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
 
+    forget()
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)

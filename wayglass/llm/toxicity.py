@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import WordTable, kept, saved, slices, texts_of
+from .shared import WordTable, forget, kept, saved, slices, texts_of
 
 #: Labelled documents to learn from, at most, of each label (drawn by a hash of doc_id).
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
@@ -46,7 +46,7 @@ _OFFSETS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 #: Words of more letters than these are scored like any other, but not learnt from.
 MAX_LETTERS = 64
 #: Words that are scored at once: bounds the memory of a Python worker.
-AT_ONCE = 10_000
+AT_ONCE = 2_000
 #: Bits of a letter's code point in a subsequence, and the marks of a word's ends (neither is a letter).
 _BITS, _START, _END = 21, "\0", "\U0010ffff"
 
@@ -230,6 +230,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     never = Model(np.zeros(0, np.int64), np.zeros(0), FLOOR)
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches):
             rows = []
             for doc, mark, text in zip(batch["doc_id"].to_pylist(), batch["toxic"].to_pylist(), texts_of(batch["text"]), strict=True):

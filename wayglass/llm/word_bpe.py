@@ -35,6 +35,10 @@ def _byte_of() -> dict[str, int]:
 _BYTE_OF = _byte_of()
 
 
+#: Words that the tokenizer encodes in one call: what it says of a word takes far more room than the ids that are kept of it.
+AT_ONCE = 5_000
+
+
 class WordBpe:
     """A byte-level tokenizer over distinct words."""
 
@@ -59,11 +63,12 @@ class WordBpe:
         self.flat = Growing(np.int32)
 
     def _fill(self, words: list[str]) -> list[np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        starts = self.flat.size + np.cumsum(lengths) - lengths
-        self.flat.extend(np.fromiter((i for x in found for i in x), np.int32))
-        return [starts, lengths]
+        before, lengths = self.flat.size, np.zeros(len(words), np.int64)
+        for at in range(0, len(words), AT_ONCE):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + AT_ONCE], add_special_tokens=False)]
+            lengths[at : at + len(found)] = [len(x) for x in found]
+            self.flat.extend(np.fromiter((i for x in found for i in x), np.int32))
+        return [before + np.cumsum(lengths) - lengths, lengths]
 
     def words(self, text: str) -> list[str]:
         """A text's words; one with a special token's string inside is one word, as splitting there depends on it."""
