@@ -72,6 +72,15 @@ def test_decomposition_is_that_of_the_character_database(spark):
         assert r.bare == (None if want is None else "".join(x for x in want if not 0x300 <= ord(x) <= 0x36F)), ascii(r.c)
 
 
+def test_every_mark_is_one_by_kind_and_units_are_counted_where_it_matters(spark):
+    marks = [chr(i) for i in range(0x110000) if unicodedata.combining(chr(i))]
+    df = spark.createDataFrame([(c,) for c in marks], "c string")
+    assert len(marks) > 800 and df.where(F.col("c").rlike(U._MAYBE_MARK)).count() == len(marks)
+    texts = [x * n + y for x in ("a", "\u00e9", "\U0001f409") for n in range(8) for y in ("", "b", "\U0001f409")]
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[U.longer(F.col("t"), n).alias(f"n{n}") for n in (0, 1, 4, 5)]).collect()
+    assert all(r[f"n{n}"] == (len(r.t.encode("utf-16-le")) // 2 > n) for r in told for n in (0, 1, 4, 5))
+
+
 def test_pages_and_numbers_by_the_providers_marks(spark):
     page = "a<script>x</script>b <i>Ganho 24h</i>: 5 <SCRIPT src=1>\n</Script>c<>\u00a0 Ganho 7 dias −1.234 Ganho 30 dias +. end "
     text = one(spark, T.html_text(F.lit(page)))

@@ -180,6 +180,35 @@ def test_a_killed_epoch_leaves_nothing_and_runs_again(spark, tmp_path, monkeypat
     assert sync.state() == done
 
 
+def test_a_text_that_comes_again_is_read_once_and_no_task_holds_a_batch(spark, tmp_path, monkeypatch):
+    given, plans = [], []
+    read, saved = reports.observations.read_messages, reports.saved
+    monkeypatch.setattr(reports.observations, "read_messages", lambda messages, *a: given.append(messages.count()) or read(messages, *a))
+    monkeypatch.setattr(reports, "saved", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(df, name))
+    sync = Sync(spark, tmp_path, max_batch=10**6)
+    said = ["Dharalion ✅", "[09:10, 05/10/2026] Ana: Dharalion não estava", "Hirintror?", "bom dia"]
+    sync.send(*(message(i, said[i % 4], date=f"2026-09-{i // 4 % 25 + 1:02d}", time=f"{i // 100:02d}:00", mark=NOW) for i in range(1000)))
+    days = {("Dharalion", "encontrado", f"{h:02d}:00", "whatsapp") for h in range(10)}
+    checks, pending, seen, mark, rejected = sync.state()
+    assert set(checks) == days | {("Dharalion", "vazio", "09:10", "whatsapp")} and (len(checks), pending, seen, mark, rejected) == (251, 500, 1000, NOW, [])
+    assert given == [4] and plans and not [p for p in plans if "SinglePartition" in p]
+    found = Store(spark, f"{tmp_path}/out").table("identified", reports.IDENTIFIED)
+    assert {(r.bosses[0], r.n) for r in found.groupBy("bosses").agg(F.count("*").alias("n")).collect()} == {("Dharalion", 500), ("Hirintror", 250)}
+    assert found.where("bosses[0] = 'Dharalion'").select("at").distinct().count() == 250  # own times, also of those with a stamp in their text
+
+
+def test_messages_after_a_large_batch_are_the_newer_ones(spark, tmp_path):
+    sync = Sync(spark, tmp_path, max_batch=1 << 40, keep=3)
+    none = F.lit(None)
+    many = spark.range(1_000_050).select(F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("").alias("text"), F.lit("2026-10-05").alias("date"), F.lit("10:00").alias("time"), F.lit(False).alias("media"), none.cast("string").alias("mark_id"), none.cast("long").alias("mark_at"), none.cast("string").alias("coverage"))
+    many.coalesce(1).write.parquet(f"{tmp_path}/in/p0")
+    sync.n = 1
+    sync.run()
+    sync.send(message(0, "y", of="new"))
+    seen = [r.id for r in Store(spark, f"{tmp_path}/out").table("seen", reports.SEEN).orderBy(F.desc("place")).collect()]
+    assert seen == [hashlib.sha256(x.encode()).hexdigest() for x in ("new", "1000049", "1000048")]
+
+
 # --- patterns through batches that come and go ---
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .unicode import WHITE, WORD, bare, bare_letters, trimmed
+from .unicode import WHITE, WORD, bare, bare_letters, once, trimmed
 
 
 def fold(text: Column) -> Column:
@@ -38,8 +38,7 @@ EMPTY, FOUND = "vazio", "encontrado"
 
 def result_of(line: Column) -> Column:
     """What a line says: EMPTY before FOUND, null where it says neither."""
-    folded = fold(line)
-    return F.when(folded.rlike(ABSENT), EMPTY).when(folded.rlike(PRESENT), FOUND)
+    return once(fold(line), lambda folded: F.when(folded.rlike(ABSENT), EMPTY).when(folded.rlike(PRESENT), FOUND))
 
 
 def needs_review(text: Column) -> Column:

@@ -56,6 +56,8 @@ _RARE = _ranges([ord(c) for c in _PARTS if len(_BARE[c]) != 1] + [*range(_SYLLAB
 
 _DECOMPOSED = _ranges([ord(c) for c in _PARTS] + [*range(_SYLLABLE, _SYLLABLE + 11172)], 300)
 _MARK = _ranges(list(map(ord, _ORDERS)), 1)
+#: A class that holds all marks and is tested by a character's kind at once, where _MARK goes through its ranges: marks, and what Java does not know yet.
+_MAYBE_MARK = r"[\p{M}\p{Cn}]"
 
 
 def _expanded(c: Column) -> Column:
@@ -83,17 +85,17 @@ def _ordered(text: Column) -> Column:
     run = lambda r: F.array_join(F.transform(F.array_sort(F.transform(F.split(r, ""), lambda c, i: F.struct(of(c).alias("k"), i.alias("i"), c.alias("c")))), lambda x: x["c"]), "")
     pieces = F.regexp_extract_all(text, F.lit(f"{_MARK}+|[^\\x{{300}}-\\x{{10ffff}}]+|(?s:.)"), 0)
     in_order = F.array_join(F.transform(pieces, lambda p: F.when((F.length(p) > 1) & p.rlike(f"^{_MARK}+$"), run(p)).otherwise(p)), "")
-    return F.when(text.rlike(r"[^\x00-\x{2ff}]") & text.rlike(f"{_MARK}{{2}}"), in_order).otherwise(text)
+    return F.when(text.rlike(f"{_MAYBE_MARK}{{2}}") & text.rlike(f"{_MARK}{{2}}"), in_order).otherwise(text)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once, however often use has it."""
     return F.get(F.transform(F.array(value), use), 0)
 
 
 def nfd(text: Column) -> Column:
     """The canonical decomposition (NFD) of a text, all scripts included."""
-    return F.when(text.rlike(r"[^\x00-\xbf]"), _once(_changed(text, _DECOMPOSED), _ordered)).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\xbf]"), once(_changed(text, _DECOMPOSED), _ordered)).otherwise(text)
 
 
 def bare(text: Column) -> Column:
@@ -102,8 +104,8 @@ def bare(text: Column) -> Column:
     Letters that come down to one are changed at once; only others, such as Hangul, go character by character.
     """
     rest = lambda whole: F.regexp_replace(_ordered(whole), "[\\u0300-\\u036f]", "")
-    full = lambda plain: F.when(plain.rlike(r"[^\x00-\x{2ff}]"), _once(F.when(plain.rlike(_RARE), _changed(plain, _RARE)).otherwise(plain), rest)).otherwise(plain)
-    return _once(F.translate(text, _LETTERS, _BASES), full)
+    full = lambda plain: F.when(plain.rlike(r"[^\x00-\x{2ff}]"), once(F.when(plain.rlike(_RARE), _changed(plain, _RARE)).otherwise(plain), rest)).otherwise(plain)
+    return once(F.translate(text, _LETTERS, _BASES), full)
 
 
 def bare_letters(text: Column) -> Column:
@@ -119,3 +121,8 @@ def trimmed(text: Column) -> Column:
 def units(text: Column) -> Column:
     """A text's length in UTF-16 units, which scripts count: characters over U+FFFF are two."""
     return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10ffff}]", ""))
+
+
+def longer(text: Column, n: int) -> Column:
+    """Whether a text has more than n UTF-16 units; these are counted only where its characters leave that open."""
+    return (F.length(text) > n // 2) & (units(text) > n)

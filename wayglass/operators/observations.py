@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayglass.functions.text import EMPTY, FOUND, canonical, fold, line_stamp, needs_review, result_of
 from wayglass.functions.timing import at_local, local_date, valid_date
-from wayglass.functions.unicode import WHITE, trimmed, units
+from wayglass.functions.unicode import WHITE, longer, trimmed
 
 from .dictionary import mentions
 from .keyed import first_per_key, not_stored
@@ -52,7 +54,7 @@ def parse_reports(texts: DataFrame, names: DataFrame) -> DataFrame:
     assumed). A heading sets the result of the lines below it and reports nothing itself; a line's own wording goes first.
     A text of over MAX_TEXT characters is an error.
     """
-    short = F.when(units(F.col("text")) > MAX_TEXT, F.raise_error(F.lit(f"a text of over {MAX_TEXT} characters"))).otherwise(F.col("text"))
+    short = F.when(longer(F.col("text"), MAX_TEXT), F.raise_error(F.lit(f"a text of over {MAX_TEXT} characters"))).otherwise(F.col("text"))
     lines = texts.withColumn("text", short).select("id", F.col("date").alias("own_date"), F.col("time").alias("own_time"), "default_result", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
     stamped = lines.withColumn("raw", trimmed(F.col("raw"))).where("raw <> ''").withColumn("stamp", line_stamp(F.col("raw")))
     body = stamped.withColumn("body", F.regexp_replace("stamp.rest", BULLET, "")).withColumn("own", result_of(F.col("body")))
@@ -73,16 +75,17 @@ def parse_reports(texts: DataFrame, names: DataFrame) -> DataFrame:
     return matched.select("id", "line", "part", F.coalesce("boss", F.lit("")).alias("boss"), "text", "result", "date", "time")
 
 
-def read_messages(messages: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+def read_messages(messages: DataFrame, names: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Chat messages (id, text, date, time) as report rows, and one row for each message: pending and mentioned.
 
     Only explicit reports count: questions, plans and other days' reports are pending as a whole, and so are
-    messages with a line that has no known name or no result, or that name a boss and report nothing.
+    messages with a line that has no known name or no result, or that name a boss and report nothing. keep: writes down what both results come from, so
+    that it is worked out once.
     """
     cut = messages.withColumn("text", F.substring(F.coalesce("text", F.lit("")), 1, MAX_MESSAGE))
-    seen = mentions(cut, names).withColumn("review", needs_review(F.col("text")))
+    seen = keep(mentions(cut, names).withColumn("review", needs_review(F.col("text"))))
     explicit = seen.where(~F.col("review")).select("id", "text", "date", "time", F.lit(None).cast("string").alias("default_result"))
-    parsed = parse_reports(explicit, names)
+    parsed = keep(parse_reports(explicit, names))
     good = (F.col("boss") != "") & F.col("result").isNotNull()
     state = parsed.groupBy("id").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
     each = seen.join(state, "id", "left")

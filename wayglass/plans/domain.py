@@ -442,9 +442,9 @@ def q_added_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arriving(spark: SparkSession, folder: str, files: list[DataFrame], run) -> None:
-    """Write one file after the other to a folder, and run a stream from it after each."""
+    """Write one table after the other to a folder, and run a stream from it after each, which takes all of its files as one micro-batch."""
     for k, df in enumerate(files):
-        df.coalesce(1).write.parquet(f"{folder}/in/{k}")
+        df.write.parquet(f"{folder}/in/{k}")
         run(spark.readStream.schema(df.schema).parquet(f"{folder}/in/*")).awaitTermination()
 
 

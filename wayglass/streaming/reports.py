@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from wayglass.functions.text import canonical
 from wayglass.functions.timing import at_local
-from wayglass.functions.unicode import units
+from wayglass.functions.unicode import longer
 from wayglass.operators import observations, patterns
 from wayglass.operators.keyed import first_per_key, not_stored
 from wayglass.sources.scratch import drop_saved, saved
@@ -41,7 +41,7 @@ def sync_stream(
     def reason(batch: DataFrame) -> str | None:
         wrong = lambda c: F.count_if(~F.coalesce(c, F.lit(False)))
         mark = F.col("mark_id").isNull() | (F.col("mark_id").rlike("^[a-f0-9]{64}$") & F.col("mark_at").between(FIRST_MARK, now + AHEAD))
-        told = batch.agg(F.count("id").alias("n"), wrong(F.col("id").isNull() | F.col("id").rlike("^[a-f0-9]{64}$")).alias("id"), wrong(F.col("id").isNull() | (units(F.col("text")) <= observations.MAX_MESSAGE)).alias("text"), wrong(mark).alias("mark")).first()
+        told = batch.agg(F.count("id").alias("n"), wrong(F.col("id").isNull() | F.col("id").rlike("^[a-f0-9]{64}$")).alias("id"), wrong(F.col("id").isNull() | ~longer(F.col("text"), observations.MAX_MESSAGE)).alias("text"), wrong(mark).alias("mark")).first()
         return "size" if told.n > max_batch else next((c for c in ("id", "text", "mark") if told[c]), None)
 
     def step(batch: DataFrame, store: Store) -> dict:
@@ -52,30 +52,39 @@ def sync_stream(
         if why := reason(batch):
             return reject(why)
         seen, pending, known = (store.table(n, s, _ONE) for n, s in (("seen", SEEN), ("pending", PENDING), ("identified", IDENTIFIED)))
-        base = (store.commit.seq + 1) * 1_000_000
+        base = max(store.commit.values.get("place", 0), (store.commit.seq + 1) * 1_000_000)
         held = []  # written down, so that plans of what comes after stay small
 
         def keep_for_now(df: DataFrame) -> DataFrame:
             held.append(saved(df, "sync"))
             return held[-1]
 
-        messages = keep_for_now(not_stored(first_per_key(batch.where("id IS NOT NULL"), ["id"], [F.asc("seq")]), seen, ["id"]).withColumn("place", F.lit(base) + F.row_number().over(Window.orderBy("seq"))))  # max_batch rows
-        rows, state = map(keep_for_now, observations.read_messages(messages, names))
+        fresh = not_stored(first_per_key(batch.where("id IS NOT NULL"), ["id"], [F.asc("seq")]), seen, ["id"])
+        in_order = fresh.repartitionByRange("seq", "id").sortWithinPartitions("seq", "id")
+        messages = keep_for_now(in_order.withColumn("place", F.lit(base) + 1 + F.monotonically_increasing_id()).withColumn("said", F.sha2("text", 256)))
+        none = F.lit(None).cast("string")
+        texts = keep_for_now(messages.select(F.col("said").alias("id"), "text").distinct().withColumns({"date": none, "time": none}))  # one that comes again is read once
+        read, state = observations.read_messages(texts, names, keep_for_now)
+        state = keep_for_now(state)
+        of_text = lambda df: df.withColumnRenamed("id", "said")
+        stamped = of_text(read.withColumnsRenamed({"date": "said_date", "time": "said_time"}))
+        rows = messages.select("id", "said", "date", "time").join(stamped, "said").withColumn("date", F.coalesce("said_date", "date")).withColumn("time", F.when(F.col("said_time") != "", F.col("said_time")).otherwise(F.coalesce("time", F.lit(""))))
         given = rows.select(F.col("id").alias("batch_id"), (F.col("line") * 1000 + F.col("part")).cast("long").alias("seq"), F.lit(world).alias("world"), "boss", "date", "time", "result", F.lit("unknown").alias("favorable"))
         checked = keep_for_now(observations.validated(given, names, worlds, now, "whatsapp"))
         refused = checked.where(~F.col("batch_ok")).select(F.col("batch_id").alias("id")).distinct().withColumn("refused", F.lit(True))
-        good = checked.where("batch_ok").withColumn("boss_key", canonical(F.col("boss"))).join(messages.select(F.col("id").alias("batch_id"), "place"), "batch_id")
+        good = checked.where("batch_ok").withColumn("boss_key", canonical(F.col("boss")))
         key = ["world", "boss_key", "date", "time", "result"]
         part = hashed(*key)
         parts = store.parts_of(good, part)
+        good = good.join(messages.select(F.col("id").alias("batch_id"), "place"), "batch_id")
         old = store.table("checks", CHECKS, parts)
         new = keep_for_now(not_stored(first_per_key(good, key, [F.asc("place"), F.asc("seq")]), old, key).select(*old.columns))
-        judged = state.join(refused, "id", "left").withColumn("pending", F.col("pending") | F.coalesce("refused", F.lit(False))).drop("refused")
+        judged = messages.select("id", "said").join(of_text(state), "said").join(refused, "id", "left").withColumn("pending", F.col("pending") | F.coalesce("refused", F.lit(False))).drop("refused")
         waiting = keep_for_now(observations.reviews(messages, judged).join(messages.select("id", "place"), "id"))
         count = store.commit.values.get("checks", 0) + new.count()
         if count > max_checks or pending.count() + waiting.count() > max_pending:
             return reject("full")
-        named = observations.recognised(rows, judged).join(messages, "id").select("id", "bosses", F.coalesce(at_local(F.col("date"), F.col("time")), F.lit(0)).alias("at"), "place")
+        named = messages.join(of_text(observations.recognised(read, state)), "said").select("id", "bosses", F.coalesce(at_local(F.col("date"), F.col("time")), F.lit(0)).alias("at"), "place")
         places = known.select("id", F.col("place").alias("held"))  # one that is named again keeps its place
         named = named.join(places, "id", "left").withColumn("place", F.coalesce("held", "place")).drop("held")
         newest = lambda df: df.orderBy(F.desc("place")).limit(keep)
@@ -83,9 +92,9 @@ def sync_stream(
         store.put("pending", pending.unionByName(waiting), F.lit("0"), _ONE)
         store.put("identified", newest(observations.upserted(known, named)), F.lit("0"), _ONE)
         store.put("seen", newest(seen.unionByName(messages.select("id", "place"))), F.lit("0"), _ONE)
+        values = {"checks": count, "place": messages.agg(F.max("place")).first()[0] or base}
         for df in held:
             drop_saved(df)
-        values = {"checks": count}
         offered = batch.where("mark_id IS NOT NULL AND coalesce(coverage, '') <> 'gap'").agg(F.max_by(F.struct("mark_id", "mark_at"), F.struct("mark_at", "seq")).alias("m")).first().m
         mark = store.commit.values.get("mark")
         if offered and (mark is None or offered.mark_at >= mark["at"]):
