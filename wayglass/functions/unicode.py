@@ -20,6 +20,8 @@ WORD = "A-Za-z0-9_"
 _LEADING, _MIDDLE, _TRAILING = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
 _SYLLABLE, _PER_LEADING, _PER_MIDDLE = 0xAC00, 588, 28
 _MARKS = range(0x300, 0x370)
+#: What letters with marks have one of; translate() takes each character by itself, which is some ten times slower than to look for one.
+_BEYOND_ASCII = r"[^\x00-\x7f]"
 
 
 def _parts() -> dict[str, str]:
@@ -105,12 +107,12 @@ def bare(text: Column) -> Column:
     """
     rest = lambda whole: F.regexp_replace(_ordered(whole), "[\\u0300-\\u036f]", "")
     full = lambda plain: F.when(plain.rlike(r"[^\x00-\x{2ff}]"), once(F.when(plain.rlike(_RARE), _changed(plain, _RARE)).otherwise(plain), rest)).otherwise(plain)
-    return once(F.translate(text, _LETTERS, _BASES), full)
+    return F.when(text.rlike(_BEYOND_ASCII), once(F.translate(text, _LETTERS, _BASES), full)).otherwise(text)
 
 
 def bare_letters(text: Column) -> Column:
     """bare() for what is cut down to a-z and 0-9 anyway: other scripts are left as they are."""
-    return F.translate(text, _LETTERS, _BASES)
+    return F.when(text.rlike(_BEYOND_ASCII), F.translate(text, _LETTERS, _BASES)).otherwise(text)
 
 
 def trimmed(text: Column) -> Column:

@@ -102,10 +102,14 @@ def recognised(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def reviews(messages: DataFrame, state: DataFrame) -> DataFrame:
     """id, bosses (MAX_BOSSES at most), date, time and reason (photo or unclear) of pending messages (id, date, time, media)."""
-    waiting = state.where("pending").join(messages.select("id", "date", "time", "media"), "id")
+    return review_rows(state.where("pending").join(messages.select("id", "date", "time", "media"), "id"), "id")
+
+
+def review_rows(waiting: DataFrame, *own: str) -> DataFrame:
+    """reviews() of messages that have what state says of them (mentioned) beside date, time and media; own: columns that stay."""
     photo = F.coalesce("media", F.lit(False)) & (F.size("mentioned") == 0)
     part = lambda c, n: F.substring(F.coalesce(c, F.lit("")), 1, n).alias(c)
-    return waiting.select("id", F.slice("mentioned", 1, MAX_BOSSES).alias("bosses"), part("date", 10), part("time", 5), F.when(photo, "photo").otherwise("unclear").alias("reason"))
+    return waiting.select(*own, F.slice("mentioned", 1, MAX_BOSSES).alias("bosses"), part("date", 10), part("time", 5), F.when(photo, "photo").otherwise("unclear").alias("reason"))
 
 
 def checked_batches(messages: DataFrame) -> DataFrame:
@@ -119,9 +123,9 @@ def checked_batches(messages: DataFrame) -> DataFrame:
     return messages.withColumn("error", error).withColumn("batch_ok", F.every(F.col("error").isNull()).over(batch))
 
 
-def check_key() -> list[Column]:
-    """What makes two reports the same."""
-    return [F.col("world"), canonical(F.col("boss")).alias("boss_key"), F.col("date"), F.coalesce("time", F.lit("")).alias("time_key"), F.col("result")]
+def check_key(boss_key: Column | None = None) -> list[Column]:
+    """What makes two reports the same. boss_key: the boss's canonical name where a column has it."""
+    return [F.col("world"), canonical(F.col("boss")).alias("boss_key") if boss_key is None else boss_key, F.col("date"), F.coalesce("time", F.lit("")).alias("time_key"), F.col("result")]
 
 
 def validated(rows: DataFrame, names: DataFrame, worlds: list[str], now: int, origin: str = "group") -> DataFrame:
@@ -130,10 +134,10 @@ def validated(rows: DataFrame, names: DataFrame, worlds: list[str], now: int, or
     A batch is all or nothing: batch_ok tells whether every row of it is good and none repeats. Errors: boss, date,
     future, result, favorable, time, world, repeated, size.
     """
-    known = rows.withColumn("k", canonical(F.col("boss"))).join(name_keys(names).withColumnRenamed("boss", "known"), "k", "left").drop("k")
+    known = rows.withColumn("k", canonical(F.col("boss"))).join(name_keys(names).withColumnRenamed("boss", "known"), "k", "left")
     clock = F.coalesce("time", F.lit(""))
     batch = Window.partitionBy("batch_id")
-    same = Window.partitionBy("batch_id", *check_key()).orderBy("seq")
+    same = Window.partitionBy("batch_id", *check_key(F.col("k"))).orderBy("seq")
     error = (
         F.when(~F.col("world").isin(*worlds), "world")
         .when(F.col("known").isNull(), "boss")

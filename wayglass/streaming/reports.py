@@ -68,19 +68,19 @@ def sync_stream(
         state = keep_for_now(state)
         of_text = lambda df: df.withColumnRenamed("id", "said")
         stamped = of_text(read.withColumnsRenamed({"date": "said_date", "time": "said_time"}))
-        rows = messages.select("id", "said", "date", "time").join(stamped, "said").withColumn("date", F.coalesce("said_date", "date")).withColumn("time", F.when(F.col("said_time") != "", F.col("said_time")).otherwise(F.coalesce("time", F.lit(""))))
-        given = rows.select(F.col("id").alias("batch_id"), (F.col("line") * 1000 + F.col("part")).cast("long").alias("seq"), F.lit(world).alias("world"), "boss", "date", "time", "result", F.lit("unknown").alias("favorable"))
-        checked = keep_for_now(observations.validated(given, names, worlds, now, "whatsapp"))
-        refused = checked.where(~F.col("batch_ok")).select(F.col("batch_id").alias("id")).distinct().withColumn("refused", F.lit(True))
-        good = checked.where("batch_ok").withColumn("boss_key", canonical(F.col("boss")))
+        rows = messages.select("place", "said", "date", "time").join(stamped, "said").withColumn("date", F.coalesce("said_date", "date")).withColumn("time", F.when(F.col("said_time") != "", F.col("said_time")).otherwise(F.coalesce("time", F.lit(""))))
+        given = rows.select(F.col("place").alias("batch_id"), (F.col("line") * 1000 + F.col("part")).cast("long").alias("seq"), F.lit(world).alias("world"), "boss", "date", "time", "result", F.lit("unknown").alias("favorable"))
+        checked = keep_for_now(observations.validated(given, names, worlds, now, "whatsapp").withColumnRenamed("batch_id", "place"))
+        refused = checked.where(~F.col("batch_ok")).select("place").distinct().withColumn("refused", F.lit(True))
         key = ["world", "boss_key", "date", "time", "result"]
         part = hashed(*key)
-        parts = store.parts_of(good, part)
-        good = good.join(messages.select(F.col("id").alias("batch_id"), "place"), "batch_id")
+        good = checked.where("batch_ok").withColumn("boss_key", canonical(F.col("boss")))
+        firsts = keep_for_now(good.groupBy(*key, "boss", "favorable", "origin", "at", "precision").agg(F.min("place").alias("place")))  # a key is in a message once at most, and decides on the others
+        parts = store.parts_of(firsts, part)
         old = store.table("checks", CHECKS, parts)
-        new = keep_for_now(not_stored(first_per_key(good, key, [F.asc("place"), F.asc("seq")]), old, key).select(*old.columns))
-        judged = messages.select("id", "said").join(of_text(state), "said").join(refused, "id", "left").withColumn("pending", F.col("pending") | F.coalesce("refused", F.lit(False))).drop("refused")
-        waiting = keep_for_now(observations.reviews(messages, judged).join(messages.select("id", "place"), "id"))
+        new = keep_for_now(not_stored(firsts, old, key).join(messages.select("place", F.col("id").alias("batch_id")), "place").select(*old.columns))
+        judged = messages.join(of_text(state), "said").join(refused, "place", "left").where("pending OR refused")
+        waiting = keep_for_now(observations.review_rows(judged, "id", "place").select(*pending.columns))
         count = store.commit.values.get("checks", 0) + new.count()
         if count > max_checks or pending.count() + waiting.count() > max_pending:
             return reject("full")
